@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, nearcopies, packing, suffixes, tokencount
+from . import audio, balltree, huffman, language, lexicon, nearcopies, packing, replytree, suffixes, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replytree.chosen_conversations(replytree.reply_tree_of_threads(_table(spark, sf_dir, "conversations")))
+
+
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound: each page's bytes are played as a clip of 8-bit PCM."""
+    return audio.audio_features(_table(spark, sf_dir, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
+
+
+def op4_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.compress_texts(_table(spark, sf_dir, "documents"))[0]
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -26,17 +39,39 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train_profiles(docs))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokencount.token_counts(_table(spark, sf_dir, "documents"), library=True))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_suffix_dedup, op6_language_id, op8_best_fit_packing, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_audio_features, op4_huffman, op5_suffix_dedup, op6_language_id, op7_bpe, op8_best_fit_packing, op9_exact_topk, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+with recursive m as (select conv_id, turn, role, text, case when length(text) % 4 = 0 and turn >= 3 then turn - 3 when turn > 0 then turn - 1 end as parent,
+                            case when role = 'assistant' then length(text)::double end as score from conversations),
+leaf as (select conv_id, turn from m where not exists (select 1 from m c where c.conv_id = m.conv_id and c.parent = m.turn)),
+path as (select conv_id, turn as leaf, turn as node, 0 as dist from leaf
+         union all select p.conv_id, p.leaf, m.parent, p.dist + 1 from path p join m on m.conv_id = p.conv_id and m.turn = p.node where m.parent is not null),
+per as (select p.conv_id, p.leaf, max(case when m.parent is null then p.node end) as root, coalesce(avg(m.score), 0) as score, count(*) as n_messages,
+               string_agg('<|im_start|>' || coalesce(m.role, 'user') || chr(10) || coalesce(m.text, '') || '<|im_end|>', chr(10) order by p.dist desc) as text
+        from path p join m on m.conv_id = p.conv_id and m.turn = p.node group by p.conv_id, p.leaf)
+select conv_id, root, leaf, row_number() over (partition by conv_id, root order by score desc, leaf)::integer as branch, n_messages, score, text from per qualify branch <= 1""",
+    "op9_exact_topk": r"""
+with v as (select vec_id, embedding::double[] as e from embeddings),
+s as (select a.vec_id as query_id, b.vec_id as neighbor_id, round(list_inner_product(a.e, b.e), 9) as score from v a join v b on a.vec_id <> b.vec_id)
+select query_id, neighbor_id, row_number() over (partition by query_id order by score desc, neighbor_id)::integer as rank, score from s qualify rank <= 10""",
     "op5_suffix_dedup": r"""
 with w as (select doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as words from documents where text is not null and doc_id is not null),
 p as (select doc_id, words, unnest(range(0, len(words) - 50 + 1)) as i from w where len(words) >= 50),
