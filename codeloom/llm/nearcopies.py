@@ -5,9 +5,9 @@ hashed to a bin and a value (i, v); a bin keeps its least pair, so values of an
 go to bin i - t, which guarantees that every coordinate fills. Rounds end as soon as all bins are full: for long
 documents after one or two.
 
-Documents that share a band become candidates. Buckets are never cut: first each document is verified against one member of each
-bucket (linear in the bucket), components of verified pairs contract, and this is repeated with other members; in the end
-all pairs that still lie in different components of one bucket are verified exactly.
+Documents that share a band become candidates. Buckets are never cut: first each document is verified against one member of one of its
+buckets (linear in the buckets), and components of verified pairs contract; then all pairs that still lie in different components
+of one bucket are verified exactly, inside the bucket, where their gram sets meet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,9 +106,69 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Data
     return with_b.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").mapInArrow(run, "a bigint, b bigint, jaccard double, same boolean")
 
 
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(t.split(), k).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
+
+    return docs.mapInArrow(run, "doc_id bigint, grams binary")
+
+
+def cross_pairs(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Pairs (a, b), a < b, of different roots (and sides, if given) with an exact Jaccard similarity >= threshold.
+
+    An inverted list of the grams counts all intersections of a document at once; documents of the largest component are only met by others.
+    """
+    sizes = np.array([len(s) for s in sets])
+    grams, which = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(which, kind="stable")
+    posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(grams)))])
+    first = np.cumsum(sizes) - sizes
+    names, counts = np.unique(roots, return_counts=True)
+    largest = names[counts.argmax()]
+    out = []
+    for i in np.flatnonzero(roots != largest):
+        own = which[first[i] : first[i] + sizes[i]]
+        n = begin[own + 1] - begin[own]
+        both = np.bincount(posting[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(sets))
+        hit = (both >= threshold * (sizes + sizes[i] - both)) & (roots != roots[i])
+        if sides is not None:
+            hit &= sides != sides[i]
+        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[hit]]
+    return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+
+
+#: Members of a bucket that are compared in one task's memory; larger buckets are cut into blocks that meet pairwise.
+BLOCK = 4096
+
+
+def _pairs_in_buckets(placed: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b) of placed(key, doc_id, root, n) that share a bucket, differ in root and are similar by their whole sets."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    mine = F.pmod(F.xxhash64("doc_id"), blocks)
+    cut = placed.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cut = cut.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "root")
+    rows = cut.join(_sets(docs, k), "doc_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = pdf["block"].to_numpy() if pdf["x"].iloc[0] != pdf["y"].iloc[0] else None
+        found = cross_pairs(pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), sides, [np.frombuffer(g, np.uint64) for g in pdf["grams"]], threshold)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return materialize(rows.groupBy("key", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct(), "rest")
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node of each node's connected component, by alternating large-star and small-star (Kiveris et al., 2014)."""
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    state = _fingerprint(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -115,14 +176,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         new = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        # a forest of stars that no star operation changes is the end
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
+        # edges that no star operation changes are a forest of stars: the end
+        state, old = _fingerprint(new), state
         now = new
+        if state == old:
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32, max_rounds: int = 12) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32) -> DataFrame:
     """(doc_id, keeper): every document that is a near copy, with the least id of its group; groups' first documents aren't listed.
 
     Groups are the connected components of the pairs that share a band and whose sets of word k-grams have an exact Jaccard
@@ -140,38 +202,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(shared.select("key", F.explode("docs").alias("doc_id")), "members")
     texts = materialize(single.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
-    verified, rejected = None, None
-    comp = members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
-    n_docs = texts.count()
-    for r in range(max_rounds + 1):
-        placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        live = materialize(placed.join(mixed, "key", "left_semi"), "live")
-        per = live.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq"))
-        left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0
-        if not left:
-            break
-        rest = left <= 4 * n_docs or r == max_rounds
-        if rest:
-            # every pair that is left
-            x, y = live.alias("x"), live.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        else:
-            # each document against one member of one of its buckets; another one in each round
-            pick = F.xxhash64("doc_id", F.lit(r)) if r else F.col("doc_id")
-            hub = live.groupBy("key").agg(F.min(F.struct(pick.alias("o"), F.col("doc_id").alias("hub"), F.col("root").alias("hub_root"))).alias("h")).select("key", "h.*")
-            one = live.join(hub, "key").where(F.col("root") != F.col("hub_root")).groupBy("doc_id").agg(F.min(F.struct("o", "hub")).alias("h"))
-            pairs = one.select(F.least("doc_id", "h.hub").alias("a"), F.greatest("doc_id", "h.hub").alias("b")).distinct()
-        if rejected is not None:
-            pairs = pairs.join(rejected, ["a", "b"], "left_anti")
-        done = materialize(_verify(pairs, texts, k, threshold), "verified")
-        good = done.where("same").select("a", "b")
-        bad = done.where("not same").select("a", "b")
-        verified = good if verified is None else verified.unionByName(good)
-        rejected = bad if rejected is None else rejected.unionByName(bad)
-        comp = components(verified)
-        if rest:
-            break
+    # each document against the first one of each of its buckets: linear, and it joins nearly all copies
+    hub = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
+    near_hub = members.join(hub, "key").where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
+    verified = materialize(_verify(near_hub.select("a", "b"), texts, k, threshold).where("same").select("a", "b"), "verified")
+    comp = components(verified)
+
+    # what still lies in different components of one bucket: every pair, inside the bucket
+    placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    per_key = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("content")).where("lo <> hi")
+    # buckets with the same members give the same pairs: one of them is enough
+    mixed = per_key.groupBy("n", "content").agg(F.min("key").alias("key"))
+    rest = _pairs_in_buckets(placed.join(mixed.select("key", "n"), "key"), texts, k, threshold)
+    comp = components(verified.unionByName(rest))
     # copies of a document follow it
     keepers = comp.select(F.col("node").alias("keeper"), "root")
     followers = exact.join(keepers, "keeper", "left").select("doc_id", F.coalesce("root", "keeper").alias("keeper"))
