@@ -79,7 +79,10 @@ def hysteresis(energy: np.ndarray, high: float, low: float) -> np.ndarray:
 
 
 def samples(raw: bytes, rate: int) -> tuple[np.ndarray, int]:
-    """(mono samples in [-1, 1], rate): a RIFF/WAVE file of 8- or 16-bit PCM by its header, anything else as unsigned 8-bit PCM at `rate`."""
+    """(mono samples in [-1, 1], rate): a RIFF/WAVE file of 8- or 16-bit PCM by its header, anything else as unsigned 8-bit PCM at `rate`.
+
+    A WAVE file of another coding, or cut off before its data, has no samples.
+    """
     if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE":
         at, form = 12, None
         while at + 8 <= len(raw):
@@ -93,6 +96,7 @@ def samples(raw: bytes, rate: int) -> tuple[np.ndarray, int]:
                 x = x / 127.5 - 1 if form[5] == 8 else x / 32768
                 return x.reshape(-1, form[1]).mean(axis=1), form[2]
             at += 8 + size + size % 2
+        return np.empty(0, np.float32), rate
     return np.frombuffer(raw, np.uint8).astype(np.float32) / np.float32(127.5) - 1, rate
 
 
