@@ -155,5 +155,5 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 n = there.sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(best.id[there]), pa.array((np.nonzero(there)[1] + 1).astype(np.int32)), pa.array(best.score[there])], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    names = vectors.sparkSession.read.parquet(path).select("name", "dim")
+    names = vectors.sparkSession.read.schema("name string, dim int").parquet(path)
     return names.repartition(shards, "name").mapInArrow(run, RESULT)
