@@ -158,9 +158,13 @@ class Merger:
         words: list[str] = []
         n_words = np.empty(len(new), np.int64)
         for i, piece in enumerate(new):
-            w = _SPLIT.findall(lead + piece)
-            n_words[i] = len(w)
-            words += w
+            if piece.isalpha():  # one run of letters is one pre-token
+                words.append(lead + piece)
+                n_words[i] = 1
+            else:
+                w = _SPLIT.findall(lead + piece)
+                n_words[i] = len(w)
+                words += w
         position = {w: i for i, w in enumerate(dict.fromkeys(words))}
         coded = [w.encode("utf-8", "surrogatepass") for w in position]
         ids, counts = self.known(coded, self.path) if self.known else merge_all(coded, self.path)
