@@ -109,7 +109,7 @@ class _Judge:
         return self.names[best], d[best], len(top), d[best] / scale, (min(rest) - d[best]) / scale if rest else None, d[best] / scale > self.reject_above
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", profile_size: int = 300, reject_above: float = 0.8) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", profile_size: int = 300, reject_above: float = 0.72) -> DataFrame:
     """One row per document: the language whose profile is nearest, and whether the document is rejected.
 
     distance sums |rank in document - rank in profile| over the document's profile_size most frequent n-grams, and profile_size
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     return documents(docs, id_col, text_col).mapInArrow(run, RESULT)
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", profile_size: int = 300, reject_above: float = 0.8) -> DataFrame:
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", profile_size: int = 300, reject_above: float = 0.72) -> DataFrame:
     """The rows of docs that identify() doesn't reject, all columns; one pass without a shuffle."""
     judge = _Judge(profiles, profile_size, reject_above)
 

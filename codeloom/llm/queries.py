@@ -98,7 +98,7 @@ dist as (select t.doc_id, l.lang, sum(coalesce(abs(t.rank - p.rank), 300))::bigi
          from top t cross join langs l left join prof p on p.lang = l.lang and p.gram = t.gram group by all),
 best as (select doc_id, lang, d, k, row_number() over (partition by doc_id order by d, lang) as r, lead(d) over (partition by doc_id order by d, lang) as second from dist)
 select x.doc_id, b.lang as predicted, b.d as distance, coalesce(b.k, 0)::integer as n_grams, b.d / (b.k * 300)::double as score,
-       (b.second - b.d) / (b.k * 300)::double as margin, coalesce(b.d / (b.k * 300)::double > 0.8, true) as rejected
+       (b.second - b.d) / (b.k * 300)::double as margin, coalesce(b.d / (b.k * 300)::double > 0.72, true) as rejected
 from documents x left join best b on b.doc_id = x.doc_id and b.r = 1""",
     "op10_minhash": r"""
 with recursive w as (select doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as words from documents where text is not null and doc_id is not null and text ~ '\S'),

@@ -507,3 +507,14 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {x.node: x.root for x in nearcopies.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_gibberish_is_rejected(spark):
+    """Random letters, encoded bytes and foreign scripts; text of the corpus stays (test_language_accuracy)."""
+    import base64
+
+    r = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (30, 100, 400)]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*letters, base64.b64encode(r.randbytes(2000)).decode(), "Привет мир как дела", "漢字 日本語"])], "doc_id bigint, text string")
+    assert all(x.rejected for x in language.identify(odd, language.train_profiles(docs)).collect())

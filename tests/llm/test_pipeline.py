@@ -27,7 +27,7 @@ def test_queries(spark, name):
 
 def expected(rows, profiles):
     """(doc, part, start, tokens) -> nothing but plain Python; rows are (doc_id, text)."""
-    judge = language._Judge(profiles, 300, 0.8)
+    judge = language._Judge(profiles, 300, 0.72)
     kept = {i: t for i, t in rows if not judge(t)[-1]}
     kept = {i: t for i, t in kept.items() if i not in brute_groups(kept)}
     out = {}
