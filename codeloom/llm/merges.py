@@ -204,14 +204,15 @@ def _library(path: str):
 
 
 class LibraryMerger(Merger):
-    """The same results with the tiktoken library for pieces not met before; for operators whose subject isn't tokenization."""
+    """The same results by the tiktoken library; for operators whose subject isn't tokenization."""
 
-    def _add(self, new: list[str], lead: str, cache: dict) -> None:
+    def counts(self, texts: list[str]) -> list[int]:
         encode = _library(self.path).encode_ordinary
-        if self.dtype is None:
-            cache.update((p, len(encode(lead + p))) for p in new)
-        else:
-            cache.update((p, np.array(encode(lead + p), self.dtype).tobytes()) for p in new)
+        return [len(encode(t)) for t in texts]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        encode = _library(self.path).encode_ordinary
+        return [np.array(encode(t), self.dtype).tobytes() for t in texts]
 
 
 _mergers: dict = {}
