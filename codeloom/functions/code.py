@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BRANCHES = ("if", "elif", "for", "while", "except", "with", "assert", "and", "or")
-_NESTING = ("if", "elif", "else", "for", "while", "try", "except", "finally", "with", "def", "class", "async")
-_STICKY = ("if", "for", "while", "try", "with")
+_BRANCHES = "if elif for while except with assert and or".split()
+_NESTING = "if elif else for while try except finally with def class async".split()
+_STICKY = "if for while try with".split()
 
 
 def strip(c: Column) -> Column:
@@ -29,10 +29,10 @@ def cyclomatic(text: Column) -> Column:
 
 
 def import_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?m)^(from\s+\S+\s+)?import\s+")).cast("int")
+    return F.regexp_count(text, F.lit(r"(?m)^(?:from\s++\S++\s++)?+import\s")).cast("int")
 
 
-def _starts(code: Column, words: tuple[str, ...]) -> Column:
+def _starts(code: Column, words: list[str]) -> Column:
     return code.rlike(rf"(?U)^({'|'.join(words)})\b")
 
 
@@ -136,11 +136,11 @@ def metric_findings(metrics: DataFrame, limits: dict = THRESHOLDS) -> DataFrame:
 
 #: (id, type, severity, regular expressions) of the patterns found line by line.
 PATTERNS = [
-    ("singleton", "DESIGN_PATTERN", "INFO", [r"_instance\s*=\s*None", r"\bget_instance\s*\(", r"\bgetInstance\s*\("]),
-    ("factory", "DESIGN_PATTERN", "INFO", [r"def\s+create_\w+", r"class\s+\w+Factory\b", r"def\s+factory\b"]),
-    ("magic_numbers", "CODE_SMELL", "INFO", [r"(?<![\w.])[2-9]\d{2,}(?![\w.])", r"\[\d+:\d+\]"]),
-    ("global_state", "ANTI_PATTERN", "WARNING", [r"^global\s+\w+", r"^[A-Z][A-Z0-9_]*\s*=\s*(?!frozen)"]),
-    ("bare_except", "ANTI_PATTERN", "WARNING", [r"\bexcept\s*:", r"\bexcept\s+Exception\s*:"]),
+    ("singleton", "DESIGN_PATTERN", "INFO", [r"_instance\s*+=\s*+None", *(rf"\b{f}\s*+[(]" for f in ("get_instance", "getInstance"))]),
+    ("factory", "DESIGN_PATTERN", "INFO", [r"def\s++create_\w", r"class\s++\w+Factory\b", r"def\s++factory\b"]),
+    ("magic_numbers", "CODE_SMELL", "INFO", [r"(?<![.\w])[2-9]\d\d++(?![.\w])", r"\[\d++:\d++\]"]),
+    ("global_state", "ANTI_PATTERN", "WARNING", [r"^global\s++\w", r"^[A-Z][A-Z0-9_]*+\s*+=(?!\s*+frozen)"]),
+    ("bare_except", "ANTI_PATTERN", "WARNING", [rf"\bexcept{what}\s*+:" for what in ("", r"\s++Exception")]),
 ]
 
 
@@ -163,9 +163,9 @@ def structural_patterns(entities: DataFrame) -> DataFrame:
     return entities.select("id", F.inline(F.array_compact(F.array(*rules)))).withColumn("confidence", F.lit(0.9))
 
 
-_SINGLETON = (r"_instance\s*=\s*None", r"def\s+get_instance\s*\(", r"def\s+__new__\s*\(", r"cls\._instance")
-_FACTORY = (r"def\s+create_(\w+)", r"class\s+(\w+Factory)\b", r"def\s+make_(\w+)", r"def\s+build_(\w+)")
-_WRAPPER = (r"def\s+wrapper\s*\(", r"@functools\.wraps", r"@wraps\s*\(", r"return\s+wrapper\b")
+_SINGLETON = (r"_instance\s*+=\s*+None", *(rf"def\s++{f}\s*+[(]" for f in ("get_instance", "__new__")), r"cls[.]_instance")
+_FACTORY = (r"class\s++(\w+Factory)\b", *(rf"def\s++{verb}_(\w++)" for verb in ("create", "make", "build")))
+_WRAPPER = ("@functools[.]wraps", r"@wraps\s*+[(]", r"def\s++wrapper\s*+[(]", r"return\s++wrapper\b")
 
 
 def _any(code: Column, regexes: tuple[str, ...]) -> Column:

@@ -7,32 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query type -> expressions; a question scores 0.5 for the first that hits and 1.0 from the second on. The order breaks ties.
-ROUTES: dict[str, list[str]] = {
-    "explain": [r"\bexplain\b", r"\b(how|what) does\b", r"\bwhat is\b", r"\bunderstand\b", r"\bdescribe\b", r"\bwalk\b.*\bthrough\b", r"\btell me about\b"],
-    "trace": [r"\btrace\b", r"\bflow\b", r"\bpath\b", r"\bcall chain\b", r"\bfollows?\b", r"\bexecution\b", r"\bwhere\b.*\bcalled\b", r"\bcalls?\b.*\bfrom\b", r"\bdata\b.*\bflow\b", r"\bcontrol\b.*\bflow\b"],
-    "find": [r"\bfind\b", r"\bsearch\b", r"\bwhere\b", r"\blocate\b", r"\bwhich\b", r"\blist\b.*\ball\b", r"\bshow\b.*\ball\b", r"\blook\b.*\bfor\b"],
-    "generate": [r"\bgenerate\b", r"\bcreate\b", r"\bwrite\b", r"\bimplement\b", r"\badd\b", r"\bbuild\b", r"\bmake\b.*\bfunction\b", r"\bmake\b.*\bclass\b"],
-    "review": [r"\breview\b", r"\bcheck\b", r"\bissues?\b", r"\bproblems?\b", r"\bquality\b", r"\bcode review\b"],
-    "refactor": [r"\brefactor\b", r"\bimprove\b", r"\bclean\b", r"\bsimplify\b", r"\boptimize\b", r"\brestructure\b"],
-    "debug": [r"\bdebug\b", r"\bfix\b", r"\berror\b", r"\bbug\b", r"\bbroken\b", r"\bfailing\b", r"\bcrash\b", r"\bexception\b", r"\bnot working\b"],
-    "document": [r"\bdocument\b", r"\bdocstring\b", r"\bcomment\b", r"\bdocumentation\b", r"\bapi doc\b"],
-    "test": [r"\btest\b", r"\bunittest\b", r"\bpytest\b", r"\btest case\b", r"\bunit test\b"],
-}
-#: Query type -> words of the plain substring classifier, in its order.
-KEYWORDS: dict[str, list[str]] = {
-    "explain": ["explain", "how does", "what does", "what is", "describe"],
-    "trace": ["trace", "flow", "path", "call chain"],
-    "find": ["find", "search", "where", "locate"],
-    "generate": ["generate", "create", "write", "implement", "add"],
-    "review": ["review", "check", "quality"],
-    "refactor": ["refactor", "improve", "clean", "simplify"],
-    "debug": ["debug", "fix", "error", "bug"],
-    "document": ["document", "docstring", "comment"],
-    "test": ["test"],
-}
-COMMON = ("the", "a", "an", "is", "are", "this", "that", "it", "in", "on", "of", "to", "for", "and", "or", "does", "do", "how", "what")
-_ENTITIES = [(r"`([^`]+)`", 1), (r"(?i)\b(?:function|method|class|module)\s+(\w+)", 1), (r"(?i)\b(\w+)\s+(?:function|method|class|module)\b", 1), (r"\b(\w+)\(\)", 1), (r"\b(\w+)\.(\w+)\b", 1), (r"\b(\w+)\.(\w+)\b", 2)]
+#: Query type: what its questions say, in any case; `..` stands for anything between two words, `(s)` for an optional ending. The order breaks ties.
+_ROUTES = """
+explain: explain; how does; what does; what is; understand; describe; walk .. through; tell me about
+trace: trace; flow; path; call chain; follow(s); execution; where .. called; call(s) .. from; data .. flow; control .. flow
+find: find; search; where; locate; which; list .. all; show .. all; look .. for
+generate: generate; create; write; implement; add; build; make .. function; make .. class
+review: review; check; issue(s); problem(s); quality; code review
+refactor: refactor; improve; clean; simplify; optimize; restructure
+debug: debug; fix; error; bug; broken; failing; crash; exception; not working
+document: document; docstring; comment; documentation; api doc
+test: test; unittest; pytest; test case; unit test
+"""
+#: Query type: words of the plain substring classifier, in its order.
+_KEYWORDS = """
+explain: explain; how does; what does; what is; describe
+trace: trace; flow; path; call chain
+find: find; search; where; locate
+generate: generate; create; write; implement; add
+review: review; check; quality
+refactor: refactor; improve; clean; simplify
+debug: debug; fix; error; bug
+document: document; docstring; comment
+test: test
+"""
+
+
+def _table(text: str) -> dict[str, list[str]]:
+    return {name: phrases.strip().split("; ") for name, phrases in (line.split(":") for line in text.strip().splitlines())}
+
+
+def _expression(phrase: str) -> str:
+    """Whole words only."""
+    return r"\b" + phrase.replace("(s)", "s?").replace(" .. ", r"\b.*\b") + r"\b"
+
+
+#: Query type -> expressions; a question scores 0.5 for the first that hits and 1.0 from the second on.
+ROUTES = {t: [_expression(p) for p in phrases] for t, phrases in _table(_ROUTES).items()}
+KEYWORDS = _table(_KEYWORDS)
+COMMON = tuple("the a an is are this that it in on of to for and or does do how what".split())
+_NOUN = "(?i:function|method|class|module)"
+_ENTITIES = [("`([^`]++)`", 1), (rf"\b{_NOUN}\s++(\w++)", 1), (rf"\b(\w+)\s+{_NOUN}\b", 1), (r"\b(\w++)[(][)]", 1), (r"\b(\w++)[.](\w++)", 1), (r"\b(\w++)[.](\w++)", 2)]
 CONTEXT = {
     "explain": ["source", "docstring", "callers", "callees"], "trace": ["callers", "callees", "data_flow"], "find": ["source", "signature"], "generate": ["signature", "similar"], "review": ["source", "metrics", "patterns"],
     "refactor": ["source", "metrics", "callers"], "debug": ["source", "callers", "callees", "data_flow"], "document": ["source", "signature", "docstring"], "test": ["source", "signature", "callers"], "general": ["source"],

@@ -9,7 +9,7 @@ from codeloom.sources.tables import cut
 
 _BASE = {"DELETE": 4, "RENAME": 3, "MODIFY": 2, "MOVE": 2, "ADD": 1}
 _RISK = {"DELETE": 40, "RENAME": 30, "MODIFY": 20, "MOVE": 20, "ADD": 10}
-LEVELS = ("none", "low", "medium", "high", "critical")
+LEVELS = "none low medium high critical".split()
 
 
 def _of(change: Column, table: dict[str, int]) -> Column:

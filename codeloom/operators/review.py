@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (category, severity, expression, message): checked on added lines, in any case.
-RULES = [
-    ("security", "ERROR", r"\beval\s*\(", "eval runs arbitrary code"),
-    ("security", "ERROR", r"\bexec\s*\(", "exec runs arbitrary code"),
-    ("security", "ERROR", r"password\s*=\s*['\"][^'\"]+['\"]", "password in the source"),
-    ("security", "ERROR", r"api_?key\s*=\s*['\"][^'\"]+['\"]", "API key in the source"),
-    ("security", "ERROR", r"\.execute\s*\(.*%", "SQL built from strings"),
-    ("todo", "INFO", r"#\s*todo", "open TODO"),
-    ("todo", "INFO", r"#\s*fixme", "open FIXME"),
-    ("todo", "INFO", r"#\s*hack", "HACK"),
-    ("debug", "INFO", r"\bprint\s*\(", "print left in"),
-    ("debug", "INFO", r"console\.log\s*\(", "console.log left in"),
-    ("debug", "INFO", r"\bdebugger\b", "debugger left in"),
-    ("error_handling", "WARNING", r"except\s*:", "except without a type"),
-    ("error_handling", "WARNING", r"\bpass\s*$", "nothing is done here"),
-    ("imports", "WARNING", r"from\s+\S+\s+import\s+\*", "wildcard import"),
-]
-_LANGUAGES = [(".py", "python"), (".js", "javascript"), (".jsx", "javascript"), (".ts", "typescript"), (".tsx", "typescript"), (".java", "java"), (".go", "go"), (".rs", "rust"), (".rb", "ruby"), (".php", "php"), (".cpp", "cpp"), (".c", "c"), (".cs", "csharp")]
-_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+def _rules():
+    """(category, severity, expression, message): checked on added lines, in any case."""
+    for name in ("eval", "exec"):
+        yield "security", "ERROR", rf"\b{name}\s*+[(]", f"{name} runs arbitrary code"
+    for name, what in (("password", "password"), ("api_?key", "API key")):
+        yield "security", "ERROR", rf"{name}\s*+=\s*+(['\"])[^'\"]++\1", f"{what} in the source"
+    yield "security", "ERROR", r"[.]execute\s*+[(].*%", "SQL built from strings"
+    for word in ("todo", "fixme", "hack"):
+        yield "todo", "INFO", rf"#\s*+{word}", f"open {word.upper()}"
+    for call in (r"\bprint\s*+[(]", r"console[.]log\s*+[(]", r"\bdebugger\b"):
+        yield "debug", "INFO", call, "debugging left in"
+    yield "error_handling", "WARNING", r"except\s*+:", "except without a type"
+    yield "error_handling", "WARNING", r"\bpass\s*+$", "nothing is done here"
+    yield "imports", "WARNING", r"from\s++\S++\s++import\s++[*]", "wildcard import"
+
+
+RULES = list(_rules())
+_ENDINGS = "py=python js=javascript jsx=javascript ts=typescript tsx=typescript java=java go=go rs=rust rb=ruby php=php cpp=cpp c=c cs=csharp"
+_LANGUAGES = [("." + x.split("=")[0], x.split("=")[1]) for x in _ENDINGS.split()]
+_HEADER = r"^@@ -(\d++)(?:[,](\d++))?+ [+](\d++)(?:[,](\d++))?+ @@"
 
 
 def diff_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:

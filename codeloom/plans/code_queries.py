@@ -203,7 +203,7 @@ def decorator(spark, d):
     return C.decorators(C.lines(corpus(spark)))
 
 
-_ASSIGN = rf"a as (select file_path, line, regexp_extract(raw, '^(\s*)(\w+)\s*=\s*(.+)$', 2) as name, regexp_extract(raw, '^(\s*)(\w+)\s*=\s*(.+)$', 3) as value from l where regexp_matches(raw, '^(\s*)(\w+)\s*=\s*(.+)$') and not regexp_matches(regexp_extract(raw, '^(\s*)(\w+)\s*=\s*(.+)$', 3), '^(def|class|lambda)'))"
+_ASSIGN = rf"a as (select file_path, line, regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 1) as name, regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 2) as value from l where regexp_matches(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$') and not regexp_matches(regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 2), '^(def|class|lambda)'))"
 _VARS = r"list_filter(list_distinct(regexp_extract_all(value, '\b([a-zA-Z_]\w*)\b', 1)), lambda v: not list_contains(['True','False','None','and','or','not','in','is','if','else','for'], v))"
 _EDGES = f"""u as (select file_path, line, unnest({_VARS}) as name from a),
 du as (select u.file_path, max(a.line) as src_line, u.line as dst_line, u.name from u join a on a.file_path = u.file_path and a.name = u.name and a.line < u.line group by u.file_path, u.line, u.name)"""

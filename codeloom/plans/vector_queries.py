@@ -8,7 +8,7 @@ from codeloom.operators import vectors as V
 from codeloom.plans.registry import query
 from codeloom.sources.tables import load
 
-_KINDS = ["function_full", "function_signature", "function_docstring", "class_full", "class_docstring"]
+_KINDS = [*(f"function_{x}" for x in ("full", "signature", "docstring")), *(f"class_{x}" for x in ("full", "docstring"))]
 
 
 def chunks(spark, d):

@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp",
-    ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".r": "r", ".lua": "lua", ".sh": "bash", ".sql": "sql", ".html": "html", ".css": "css", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
-}
-EXCLUDES = ["**/node_modules/**", "**/.git/**", "**/venv/**", "**/__pycache__/**", "**/dist/**", "**/build/**", "**/.tox/**", "**/.pytest_cache/**", "**/.mypy_cache/**", "**/coverage/**", "**/*.min.js", "**/*.min.css", "**/*.map"]
+_SUFFIXES = (
+    "python=py pyi; javascript=js jsx mjs; typescript=ts tsx; java=java; go=go; rust=rs; c=c h; cpp=cpp hpp cc; csharp=cs; ruby=rb; php=php; swift=swift; "
+    "kotlin=kt; scala=scala; r=r; lua=lua; bash=sh; sql=sql; html=html; css=css; json=json; yaml=yaml yml"
+)
+LANGUAGES = {f".{suffix}": name for name, suffixes in (x.split("=") for x in _SUFFIXES.split("; ")) for suffix in suffixes.split()}
+_FOLDERS = "node_modules .git venv __pycache__ dist build .tox .pytest_cache .mypy_cache coverage"
+EXCLUDES = [f"**/{folder}/**" for folder in _FOLDERS.split()] + [f"**/*.{end}" for end in ("min.js", "min.css", "map")]
 
 
 def _glob(pattern: str) -> str:

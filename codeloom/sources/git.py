@@ -17,8 +17,9 @@ class Repository:
         self.path, self.timeout = path, timeout
 
     @classmethod
-    def clone(cls, url: str, path: str, branch: str | None = None, depth: int | None = None, timeout: int = 300) -> Repository:
-        more = (["--branch", branch] if branch else []) + (["--depth", str(depth)] if depth else [])
+    def clone(cls, url: str, path: str, *, timeout: int = 300, **options) -> Repository:
+        """Options are git's own, such as branch and depth."""
+        more = [x for k, v in options.items() if v for x in (f"--{k}", str(v))]
         subprocess.run(["git", "clone", *more, url, path], check=True, capture_output=True, timeout=timeout)
         return cls(path)
 
