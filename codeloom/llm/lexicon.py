@@ -15,10 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, local_path, new_path, passes
+from .common import documents, local_path, materialize, new_path, passes
 from .merges import _SPLIT, DEFAULT_VOCABULARY, Merger, merge_all, pieces_of, vocabulary
 
 _SECTIONS = ("edge_key", "edge_target", "edge_number", "final", "id_begin", "ids")
@@ -156,7 +156,7 @@ def encode_words(words: list[bytes], lexicon: dict[str, np.ndarray], vocabulary_
 
 
 def frequent_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50_000) -> list[bytes]:
-    """The most frequent pre-tokens of all texts (ties: the lesser bytes), at most `size` of them."""
+    """The most frequent pre-tokens of all texts, at most `size` of them: all that reach some count of 2 or more. Words with equal counts are in or out together."""
 
     def count(batches):
         for b in batches:
@@ -169,13 +169,20 @@ def frequent_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     bodies.update(p[1:])
                 for lead, counted in (("", heads), (" ", bodies)):
                     for piece, n in counted.items():
-                        for w in _SPLIT.findall(lead + piece):
-                            total[w] += n
+                        if piece.isalpha():
+                            total[lead + piece] += n
+                        else:
+                            for w in _SPLIT.findall(lead + piece):
+                                total[w] += n
                 if total:
                     yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in total], pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    counted = documents(docs, id_col, text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # at most `size` rows
+    counted = documents(docs, id_col, text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = materialize(counted, "words")
+    # the least count that at most `size` words reach, from how many words have each count
+    above = F.sum("words").over(Window.orderBy(F.desc("n")))
+    cut = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", above).where(F.col("above") <= size).agg(F.min("n")).first()[0]
+    return [] if cut is None else sorted(bytes(r["word"]) for r in counted.where(F.col("n") >= cut).select("word").collect())  # at most `size` rows in all
 
 
 def publish(docs_or_spark, lexicon: dict[str, np.ndarray]) -> str:
