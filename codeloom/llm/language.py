@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
 
 _BITS = 21
 RESULT = "doc_id bigint, predicted string, distance bigint, n_grams int, score double, margin double, rejected boolean"
@@ -70,6 +70,9 @@ def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labelled = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))
     chosen = labelled.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_rows)
+    chosen = materialize(chosen.select("doc_id", "lang"), "sample")
+    # sample_rows for each label: small unless the labels themselves are many
+    side = F.broadcast(chosen) if chosen.count() <= 100_000 else chosen
 
     def count(batches):
         for b in batches:
@@ -80,7 +83,7 @@ def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found, counts = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams = labelled.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
+    grams = labelled.join(side, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= profile_size)
     out: dict[str, list] = {}
