@@ -68,11 +68,27 @@ def cognitive_corpus(spark, d):
     return C.cognitive(C.lines(corpus(spark)))
 
 
-@query()
+_NESTED = """i as (select file_path, line, code, (length(raw) - length(regexp_replace(raw, '^{ws}', '')))::bigint as indent,
+regexp_matches(code, '^(if|elif|else|for|while|try|except|finally|with|def|class|async)([^\\p{{L}}\\p{{N}}_]|$)') and code like '%:' as opens from l where code <> ''),
+o as (select *, row_number() over (partition by file_path order by line) as n from i),
+w as (select file_path, 0::bigint as n, [0::bigint] as stack, 0::bigint as deepest from t
+union all select file_path, n, stack, greatest(deepest, len(stack) - 1) from (
+select w.file_path, o.n, w.deepest, case when o.opens and list_filter(w.stack, lambda x: x <= o.indent or x = 0)[-1] < o.indent + 4
+then list_append(list_filter(w.stack, lambda x: x <= o.indent or x = 0), o.indent + 4) else list_filter(w.stack, lambda x: x <= o.indent or x = 0) end as stack
+from w join o on o.file_path = w.file_path and o.n = w.n + 1))
+select file_path, max(deepest)::integer as nesting from w group by 1""".format(ws=_WS)
+
+
+@query(f"with recursive {_DOCS}, {_LINES}, {_NESTED}")
 def nesting_depth(spark, d):
     return docs(spark, d).select("file_path", C.nesting_depth(F.col("text")).alias("nesting"))
 
 
+@query(f"with recursive {_T}, {_LINES}, {_NESTED}")
+def nesting_depth_corpus(spark, d):
+    return corpus(spark).select("file_path", C.nesting_depth(F.col("text")).alias("nesting"))
+
+
 _COUNTS = """q as (select *, case when contains(code, '\"\"\"') then (length(code) - length(replace(code, '\"\"\"', ''))) // 3 else (length(code) - length(replace(code, '''''''', ''))) // 3 end as marks from l),
 p as (select *, coalesce(sum((marks = 1)::integer) over (partition by file_path order by line rows between unbounded preceding and 1 preceding), 0) as toggles from q),
 kinds as (select file_path, case when code = '' then 'blank' when marks > 0 or toggles % 2 = 1 or code like '#%' then 'comment' else 'code' end as kind from p)

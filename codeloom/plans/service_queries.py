@@ -101,7 +101,12 @@ def route_scores(spark, d):
     return Q.route(_questions(spark, d)).select("id", "query_type", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+_WORD, _NOT = r"[\p{L}\p{N}_]+", r"(?:^|[^\p{L}\p{N}_])"
+_NOUN = "(?i:function|method|class|module)"
+_FOUND = " || ".join(f"regexp_extract_all(text, '{rx}', {g})" for rx, g in [("`([^`]+)`", 1), (rf"{_NOT}{_NOUN}\s+({_WORD})", 1), (rf"({_WORD})\s+{_NOUN}(?:$|[^\p{{L}}\p{{N}}_])", 1), (rf"({_WORD})\(\)", 1), (rf"({_WORD})\.({_WORD})", 1), (rf"({_WORD})\.({_WORD})", 2)])
+
+
+@query(f"with {_ASKED} select id, array_to_string(list_sort(list_distinct(list_filter({_FOUND}, lambda x: length(x) > 1 and not list_contains({list(Q.COMMON)}, lower(x))))), ',') as entities from q")
 def extract_entities(spark, d):
     asked = _questions(spark, d)
     return asked.select("id", F.array_join(Q.entities(F.col("text")), ",").alias("entities"))
