@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, mix, passes, unique_documents, word_hashes
@@ -195,16 +195,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = unique_documents(documents(docs, id_col, text_col).where("doc_id is not null and text is not null"))
     # exact copies (equal words) share a content hash: only one of them goes on
     hashed = plain.select("doc_id", F.sha2(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 256).alias("content"), F.expr(r"text rlike '(?U)\\S'").alias("words")).where("words").select("doc_id", F.unhex("content").alias("content"))
-    exact = materialize(hashed.groupBy("content").agg(F.min("doc_id").alias("keeper"), F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1).select("keeper", F.explode("ids").alias("doc_id")).where("doc_id <> keeper"), "exact")
+    exact = hashed.withColumn("keeper", F.min("doc_id").over(Window.partitionBy("content"))).where("doc_id <> keeper").select("doc_id", "keeper")
+    exact = materialize(exact, "exact")
     single = plain.join(exact.select("doc_id"), "doc_id", "left_anti")
     found = _bands(single, k, coordinates, bands)
-    shared = found.groupBy("key").agg(F.collect_set("doc_id").alias("docs")).where(F.size("docs") > 1)
-    members = materialize(shared.select("key", F.explode("docs").alias("doc_id")), "members")
+    # windows spill where a bucket is large; a bucket is never one row
+    bucket = Window.partitionBy("key")
+    shared = found.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("doc_id").over(bucket)).where("n > 1")
+    members = materialize(shared.select("key", "doc_id", "hub"), "members")
     texts = materialize(single.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     # each document against the first one of each of its buckets: linear, and it joins nearly all copies
-    hub = members.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    near_hub = members.join(hub, "key").where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
+    near_hub = members.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
     verified = materialize(_verify(near_hub.select("a", "b"), texts, k, threshold).where("same").select("a", "b"), "verified")
     comp = components(verified)
 
