@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,13 @@ def passes(texts: list, chars: int = PASS_CHARS) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a worker holds as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the finalizer of splitmix64)."""
     x = x ^ (x >> _S30)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, passes
+from .common import documents, materialize, passes, slices
 from .merges import DEFAULT_VOCABULARY, LibraryMerger, merger
 
 RESULT = "doc_id bigint, n_ids bigint, n_bits bigint, payload binary, block_bits array<bigint>"
@@ -105,7 +105,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
     def run(batches):
         m = merger(vocabulary_path, "<u2", LibraryMerger)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in passes(texts):
                 there = iter(m.ids([t for t in texts[lo:hi] if t is not None]))
@@ -119,7 +119,7 @@ def global_counts(ids: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for v in b.column("ids").drop_null():
                 total += np.bincount(np.frombuffer(v.as_buffer(), "<u2"), minlength=1 << 16)
         at = np.flatnonzero(total)
@@ -142,7 +142,7 @@ def compress(ids: DataFrame, limit: int = 18, block: int = 512) -> tuple[DataFra
     codes = canonical_codes(lengths)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for v in b.column("ids"):
                 if not v.is_valid:
@@ -164,7 +164,7 @@ def expand(coded: DataFrame, lengths: np.ndarray, block: int = 512) -> DataFrame
 
     def run(batches):
         d = Decoder(lengths)
-        for b in batches:
+        for b in slices(batches):
             out = [None if n is None else d.blocks(p, np.array(o, np.int64), n, block).astype(np.int32) for n, p, o in zip(b.column("n_ids").to_pylist(), b.column("payload").to_pylist(), b.column("block_bits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, slices
 
 _BITS = 21
 RESULT = "doc_id bigint, predicted string, distance bigint, n_grams int, score double, margin double, rejected boolean"
@@ -75,7 +75,7 @@ def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     side = F.broadcast(chosen) if chosen.count() <= 100_000 else chosen
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             langs = np.array(b.column("lang").to_pylist(), dtype=object)
             texts = b.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
 
     def run(batches):
         types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in RESULT.split(", ")])

@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, local_path, materialize, new_path, passes
+from .common import documents, local_path, materialize, new_path, passes, slices
 from .merges import _SPLIT, DEFAULT_VOCABULARY, Merger, merge_all, pieces_of, vocabulary
 
 _SECTIONS = ("edge_key", "edge_target", "edge_number", "final", "id_begin", "ids")
@@ -159,7 +159,7 @@ def frequent_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The most frequent pre-tokens of all texts, at most `size` of them: all that reach some count of 2 or more. Words with equal counts are in or out together."""
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches, 4000):
             texts = [t for t in b.column("text").to_pylist() if t is not None]
             for lo, hi in passes(texts, 8_000_000):
                 heads, bodies, total = Counter(), Counter(), Counter()
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         m = _merger(name, vocabulary_path)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in passes(texts):
                 there = iter(m.ids([t for t in texts[lo:hi] if t is not None]))
@@ -247,7 +247,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     """(doc_id, text) of every row; NULL ids give NULL, no ids the empty text, an id outside the vocabulary raises."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             lists = b.column("ids")
             texts = [None if not v.is_valid else decode_ids(v.values.to_numpy(), vocabulary_path) for v in lists]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

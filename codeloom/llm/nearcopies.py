@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, passes, unique_documents, word_hashes
+from .common import documents, materialize, mix, passes, slices, unique_documents, word_hashes
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -74,7 +74,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _bands(docs: DataFrame, k: int, t: int, bands: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
             for lo, hi in passes(texts):
                 kept, sketches = [], []
@@ -97,7 +97,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Data
         def of(text):
             return shingle_hashes(text.split(), k)
 
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             j = [jaccard(of(p), of(q)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j, pa.float64()), pa.array([v >= threshold for v in j], pa.bool_())], names=["a", "b", "jaccard", "same"])
@@ -108,7 +108,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Data
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_hashes(t.split(), k).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, unique_documents, word_hashes
+from .common import documents, materialize, mix, slices, unique_documents, word_hashes
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -76,7 +76,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = unique_documents(documents(docs, id_col, text_col).where("doc_id is not null and text is not null"))
 
     def first_pass(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             parts = []
             for i, t in zip(ids, texts, strict=True):
@@ -107,7 +107,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     delegates = passed.where(F.col("mixed") & (F.col("first") == here)).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n", "digit1", "digit2", "count"))).alias("runs"))
 
     def last_pass(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = [[] for _ in range(6)]
             for i, t, runs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 w = t.split()

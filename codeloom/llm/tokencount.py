@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, passes
+from .common import documents, passes, slices
 from .merges import DEFAULT_VOCABULARY, LibraryMerger, Merger, merger
 
 
@@ -19,7 +19,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         m = merger(vocabulary_path, None, LibraryMerger if library else Merger)
-        for b in batches:
+        for b in slices(batches):
             texts, out = b.column("text").to_pylist(), []
             for lo, hi in passes(texts):
                 there = [t for t in texts[lo:hi] if t is not None]
