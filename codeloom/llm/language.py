@@ -7,7 +7,6 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,8 +136,9 @@ def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], text_col:
     """The rows of docs that identify() doesn't reject, all columns; one pass without a shuffle."""
     judge = _Judge(profiles, profile_size, reject_above)
 
-    @F.pandas_udf("boolean")
-    def kept(text: pd.Series) -> pd.Series:
-        return pd.Series([not judge(t)[-1] for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array) -> pa.Array:
+        # a slice at a time: a batch's texts are never all Python objects
+        return pa.array([not judge(t)[-1] for at in range(0, len(text), 1000) for t in text.slice(at, 1000).to_pylist()], pa.bool_())
 
     return docs.where(kept(F.col(f"`{text_col}`").cast("string")))

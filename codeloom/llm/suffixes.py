@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,9 +171,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_doc = spans.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
     joined = docs.join(per_doc, F.col(f"`{id_col}`") == F.col("__cut_id"), "left")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([t if c is None else without_spans(t, [(s["start_word"], s["end_word"]) for s in c]) for t, c in zip(text, cuts, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        def one(at: int) -> pa.Array:
+            rows = zip(text.slice(at, 1000).to_pylist(), cuts.slice(at, 1000).to_pylist(), strict=True)
+            return pa.array([t if c is None else without_spans(t, [(s["start_word"], s["end_word"]) for s in c]) for t, c in rows], pa.string())
+
+        return pa.concat_arrays([one(at) for at in range(0, len(text), 1000)]) if len(text) else pa.array([], pa.string())
 
     new = joined.withColumn("__text", cut(F.col(f"`{text_col}`"), F.col("__cuts"))).where("__cut_id is null or __text <> ''")
     if chars_col and chars_col in docs.columns:
