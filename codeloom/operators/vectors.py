@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +61,67 @@ def docstring_search(chunks: DataFrame, query: DataFrame, limit: int = 10, thres
     return parts[0].unionByName(parts[1]).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+#: Rows of a block of batch_search, and how many of its queries are scored at once.
+BLOCK_ROWS, SLICE = 8192, 256
+
+
+def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of doubles; all zero where a vector is null, holds a null or has another length, so that its cosine is 0."""
+    v = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    out = np.zeros((len(v), dims))
+    fits = np.nonzero(pc.fill_null(pc.equal(pc.list_value_length(v), dims), False).to_numpy(zero_copy_only=False))[0]
+    flat = v.take(pa.array(fits)).flatten()
+    holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(fits), dims).any(axis=1)
+    out[fits] = np.where(holes[:, None], 0.0, flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(fits), dims))
+    return out
+
+
+def _sum(products) -> np.ndarray:
+    """Added one dimension after the other, as dot() does: equal vectors get equal scores, to the last bit."""
+    return reduce(lambda s, x: s + x, products, 0.0)
+
+
+def _best(queries: pa.Table, chunks: pa.Table, k: int) -> pa.Table:
+    """The k best of a block of chunks for each query of another block: a matrix product finds who can be among them, only those are scored exactly."""
+    chunks = chunks.sort_by("chunk_id")
+    rows, cols, scores = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    sizes = pc.fill_null(pc.list_value_length(queries["vector"]), 0).to_numpy()
+    for dims in np.unique(sizes) if len(chunks) else ():
+        at = np.nonzero(sizes == dims)[0]
+        q, c = (_matrix(x, int(dims)) for x in (queries["vector"].take(pa.array(at)), chunks["embedding"]))
+        nq, nc = (np.sqrt(_sum(x[:, j] * x[:, j] for j in range(dims)) + np.zeros(len(x))) for x in (q, c))
+        uq, uc = (x / np.where(n == 0, 1.0, n)[:, None] for x, n in ((q, nq), (c, nc)))
+        for i in range(0, len(at), SLICE):
+            near = uq[i : i + SLICE] @ uc.T
+            least = np.partition(near, -k, axis=1)[:, -k][:, None] if k < len(c) else np.full((len(near), 1), -np.inf)
+            r, j = np.nonzero(~(near < least - 1e-9))
+            r += i
+            n = nq[r] * nc[j]
+            s = np.where(n == 0, 0.0, _sum(q[r, x] * c[j, x] for x in range(dims)) / np.where(n == 0, 1.0, n))
+            order = np.lexsort((j, -np.where(np.isnan(s), np.inf, s), r))
+            r, j, s = r[order], j[order], s[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows.append(at[r[first]]), cols.append(j[first]), scores.append(s[first])
+    r, c = (pa.array(np.concatenate(x)) for x in (rows, cols))
+    return pa.table({"query_id": queries["query_id"].take(r), "chunk_id": chunks["chunk_id"].take(c), "score": np.concatenate(scores)})
+
+
 def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks by cosine for every row of queries(query_id, vector).
 
     Both sides are cut into blocks that meet pairwise; each pair keeps k rows per query before the final rank.
     """
-    pairs = queries.crossJoin(chunks.select("chunk_id", "embedding")).select("query_id", "chunk_id", cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    queries, chunks = queries.select("query_id", "vector"), chunks.select("chunk_id", "embedding")
+    blocks = [max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, chunks)]
+
+    def spread(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    left, right = spread(queries, "query_id", "__q", blocks[0], "__c", blocks[1]), spread(chunks, "chunk_id", "__c", blocks[1], "__q", blocks[0])
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    kept = left.groupBy("__q", "__c").cogroup(right.groupBy("__q", "__c")).applyInArrow(lambda q, c: _best(q, c, k), kinds)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:

@@ -72,6 +72,15 @@ def batch_knn(spark, d):
     return V.batch_search(chunks(spark, d), queries, 5).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"with {_C} select vec_id as query_id, chunk_id, rank, round(score, 6) as score from (select vec_id, chunk_id, list_cosine_similarity(e, embedding::double[]) as score, row_number() over (partition by vec_id order by list_cosine_similarity(e, embedding::double[]) desc, chunk_id)::integer as rank from embeddings cross join c) where rank <= 5"
+)
+def batch_knn_all(spark, d):
+    """Every row as a query; batch_knn is held to its SQL over one label."""
+    queries = load(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return V.batch_search(chunks(spark, d), queries, 5).withColumn("score", F.round("score", 6))
+
+
 @query("select vec_id as chunk_id, case when vec_id % 7 = 0 then 'new' else 'repo' || (label % 3) end as repo_id from embeddings")
 def upsert_chunks(spark, d):
     c = chunks(spark, d)
