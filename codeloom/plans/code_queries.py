@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import code as C
 from codeloom.operators import dataflow as X
 from codeloom.plans import domain as D
-from codeloom.plans.registry import query
+from codeloom.plans.registry import ORACLE_SQL, query
 from codeloom.sources.tables import cut, load
 
 #: Sources with what the documents lack; both engines get them as literals.
@@ -273,3 +273,15 @@ def trace_origin(spark, d):
 @query(_TRACE.format(calls=D.SQL_CALLS, near="src", far="dst"))
 def trace_destination(spark, d):
     return X.trace(cut(D.calls(spark, d), "calls"), load(spark, d, "part").where("p_size = 3").select(F.col("p_partkey").alias("id")), False)
+
+
+@query(ORACLE_SQL["trace_origin"].replace(" where p_size = 3", ""))
+def trace_origin_all(spark, d):
+    """From every node; trace_origin is held to its SQL over one size."""
+    return X.trace(cut(D.calls(spark, d), "calls"), load(spark, d, "part").select(F.col("p_partkey").alias("id")), True)
+
+
+@query(ORACLE_SQL["trace_destination"].replace(" where p_size = 3", ""))
+def trace_destination_all(spark, d):
+    """From every node."""
+    return X.trace(cut(D.calls(spark, d), "calls"), load(spark, d, "part").select(F.col("p_partkey").alias("id")), False)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
 from codeloom.plans import domain as D
-from codeloom.plans.registry import query
+from codeloom.plans.registry import ORACLE_SQL, query
 from codeloom.sources.tables import cut, load
 
 _F = f"with {D.SQL_FUNCTIONS}"
@@ -191,6 +191,13 @@ def class_hierarchy(spark, d):
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ancestors", "descendants")})
 
 
+@query(ORACLE_SQL["class_hierarchy"].replace(" where p_size = 1", ""))
+def class_hierarchy_all(spark, d):
+    """Of every class; class_hierarchy is held to its SQL over one size."""
+    out = G.hierarchy(D.inherits(spark, d), D.functions(spark, d))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ancestors", "descendants")})
+
+
 @query(
     f"""with {D.SQL_TREE} select r.id as repo_id, count(distinct case when n.label = 'File' then n.id end) as files, count(distinct case when n.label = 'Function' then n.id end) as functions,
 count(distinct case when n.label = 'Class' then n.id end) as classes, count(distinct case when n.label = 'Method' then n.id end) as methods

@@ -9,7 +9,7 @@ from codeloom.operators import impact as I
 from codeloom.operators import review as R
 from codeloom.plans import domain as D
 from codeloom.plans.code_queries import corpus
-from codeloom.plans.registry import query
+from codeloom.plans.registry import ORACLE_SQL, query
 from codeloom.sources import discovery as S
 from codeloom.sources import parsing, webhooks
 from codeloom.sources.tables import cut, load
@@ -40,8 +40,11 @@ o as (select *, case when total = 0 then 'none' when critical > 0 or high > 5 or
 case when total = 0 then 0 else least(100, case change when 'DELETE' then 40 when 'RENAME' then 30 when 'ADD' then 10 else 20 end + least(30, 5 * direct) + 10 * critical + 5 * high + 2 * medium + least(20, 2 * files)) end::bigint as risk from z)"""
 
 
-def _report(spark, d):
-    changes = load(spark, d, "part").where("p_size = 9").select(F.col("p_partkey").alias("change_id"), F.col("p_partkey").alias("entity_id"), _change(F.col("p_partkey")).alias("change"))
+_RATED_ALL = _RATED.replace(" where p_size = 9", "")
+
+
+def _report(spark, d, which="p_size = 9"):
+    changes = load(spark, d, "part").where(which).select(F.col("p_partkey").alias("change_id"), F.col("p_partkey").alias("entity_id"), _change(F.col("p_partkey")).alias("change"))
     return I.report(D.functions(spark, d), cut(D.calls(spark, d), "calls"), changes)
 
 
@@ -67,6 +70,18 @@ def recommendations(spark, d):
     return _report(spark, d).select("change_id", F.array_join("recommendations", "; ").alias("recommendations"), F.array_join("affected_files", ",").alias("affected_files"))
 
 
+@query(_RATED_ALL + " select change_id, change, total, direct, overall, files, risk, risk > 50 or overall in ('high', 'critical') as requires_review from o")
+def impact_report_all(spark, d):
+    """overall_impact and risk_score of every part; those two are held to their SQL over one size."""
+    return _report(spark, d, "true").select("change_id", "change", "total", "direct", "overall", "files", "risk", "requires_review")
+
+
+@query(ORACLE_SQL["recommendations"].replace(_RATED, _RATED_ALL))
+def recommendations_all(spark, d):
+    """Of every part."""
+    return _report(spark, d, "true").select("change_id", F.array_join("recommendations", "; ").alias("recommendations"), F.array_join("affected_files", ",").alias("affected_files"))
+
+
 _EXTRA = ["Explain how the login function works", "Trace the execution flow of process_request", "Find all functions that use the database", "Debug the error in the authentication module", "Review this code for issues", "Hello, can you help me today?", "What is `Parser.parse` and who calls run()?"]
 _ASKED = "q as (select conv_id * 1000 + turn as id, text from conversations where role = 'user' union all select -i, t from (values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_EXTRA, 1)) + ") as v(i, t))"
 

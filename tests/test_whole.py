@@ -7,6 +7,7 @@ import random
 
 from codeloom.operators import vectors as V
 from codeloom.plans import QUERIES
+from codeloom.plans import domain as D
 
 AT = "/root/testdata/sf0.001"
 
@@ -35,3 +36,43 @@ def test_batch_knn_all(spark):
     got = QUERIES["batch_knn_all"](spark, AT)
     assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {5}
     assert got.select("query_id").distinct().count() == spark.read.parquet(f"{AT}/embeddings.parquet").count()
+
+
+def _graph(spark):
+    """The tables' CALLS edges and nodes in Python."""
+    edges = [(r.src, r.dst) for r in D.calls(spark, AT).collect()]
+    return edges, [r.p_partkey for r in spark.read.parquet(f"{AT}/part.parquet").collect()]
+
+
+def _reach(edges, start):
+    seen, level, n = {}, {start}, 0
+    while level:
+        n += 1
+        level = {b for a, b in edges if a in level} - seen.keys()
+        seen |= dict.fromkeys(level, n)
+    return seen
+
+
+def test_traces_of_every_node(spark):
+    edges, ids = _graph(spark)
+    for name, hop in (("trace_origin_all", [(b, a) for a, b in edges]), ("trace_destination_all", edges)):
+        near = {a for a, _ in hop}
+        want = {(i, j) for i in ids for j in {i, *_reach(hop, i)} if j not in near}
+        assert {(r.start, r.id) for r in QUERIES[name](spark, AT).collect()} == want
+
+
+def test_impact_and_hierarchy_of_every_node(spark):
+    edges, ids = _graph(spark)
+    back = [(b, a) for a, b in edges]
+    want = {i: [n for j, n in _reach(back, i).items() if n <= 5 and j != i] for i in ids}
+    got = {r.change_id: (r.total, r.direct) for r in QUERIES["impact_report_all"](spark, AT).collect()}
+    assert got == {i: (len(n), n.count(1)) for i, n in want.items()}
+    up = {i: (i - 1) // 3 for i in ids if i > 0}
+
+    def ancestors(i):
+        out = []
+        while i in up and len(out) < 10:
+            out.append(i := up[i])
+        return ",".join(map(str, sorted(out)))
+
+    assert {r.id: r.ancestors for r in QUERIES["class_hierarchy_all"](spark, AT).collect()} == {i: ancestors(i) for i in ids}
