@@ -127,10 +127,20 @@ n as (select class_id, count(distinct method_id) as methods from u group by 1)
 select class_id, methods, round(case when methods <= 1 then 1.0 else coalesce(sharing, 0) / (methods * (methods - 1) / 2) end, 9) as cohesion from n left join s using (class_id)"""
 )
 def cohesion(spark, d):
-    uses = load(spark, d, "lineitem").where("l_quantity >= 45").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_size").alias("class_id"), F.col("p_partkey").alias("method_id"), F.col("l_suppkey").alias("attribute"))
+    return _cohesion(spark, d, "l_quantity >= 45")
+
+
+def _cohesion(spark, d, which):
+    uses = load(spark, d, "lineitem").where(which).join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_size").alias("class_id"), F.col("p_partkey").alias("method_id"), F.col("l_suppkey").alias("attribute"))
     return C.cohesion(uses).withColumn("cohesion", F.round("cohesion", 9))
 
 
+@query(ORACLE_SQL["cohesion"].replace(" where l_quantity >= 45", ""))
+def cohesion_all(spark, d):
+    """Over all of USES; cohesion is held to its SQL over a part of it."""
+    return _cohesion(spark, d, "true")
+
+
 @query(f"with {_T} select file_path, len(regexp_extract_all(text, '(?m)^(from\\s+\\S+\\s+)?import\\s+'))::integer as imports, len(str_split(text, chr(10)))::integer as lines from t")
 def file_metrics(spark, d):
     return corpus(spark).select("file_path", C.import_count(F.col("text")).alias("imports"), F.size(F.split("text", "\n")).alias("lines"))

@@ -76,3 +76,16 @@ def test_impact_and_hierarchy_of_every_node(spark):
         return ",".join(map(str, sorted(out)))
 
     assert {r.id: r.ancestors for r in QUERIES["class_hierarchy_all"](spark, AT).collect()} == {i: ancestors(i) for i in ids}
+
+
+def test_all_uses(spark):
+    lines = {(r.l_partkey, r.l_suppkey) for r in spark.read.parquet(f"{AT}/lineitem.parquet").collect()}
+    sizes = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{AT}/part.parquet").collect()}
+    variables = {i: {v for p, v in lines if p == i} for i in sizes}
+    assert {r.id: {int(x) for x in r.variables.split(",") if x} for r in QUERIES["function_context_all"](spark, AT).collect()} == variables
+    want = {}
+    for size in {sizes[i] for i, v in variables.items() if v}:
+        methods = [i for i, v in variables.items() if v and sizes[i] == size]
+        pairs = [bool(variables[a] & variables[b]) for a in methods for b in methods if a < b]
+        want[size] = (len(methods), round(sum(pairs) / len(pairs), 9) if pairs else 1.0)
+    assert {r.class_id: (r.methods, r.cohesion) for r in QUERIES["cohesion_all"](spark, AT).collect()} == want
