@@ -8,6 +8,7 @@ from codeloom.functions import code as C
 from codeloom.operators import dataflow as X
 from codeloom.plans import domain as D
 from codeloom.plans.registry import ORACLE_SQL, query
+from codeloom.sources import parsing
 from codeloom.sources.tables import cut, load
 
 #: Sources with what the documents lack; both engines get them as literals.
@@ -295,3 +296,48 @@ def trace_origin_all(spark, d):
 def trace_destination_all(spark, d):
     """From every node."""
     return X.trace(cut(D.calls(spark, d), "calls"), load(spark, d, "part").select(F.col("p_partkey").alias("id")), False)
+
+
+_T_ALL = _T[:-1] + " union all select doc_id::varchar, text from documents)"
+
+
+def texts(spark, d):
+    """The corpus and every document."""
+    return corpus(spark).unionByName(docs(spark, d).withColumn("file_path", F.col("file_path").cast("string")))
+
+
+def _unused(lines):
+    a = cut(X.assignments(lines), "assigned")
+    return X.unused_assignments(a, X.def_use_edges(a)).select("file_path", "name", "line", "value")
+
+
+def _over_all(name, make):
+    """NAME_all: the query over texts() and not only the corpus."""
+
+    def run(spark, d):
+        return make(C.lines(texts(spark, d)))
+
+    run.__name__ = f"{name}_all"
+    query(ORACLE_SQL[name].replace(_T, _T_ALL))(run)
+
+
+for _name, _make in {
+    "regex_patterns": C.regex_patterns, "singleton": C.singletons, "factory": C.factories, "decorator": C.decorators, "assignments": X.assignments, "def_use_edges": lambda lines: X.def_use_edges(X.assignments(lines)),
+    "return_edges": lambda lines: X.return_edges(X.assignments(lines), X.returns(lines)), "unused_assignments": _unused,
+}.items():
+    _over_all(_name, _make)
+
+
+@query()
+def file_metrics_all(spark, d):
+    """All measures of a file over texts(); entities are the parsed functions and methods, each with the complexity of its own lines."""
+    t = texts(spark, d)
+    parsed = cut(parsing.parse(t, "file_path", "text").select("file_path", "type", "start_line", "end_line", "attributes"), "parsed")
+    parts = parsed.where("type in ('function', 'method')").select("file_path", "start_line", "end_line")
+    ingested = parsed.groupBy("file_path").agg(parsing.entity_count().alias("ingested_entities"))
+    own = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    each = parts.join(t, "file_path").withColumn("complexity", C.cyclomatic(own))
+    rolled = each.groupBy("file_path").agg(F.count(F.lit(1)).alias("entity_count"), F.avg("complexity").alias("avg_complexity"), F.max("complexity").alias("max_complexity"))
+    files = t.select("file_path", C.import_count(F.col("text")).alias("imports"), F.size(F.split("text", "\n")).alias("lines"), F.lit(0).alias("export_count"))
+    out = files.join(C.line_counts(C.lines(t)), "file_path", "left").join(rolled, "file_path", "left").join(ingested, "file_path", "left")
+    return out.na.fill(0, ["entity_count", "avg_complexity", "max_complexity"])

@@ -8,7 +8,7 @@ from codeloom.functions import questions as Q
 from codeloom.operators import impact as I
 from codeloom.operators import review as R
 from codeloom.plans import domain as D
-from codeloom.plans.code_queries import corpus
+from codeloom.plans.code_queries import corpus, texts
 from codeloom.plans.registry import ORACLE_SQL, query
 from codeloom.sources import discovery as S
 from codeloom.sources import parsing, webhooks
@@ -268,6 +268,19 @@ def parsed_structure(spark, d):
     return parsing.structure_edges(e).unionByName(parsing.inheritance_edges(e))
 
 
+@query()
+def parsed_entities_all(spark, d):
+    """The corpus and every document as entities."""
+    e = parsing.parse(texts(spark, d), "file_path", "text")
+    return e.select("file_path", "id", "name", "type", "parent_id", "start_line", "end_line", F.array_join("calls", ",").alias("calls"), "error")
+
+
+@query()
+def parsed_structure_all(spark, d):
+    e = cut(parsing.parse(texts(spark, d), "file_path", "text"), "entities")
+    return parsing.structure_edges(e).unionByName(parsing.inheritance_edges(e))
+
+
 def _patches(spark, d):
     k = F.col("p_partkey")
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.element_at(F.array(*[F.lit(x) for x in (" ctx ", "-old ", "+x = eval(y) ", "+pass", "+# TODO later", "+from a import *", "+ok ")]), ((k + i * 3) % 7 + 1).cast("int")), F.when((k + i * 3) % 7 == 3, "").otherwise(i.cast("string")))), "\n")

@@ -89,3 +89,14 @@ def test_all_uses(spark):
         pairs = [bool(variables[a] & variables[b]) for a in methods for b in methods if a < b]
         want[size] = (len(methods), round(sum(pairs) / len(pairs), 9) if pairs else 1.0)
     assert {r.class_id: (r.methods, r.cohesion) for r in QUERIES["cohesion_all"](spark, AT).collect()} == want
+
+
+def test_texts_are_corpus_and_documents(spark, tmp_path):
+    spark.createDataFrame([(7, "import os\n# note\n\ndef f(a):\n    if a:\n        return a\n\nclass K:\n    def m(self):\n        return 1\n"), (8, "plain prose here")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.file_path: r for r in QUERIES["file_metrics_all"](spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 + 9
+    r = rows["7"]
+    assert (r.code_lines, r.comment_lines, r.blank_lines, r.imports, r.lines, r.export_count) == (7, 1, 3, 1, 11, 0)
+    assert (r.entity_count, r.avg_complexity, r.max_complexity) == (2, 1.5, 2) and (r.ingested_entities, rows["8"].ingested_entities) == (5, 1) and rows["8"].entity_count == rows["8"].avg_complexity == 0
+    found = QUERIES["parsed_entities_all"](spark, str(tmp_path)).where("file_path = '7' and type in ('function', 'method')")
+    assert {r.name for r in found.collect()} == {"f", "m"}
