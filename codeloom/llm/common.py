@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one numpy pass handles at once; bounds a Python worker's memory.
@@ -20,12 +22,16 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master; elsewhere an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="codeloom-")
     sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,7 +44,16 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that materialize() wrote and that nothing will read again."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,11 +74,21 @@ def passes(texts: list, chars: int = PASS_CHARS) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches: what a worker holds as Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 * PASS_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, what a worker holds as Python objects at once: few rows, and about `size` bytes of text or binary values.
+
+    A row with a longer value is a batch of its own.
+    """
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        total = np.zeros(b.num_rows + 1, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                total[1:] += np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + size, "right")) - 1))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,34 +101,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes, the same in every process."""
-    a = np.empty(len(words), dtype=object)
-    a[:] = words
-    return pd.util.hash_array(a, categorize=False)
-
-
-def _recurring(docs: DataFrame, key: Column) -> DataFrame | None:
-    """The ids that more than one row has; None if there are none. Reads and shuffles ids alone."""
-    again = materialize(docs.where(key.isNotNull()).groupBy(key.alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"), "again")
-    return None if again.isEmpty() else again
-
-
-def one_row_per_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """docs with one row of each id; rows without an id stay. Only rows whose id recurs are grouped."""
-    key = F.col(f"`{id_col}`")
-    if (again := _recurring(docs, key)) is None:
-        return docs
-    cond = key == F.col("__again")
-    return docs.join(again, cond, "left_anti").unionByName(docs.join(again, cond, "left_semi").dropDuplicates([id_col]))
-
-
-def unique_documents(plain: DataFrame) -> DataFrame:
-    """(doc_id, text) with the least text of each id. Only rows whose id recurs are grouped."""
-    if (again := _recurring(plain, F.col("doc_id"))) is None:
-        return plain
-    cond = F.col("doc_id") == F.col("__again")
-    return plain.join(again, cond, "left_anti").unionByName(plain.join(again, cond, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+def word_hashes(texts: pa.Array, keys: tuple[str, ...] = ("0123456789123456",)) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each key the 64-bit hashes of all words of all texts, where each text's words begin and the last one's end).
+
+    Words are what white space separates. Hashes are the same in every process; each distinct word is hashed once.
+    """
+    cut = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
+    flat, ends = cut.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False))])
+    there = pc.greater(pc.binary_length(flat), 0)
+    kept = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    coded = flat.filter(there).dictionary_encode()
+    words = np.empty(len(coded.dictionary), dtype=object)
+    words[:] = coded.dictionary.to_pylist()
+    which = coded.indices.to_numpy()
+    return [pd.util.hash_array(words, hash_key=k, categorize=False)[which] if len(words) else np.empty(0, np.uint64) for k in keys], kept[ends].astype(np.int64)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """((ord, text) of the different documents, their names).
+
+    A document is an id with a text: rows equal in both are one document, rows that share only the id are different ones. ord ascends with
+    (doc_id, md5 of the text). Where no id recurs ord is the id and there are no names; else names are (ord, doc_id, content), content being
+    that md5. Rows with a NULL id or text are left out. Looking for recurring ids shuffles ids alone; numbering is a distributed sort of
+    (id, md5), so that not even an id that a third of all rows share meets in one task.
+    """
+    plain = documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    if plain.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return plain.select(F.col("doc_id").alias("ord"), "text"), None
+    keyed = plain.withColumn("content", F.md5(F.col("text").cast("binary")))
+    names = materialize(keyed.select("doc_id", "content").distinct().orderBy("doc_id", "content").select(F.monotonically_increasing_id().alias("ord"), "doc_id", "content"), "names")
+    return keyed.join(names, ["doc_id", "content"]).select("ord", "text").dropDuplicates(["ord"]), names
+
+
+def named(df: DataFrame, names: DataFrame | None, ord_col: str = "ord") -> DataFrame:
+    """df with doc_id and content (NULL where no id recurs) in place of ord_col."""
+    rest = [F.col(c) for c in df.columns if c != ord_col]
+    if names is None:
+        return df.select(F.col(ord_col).alias("doc_id"), F.lit(None).cast("string").alias("content"), *rest)
+    return df.join(names.withColumnRenamed("ord", ord_col), ord_col).select("doc_id", "content", *rest)
 
 
 def local_path(uri: str) -> str | None:

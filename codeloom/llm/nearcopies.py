@@ -7,34 +7,40 @@ documents after one or two.
 
 Documents that share a band become candidates. Buckets are never cut: first each document is verified against one member of one of its
 buckets (linear in the buckets), and components of verified pairs contract; then all pairs that still lie in different components
-of one bucket are verified exactly, inside the bucket, where their gram sets meet.
+of one bucket are verified exactly, inside the bucket, where their gram sets meet. Links are counted inside the components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, passes, slices, unique_documents, word_hashes
+from .common import discard, materialize, mix, named, numbered, slices, word_hashes
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_hashes(words: list[str], k: int) -> np.ndarray:
-    """The set of the document's k-grams of words as sorted 64-bit hashes; all words as one gram where there are fewer than k."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    k = min(k, len(h))
-    out = np.zeros(len(h) - k + 1, np.uint64)
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The set of each text's k-grams of words as sorted 64-bit hashes; all words as one gram where there are fewer than k."""
+    (h,), begins = word_hashes(texts)
+    grams = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        out = mix(out * _A + h[i : len(h) - k + 1 + i] + np.uint64(i))
-    return np.unique(out)
+        grams = mix(grams * _A + h[i : i + len(grams)] + np.uint64(i))
+    out = []
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        if b - a >= k:
+            out.append(np.unique(grams[a : b - k + 1]))
+        else:
+            one = np.zeros(int(b > a), np.uint64)
+            for i in range(b - a):
+                one = mix(one * _A + h[a + i] + np.uint64(i))
+            out.append(one)
+    return out
 
 
 @lru_cache(4)
@@ -75,89 +81,165 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _bands(docs: DataFrame, k: int, t: int, bands: int) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
-            for lo, hi in passes(texts):
-                kept, sketches = [], []
-                for i in range(lo, hi):
-                    if len(s := shingle_hashes(texts[i].split(), k)):
-                        kept.append(ids[i])
-                        sketches.append(sketch(s, t))
-                if kept:
-                    keys = band_keys(np.stack(sketches), bands)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(kept, np.int64), bands))], names=["key", "doc_id"])
+            sets = shingles(b.column("text"), k)
+            kept = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            if len(kept):
+                keys = band_keys(np.stack([sketch(sets[i], t) for i in kept]), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("ord").to_numpy()[kept], bands))], names=["key", "ord"])
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint")
+    return docs.mapInArrow(run, "key bigint, ord bigint")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard, same) of the pairs by their whole texts."""
+    """(a, b) of the pairs that are similar by their whole texts."""
 
     def run(batches):
-        @lru_cache(256)
-        def of(text):
-            return shingle_hashes(text.split(), k)
-
         for batch in slices(batches):
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            j = [jaccard(of(p), of(q)) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j, pa.float64()), pa.array([v >= threshold for v in j], pa.bool_())], names=["a", "b", "jaccard", "same"])
+            x, y = shingles(batch.column("x"), k), shingles(batch.column("y"), k)
+            hit = pa.array([jaccard(p, q) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(hit), batch.column("b").filter(hit)], names=["a", "b"])
 
-    with_b = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return with_b.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").mapInArrow(run, "a bigint, b bigint, jaccard double, same boolean")
+    with_b = pairs.join(docs.select(F.col("ord").alias("b"), F.col("text").alias("y")), "b")
+    return with_b.join(docs.select(F.col("ord").alias("a"), F.col("text").alias("x")), "a").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in slices(batches):
-            sets = [shingle_hashes(t.split(), k).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array([s.tobytes() for s in shingles(b.column("text"), k)], pa.binary())], names=["ord", "grams"])
 
-    return docs.mapInArrow(run, "doc_id bigint, grams binary")
+    return docs.mapInArrow(run, "ord bigint, grams binary")
 
 
-def cross_pairs(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray | None, sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Pairs (a, b), a < b, of different roots (and sides, if given) with an exact Jaccard similarity >= threshold.
+def intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of rows has in common with each of columns.
 
-    An inverted list of the grams counts all intersections of a document at once; documents of the largest component are only met by others.
+    Elements that many sets have are multiplied as a dense matrix, a few hundred at a time; of the others, inverted lists are counted.
     """
-    sizes = np.array([len(s) for s in sets])
-    grams, which = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(which, kind="stable")
-    posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(grams)))])
-    first = np.cumsum(sizes) - sizes
-    names, counts = np.unique(roots, return_counts=True)
-    largest = names[counts.argmax()]
-    out = []
-    for i in np.flatnonzero(roots != largest):
-        own = which[first[i] : first[i] + sizes[i]]
-        n = begin[own + 1] - begin[own]
-        both = np.bincount(posting[np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], minlength=len(sets))
-        hit = (both >= threshold * (sizes + sizes[i] - both)) & (roots != roots[i])
-        if sides is not None:
-            hit &= sides != sides[i]
-        out += [(min(ids[i], x), max(ids[i], x)) for x in ids[hit]]
-    return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+    n_rows = np.array([len(x) for x in rows], np.int64)
+    n_columns = np.array([len(x) for x in columns], np.int64)
+    elements, which = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
+    of_rows, of_columns = which[: n_rows.sum()], which[n_rows.sum() :]
+    row, column = np.repeat(np.arange(len(rows)), n_rows), np.repeat(np.arange(len(columns)), n_columns)
+    f, g = np.bincount(of_rows, minlength=len(elements)), np.bincount(of_columns, minlength=len(elements))
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    dense = f * g > max(64, len(rows) * len(columns) // 64)
+    number = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), 512):
+        sides = []
+        for own, mine, n in ((of_rows, row, len(rows)), (of_columns, column, len(columns))):
+            there = dense[own] & (number[own] >= at) & (number[own] < at + 512)
+            m = np.zeros((n, 512), np.float32)
+            m[mine[there], number[own[there]] - at] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    rare = ~dense & (f > 0) & (g > 0)
+    held = rare[of_columns]
+    order = np.argsort(of_columns[held], kind="stable")
+    posting = column[held][order]
+    ends = np.cumsum(np.where(rare, g, 0))
+    there = rare[of_rows]
+    own, mine = of_rows[there], row[there]
+    n = g[own]
+    at = np.searchsorted(mine, np.arange(len(rows) + 1))
+    for i in np.flatnonzero(np.diff(at)):
+        a, b = at[i], at[i + 1]
+        m = n[a:b]
+        hit = posting[np.repeat(ends[own[a:b]] - m, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        out[i] += np.bincount(hit, minlength=len(columns))
+    return out
+
+
+def similar(rows: list[np.ndarray], columns: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets have a Jaccard similarity >= threshold."""
+    both = intersections(rows, columns).astype(np.float64)
+    sizes = np.array([len(x) for x in rows])[:, None] + np.array([len(x) for x in columns])[None, :] - both
+    return both / np.maximum(1, sizes) >= threshold
+
+
+#: Members, and 64-bit grams, of a group that are compared in one task's memory; larger groups are cut into blocks that meet pairwise.
+BLOCK, BLOCK_GRAMS = 2048, 4_000_000
+
+
+def _in_blocks(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """members(group, ord, root) with their sets as grams, once for each pair (x, y) of blocks of its group; x = y: all pairs inside the block."""
+    sets = _sets(docs, k)
+    sized = materialize(members.join(sets, "ord"), "sets")
+    blocks = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("grams")) / (8 * BLOCK_GRAMS))).alias("blocks"))
+    cut = sized.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cut = cut.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "ord", "root", "grams")
+    return cut.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(ord, root, is the row of block x, sets) of each (group, x, y); rows come sorted, and one group's rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def made():
+        t = pa.Table.from_batches(held)
+        get = lambda c: t.column(c).to_numpy()
+        return get("ord"), get("root"), get("block") == get("x"), [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("grams")]
+
+    for b in batches:
+        key = np.stack([b.column(c).to_numpy() for c in ("group", "x", "y")])
+        begins = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()] if b.num_rows else []
+        for at, end in zip(begins, [*begins[1:], b.num_rows], strict=True):
+            now = tuple(key[:, at].tolist())
+            if held and now != last:
+                yield made()
+                held = []
+            last = now
+            held.append(b.slice(at, end - at))
+    if held:
+        yield made()
 
 
-#: Members of a bucket that are compared in one task's memory; larger buckets are cut into blocks that meet pairwise.
-BLOCK = 4096
+def forest(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Pairs that connect what the similar pairs connect, one fewer than the members at most; rows and columns are the sides' numbers."""
+    n = int(max(rows.max(initial=-1), columns.max(initial=-1))) + 1
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        to_row = np.where(hit, label[columns][None, :], n).min(axis=1, initial=n)
+        np.minimum.at(label, rows, to_row)
+        to_column = np.where(hit, label[rows][:, None], n).min(axis=0, initial=n)
+        np.minimum.at(label, columns, to_column)
+        label = label[label]
+        if (label == before).all():
+            at = np.flatnonzero(label != np.arange(n))
+            return np.stack([at, label[at]], axis=1)
 
 
 def _pairs_in_buckets(placed: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b) of placed(key, doc_id, root, n) that share a bucket, differ in root and are similar by their whole sets."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    cut = placed.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    cut = cut.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "root")
-    rows = cut.join(_sets(docs, k), "doc_id")
+    """(a, b) that connect the members of placed(group, ord, root) that share a bucket, differ in root and are similar by their whole sets."""
+
+    def run(batches):
+        for ords, roots, left, sets in _groups(batches):
+            x = np.flatnonzero(left)
+            y = np.flatnonzero(~left) if not left.all() else x
+            if len(x) and len(y):
+                hit = similar([sets[i] for i in x], [sets[i] for i in y], threshold) & (roots[x][:, None] != roots[y][None, :])
+                found = forest(hit, x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(ords[found[:, 0]]), pa.array(ords[found[:, 1]])], names=["a", "b"])
+
+    return materialize(_in_blocks(placed, docs, k).mapInArrow(run, "a bigint, b bigint").distinct(), "rest")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf["block"].to_numpy() if pdf["x"].iloc[0] != pdf["y"].iloc[0] else None
-        found = cross_pairs(pdf["doc_id"].to_numpy(), pdf["root"].to_numpy(), sides, [np.frombuffer(g, np.uint64) for g in pdf["grams"]], threshold)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return materialize(rows.groupBy("key", "x", "y").applyInPandas(run, "a bigint, b bigint").distinct(), "rest")
+def _links(members: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(ord, n_links): to how many others of its group each of members(group, ord, root) is similar. Pairs are counted, not emitted."""
+
+    def run(batches):
+        for ords, _, left, sets in _groups(batches):
+            if left.all():
+                n = similar(sets, sets, threshold).sum(axis=1) - 1
+            else:
+                hit = similar([sets[i] for i in np.flatnonzero(left)], [sets[i] for i in np.flatnonzero(~left)], threshold)
+                n = np.empty(len(ords), np.int64)
+                n[left], n[~left] = hit.sum(axis=1), hit.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ords), pa.array(n.astype(np.int64))], names=["ord", "n"])
+
+    return _in_blocks(members, docs, k).mapInArrow(run, "ord bigint, n bigint").groupBy("ord").agg(F.sum("n").alias("n_links"))
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -176,6 +258,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         new = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(now)
         # edges that no star operation changes are a forest of stars: the end
         state, old = _fingerprint(new), state
         now = new
@@ -184,40 +267,75 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32) -> DataFrame:
-    """(doc_id, keeper): every document that is a near copy, with the least id of its group; groups' first documents aren't listed.
-
-    Groups are the connected components of the pairs that share a band and whose sets of word k-grams have an exact Jaccard
-    similarity >= threshold. Exact copies always fall together. Rows with a NULL id or NULL text, and texts without a word, are
-    in no group. Rows that repeat an id count as one document (its least text). A pair of similarity s shares a band with
-    probability 1 - (1 - s^(coordinates/bands))^bands: 0.99 at 0.6, over 0.9999 at 0.7. An empty table gives no row.
-    """
-    plain = unique_documents(documents(docs, id_col, text_col).where("doc_id is not null and text is not null"))
+def _classes(plain: DataFrame, threshold: float, k: int, coordinates: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(exact copies (ord, rep, n_copies), similar documents (node, root) of the representatives, texts of all that share a bucket, documents (ord))."""
     # exact copies (equal words) share a content hash: only one of them goes on
-    hashed = plain.select("doc_id", F.sha2(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 256).alias("content"), F.expr(r"text rlike '(?U)\\S'").alias("words")).where("words").select("doc_id", F.unhex("content").alias("content"))
-    exact = hashed.withColumn("keeper", F.min("doc_id").over(Window.partitionBy("content"))).where("doc_id <> keeper").select("doc_id", "keeper")
-    exact = materialize(exact, "exact")
-    single = plain.join(exact.select("doc_id"), "doc_id", "left_anti")
-    found = _bands(single, k, coordinates, bands)
-    # windows spill where a bucket is large; a bucket is never one row
-    bucket = Window.partitionBy("key")
-    shared = found.withColumn("n", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("doc_id").over(bucket)).where("n > 1")
-    members = materialize(shared.select("key", "doc_id", "hub"), "members")
-    texts = materialize(single.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-
-    # each document against the first one of each of its buckets: linear, and it joins nearly all copies
-    near_hub = members.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
-    verified = materialize(_verify(near_hub.select("a", "b"), texts, k, threshold).where("same").select("a", "b"), "verified")
+    words = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    contents = materialize(plain.select("ord", F.when(words != "", F.unhex(F.left(F.sha2(words.cast("binary"), 256), F.lit(32)))).alias("content")), "contents")
+    twice = contents.where("content is not null").groupBy("content").agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+    exact = materialize(contents.join(twice, "content").select("ord", "rep", (F.col("n_copies") - 1).alias("n_copies")), "exact")
+    single = plain.join(exact.where("ord <> rep").select("ord"), "ord", "left_anti")
+    found = materialize(_bands(single, k, coordinates, bands), "bands")
+    buckets = found.groupBy("key").agg(F.min("ord").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialize(found.join(buckets, "key"), "members")
+    discard(found)
+    texts = materialize(single.join(members.select("ord").distinct(), "ord", "left_semi"), "texts")
+
+    # each document against the first one of one of its buckets: linear, and it joins nearly all copies
+    near_hub = members.where("ord <> hub").groupBy(F.col("ord").alias("b")).agg(F.min("hub").alias("a"))
+    verified = materialize(_verify(near_hub.select("a", "b"), texts, k, threshold), "verified")
     comp = components(verified)
 
     # what still lies in different components of one bucket: every pair, inside the bucket
-    placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    per_key = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("content")).where("lo <> hi")
+    placed = members.join(comp, members.ord == comp.node, "left").select("key", "ord", F.coalesce("root", "ord").alias("root"))
+    per_key = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("ord").cast("decimal(38,0)")).alias("content")).where("lo <> hi")
     # buckets with the same members give the same pairs: one of them is enough
     mixed = per_key.groupBy("n", "content").agg(F.min("key").alias("key"))
-    rest = _pairs_in_buckets(placed.join(mixed.select("key", "n"), "key"), texts, k, threshold)
-    comp = components(verified.unionByName(rest))
-    # copies of a document follow it
-    keepers = comp.select(F.col("node").alias("keeper"), "root")
-    followers = exact.join(keepers, "keeper", "left").select("doc_id", F.coalesce("root", "keeper").alias("keeper"))
-    return followers.unionByName(comp.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper")))
+    rest = _pairs_in_buckets(placed.join(mixed.select("key"), "key").withColumnRenamed("key", "group"), texts, k, threshold)
+    comp = materialize(components(verified.unionByName(rest)), "components")
+    return exact, comp, texts, contents.select("ord")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32) -> DataFrame:
+    """(doc_id, content, class_id, n_links, n_copies): one row for each document.
+
+    class_id is the least doc_id of its group of near copies, its own without any; n_links the number of different texts it is similar to, n_copies
+    that of other documents with the same words. Groups are the connected components of the pairs that share a band and whose sets of
+    word k-grams have an exact Jaccard similarity >= threshold; links are all such pairs of a group, counted and never emitted. A pair of
+    similarity s shares a band with probability 1 - (1 - s^(coordinates/bands))^bands: 0.99 at 0.6, over 0.9999 at 0.7. Rows equal in
+    id and text are one document; rows that share only the id are different ones, told apart by content, the md5 of the text (NULL where no id
+    recurs). Rows with a NULL id or NULL text have no row; texts without a word are in no group. Long texts are read whole; other
+    columns, whatever their names, take no part. An empty table gives no row.
+    """
+    plain, names = numbered(docs, id_col, text_col)
+    exact, comp, texts, all_ = _classes(plain, threshold, k, coordinates, bands)
+    grouped = comp.select(F.col("root").alias("group"), F.col("node").alias("ord"), "root").unionByName(comp.select(F.col("root").alias("group"), F.col("root").alias("ord"), "root").distinct())
+    links = _links(grouped, texts, k, threshold).withColumnRenamed("ord", "node").join(comp, "node", "left")
+    out = all_.join(exact, "ord", "left").withColumn("node", F.coalesce("rep", "ord")).join(links, "node", "left")
+    out = out.select("ord", F.coalesce("root", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("bigint").alias("n_copies"))
+    first = F.col("class").alias("class_id") if names is None else F.col("class_id")
+    if names is not None:
+        out = out.join(names.select(F.col("ord").alias("class"), F.col("doc_id").alias("class_id")), "class")
+    return named(out.select("ord", first, "n_links", "n_copies"), names)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32) -> DataFrame:
+    """docs with only the first document of each group of near copies (see near_copies), by (id, md5 of the text); all columns stay.
+
+    Of rows equal in id and text one stays, the least in its other columns. Rows that share only the id are different documents. Rows with a NULL id
+    or text, and texts without a word, are in no group and stay. An empty table gives no row.
+    """
+    plain, names = numbered(docs, id_col, text_col)
+    exact, comp, _, _ = _classes(plain, threshold, k, coordinates, bands)
+    # a representative that follows another one takes its copies along
+    gone = exact.where("ord <> rep").select("ord").unionByName(comp.select(F.col("node").alias("ord")))
+    id_ = F.col(f"`{id_col}`").cast("bigint")
+    if names is None:
+        return docs.join(gone.select(F.col("ord").alias("__gone")), id_ == F.col("__gone"), "left_anti")
+    content = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
+    gone = named(gone, names).select(F.col("doc_id").alias("__gone"), F.col("content").alias("__content"))
+    left = docs.join(gone, (id_ == F.col("__gone")) & (content == F.col("__content")), "left_anti")
+    there = id_.isNotNull() & F.col(f"`{text_col}`").isNotNull()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.where(there).groupBy(id_.alias("__id"), content.alias("__content")).agg(F.min(whole).alias("__row")).select("__row.*")
+    return once.unionByName(left.where(~there))

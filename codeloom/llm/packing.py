@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import documents, materialize, slices
+from .merges import DEFAULT_VOCABULARY, LibraryMerger, merger
 
-RESULT = "bin_id bigint, position int, doc_id bigint, part int, token_start bigint, n_tokens int, bin_offset int"
+RESULT = "bin_id bigint, n_tokens int, ids array<int>, doc_ids array<bigint>, token_starts array<bigint>, bin_offsets array<int>"
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,40 +43,60 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacity: int = 2048, shard_tokens: int = 8_000_000) -> DataFrame:
-    """One row for each part of a document: its bin, position and offset there, and the tokens [token_start, token_start + n_tokens).
+def token_parts(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str, capacity: int) -> DataFrame:
+    """(row, doc_id, token_start, ids binary): each text's BPE ids, two bytes each, in parts of `capacity` ids and a rest. row numbers the table's rows."""
 
-    A document longer than the capacity is cut into full parts, each a bin of its own, and a rest that is packed like the others. Shards of
-    about shard_tokens tokens, chosen by a hash of the id, are packed apart: their number follows the input and their size doesn't.
-    Rows without id, without length or with length < 1 (NULL or empty texts) are in no bin. A repeated row is packed again, as a document
-    of its own. An empty table gives no row.
+    def run(batches):
+        m = merger(vocabulary_path, "<u2", LibraryMerger)
+        for b in slices(batches):
+            coded = m.ids(b.column("text").to_pylist())
+            parts = [(i, at) for i, c in enumerate(coded) for at in range(0, len(c), 2 * capacity)]
+            which = pa.array([i for i, _ in parts], pa.int64())
+            ids = pa.array([coded[i][at : at + 2 * capacity] for i, at in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(which), b.column("doc_id").take(which), pa.array([at // 2 for _, at in parts], pa.int64()), ids], names=["row", "doc_id", "token_start", "ids"])
+
+    there = documents(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    return there.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row bigint, doc_id bigint, token_start bigint, ids binary")
+
+
+def _lists(ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, capacity: int = 2048, shard_tokens: int = 8_000_000) -> DataFrame:
+    """(bin_id, n_tokens, ids, doc_ids, token_starts, bin_offsets): one row for each training sequence of at most `capacity` token ids.
+
+    doc_ids names the documents in the sequence; the part of each begins at its token token_starts[i] and stands in ids from bin_offsets[i] on, up to
+    the next part or the end. A document longer than the capacity is cut into full parts, each a sequence of its own (negative bin_id), and a
+    rest that is packed like the others. Rests are placed by sum_of_squares in order of (doc_id, ids), in shards of about shard_tokens
+    tokens chosen by a hash of the table's row: their number follows the input and their size doesn't, whatever ids repeat. Rows
+    without id, NULL and empty texts are in no sequence. A repeated row is packed again, as a document of its own. Texts are tokenized
+    whole, by the tiktoken library; other columns take no part. An empty table gives no row.
     """
-    items = lengths.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{length_col}`").cast("bigint").alias("n")).where("doc_id is not null and n >= 1")
-    items = materialize(items, "lengths")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
-        doc, n = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
-        whole, rest = n // capacity, n % capacity
-        at = np.flatnonzero(rest)
-        bins, offsets = sum_of_squares(rest[at], capacity)
-        count = int(bins.max()) + 1 if len(at) else 0
-        doc_full = np.repeat(doc, whole)
-        part_full = np.arange(len(doc_full)) - np.repeat(np.cumsum(whole) - whole, whole)
-        out = pd.DataFrame(
-            {
-                "bin_id": np.concatenate([bins, count + np.arange(len(doc_full))]) + (shard << 32),
-                "doc_id": np.concatenate([doc[at], doc_full]),
-                "part": np.concatenate([whole[at], part_full]).astype(np.int32),
-                "token_start": np.concatenate([whole[at] * capacity, part_full * capacity]),
-                "n_tokens": np.concatenate([rest[at], np.full(len(doc_full), capacity)]).astype(np.int32),
-                "bin_offset": np.concatenate([offsets, np.zeros(len(doc_full), np.int64)]).astype(np.int32),
-            }
-        ).sort_values(["bin_id", "bin_offset"], kind="stable")
-        out["position"] = out.groupby("bin_id").cumcount().astype(np.int32)
-        return out[[x.split()[0] for x in RESULT.split(", ")]]
-
-    return items.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id), {shards}) as bigint)")).groupBy("shard").applyInPandas(run, RESULT)
+    parts = materialize(token_parts(docs, id_col, text_col, vocabulary_path, capacity), "parts")
+    full = F.length("ids") == 2 * capacity
+    total = parts.where(~full).agg(F.sum(F.length("ids"))).first()[0] or 0
+    shards = max(1, -(-total // (2 * shard_tokens)))
+
+    def place(t: pa.Table) -> pa.Table:
+        shard, doc, raw = t.column("shard")[0].as_py(), t.column("doc_id").to_numpy(), t.column("ids").to_pylist()
+        order = np.array(sorted(range(len(raw)), key=lambda i: (doc[i], raw[i])), np.int64)
+        raw = [raw[i] for i in order]
+        n = np.array([len(x) // 2 for x in raw], np.int64)
+        bins, offsets = sum_of_squares(n, capacity)
+        by_bin = np.lexsort((offsets, bins))
+        flat = pa.array(np.frombuffer(b"".join([raw[i] for i in by_bin]), "<u2").astype(np.int32))
+        members, tokens = np.cumsum(np.bincount(bins)), np.bincount(bins, n).astype(np.int64)
+        source = order[by_bin]
+        columns = [pa.array(np.arange(len(members)) + (shard << 32)), pa.array(tokens.astype(np.int32)), _lists(flat, np.cumsum(tokens)), _lists(pa.array(doc[source]), members), _lists(pa.array(t.column("token_start").to_numpy()[source]), members), _lists(pa.array(offsets[by_bin].astype(np.int32)), members)]
+        return pa.Table.from_arrays(columns, names=NAMES)
+
+    def alone(batches):
+        for b in slices(batches):
+            one = np.arange(1, b.num_rows + 1)
+            flat = pa.array(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype(np.int32))
+            columns = [b.column("bin_id"), pa.array(np.full(b.num_rows, capacity, np.int32)), _lists(flat, one * capacity), _lists(b.column("doc_id"), one), _lists(b.column("token_start"), one), _lists(pa.array(np.zeros(b.num_rows, np.int32)), one)]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+    packed = parts.where(~full).withColumn("shard", F.expr(f"cast(pmod(xxhash64(row), {shards}) as bigint)")).groupBy("shard").applyInArrow(place, RESULT)
+    return packed.unionByName(parts.where(full).withColumn("bin_id", -1 - F.monotonically_increasing_id()).mapInArrow(alone, RESULT))

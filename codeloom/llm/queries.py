@@ -44,7 +44,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tokencount.token_counts(_table(spark, sf_dir, "documents"), library=True))
+    return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ h as (select doc_id, i, md5(array_to_string(words[i + 1 : i + 50], ' ')) as h fr
 r as (select doc_id, i, row_number() over (partition by h order by doc_id, i) > 1 as later from (select *, count(*) over (partition by h) as n from h) where n > 1),
 m as (select doc_id, later, i, case when i <= max(i + 50) over (partition by doc_id, later order by i rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from r),
 s as (select *, sum(opens) over (partition by doc_id, later order by i) as span from m)
-select doc_id, later, min(i)::integer as start_word, (max(i) + 50)::integer as end_word from s group by doc_id, later, span""",
+select doc_id, null::varchar as content, later, min(i)::integer as start_word, (max(i) + 50)::integer as end_word from s group by doc_id, later, span""",
     "op6_language_id": r"""
 with n as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' as s from documents),
 pos as (select doc_id, lang, s, unnest(range(1, length(s) + 1)) as i from n where length(s) > 2),
@@ -101,12 +101,17 @@ select x.doc_id, b.lang as predicted, b.d as distance, coalesce(b.k, 0)::integer
        (b.second - b.d) / (b.k * 300)::double as margin, coalesce(b.d / (b.k * 300)::double > 0.72, true) as rejected
 from documents x left join best b on b.doc_id = x.doc_id and b.r = 1""",
     "op10_minhash": r"""
-with recursive w as (select doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as words from documents where text is not null and doc_id is not null and text ~ '\S'),
+with recursive v as (select doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as words from documents where text is not null and doc_id is not null and text ~ '\S'),
+c as (select doc_id, words, min(doc_id) over (partition by words) as rep, count(*) over (partition by words) - 1 as n_copies from v),
+w as (select doc_id, words from c where doc_id = rep),
 s as (select distinct doc_id, array_to_string(words[i + 1 : i + 3], ' ') as g from (select doc_id, words, unnest(range(0, greatest(len(words) - 2, 1))) as i from w)),
 n as (select doc_id, count(*) as n from s group by 1),
 f as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 e as (select a, b from f join n x on x.doc_id = a join n y on y.doc_id = b where common / (x.n + y.n - common)::double >= 0.6),
 u as (select a, b from e union all select b, a from e),
-reach as (select a as node, a as root from u union select u.b, r.root from reach r join u on u.a = r.node)
-select node as doc_id, min(root) as keeper from reach group by node having min(root) < node""",
+reach as (select a as node, a as root from u union select u.b, r.root from reach r join u on u.a = r.node),
+class as (select node, min(root) as root from reach group by node),
+links as (select a as node, count(*) as n_links from u group by 1)
+select d.doc_id, null::varchar as content, coalesce(k.root, c.rep, d.doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(n_copies, 0) as n_copies
+from documents d left join c on c.doc_id = d.doc_id left join class k on k.node = c.rep left join links l on l.node = c.rep where d.doc_id is not null and d.text is not null""",
 }
