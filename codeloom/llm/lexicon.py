@@ -215,10 +215,11 @@ def _merger(path: str, vocabulary_path: str) -> Merger:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, lexicon_words: int = 50_000) -> DataFrame:
-    """(doc_id, ids array<int>) for every row: the ids that merging gives, whether or not the lexicon has a word.
+    """(doc_id, ids array<int>, restored) for every row: the ids that merging gives, whether or not the lexicon has a word.
 
-    NULL text: NULL ids; empty text: no ids. Repeated rows give repeated results; a NULL id stays NULL. Texts are taken whole.
-    An empty table gives no row (and an empty lexicon, which is valid). The words of the lexicon are counted over all texts.
+    restored tells whether decoding the ids gave the text again. NULL text: NULL; empty text: no ids. Repeated rows give repeated results; a NULL
+    id stays NULL. Texts are taken whole; a word of any length takes time in proportion to its length and its logarithm. An empty table gives
+    no row (and an empty lexicon, which is valid). The words of the lexicon are counted over all texts.
     """
     name = publish(docs, compile_lexicon(frequent_words(docs, id_col, text_col, lexicon_words), vocabulary_path))
 
@@ -229,12 +230,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for lo, hi in passes(texts):
                 there = iter(m.ids([t for t in texts[lo:hi] if t is not None]))
                 coded = [None if t is None else next(there) for t in texts[lo:hi]]
+                null = pa.array([c is None for c in coded])
                 flat = np.frombuffer(b"".join(c for c in coded if c), "<i4")
                 ends = np.cumsum([len(c) // 4 if c else 0 for c in coded])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=pa.array([c is None for c in coded]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids], names=["doc_id", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=null)
+                same = [None if t is None else decode_ids(np.frombuffer(c, "<i4"), vocabulary_path) == t for t, c in zip(texts[lo:hi], coded, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "restored"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>, restored boolean")
 
 
 def decode_ids(ids: np.ndarray, vocabulary_path: str = DEFAULT_VOCABULARY) -> str:

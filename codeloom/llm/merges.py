@@ -7,6 +7,7 @@ merging, in each pre-token of the pattern below, the adjacent pair of least rank
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from functools import lru_cache
 
@@ -15,11 +16,15 @@ import regex
 
 DEFAULT_VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A space between two other white-space characters, or between one and the end: only there a pre-token crosses a space.
-_CROSSES = regex.compile(r"\s (?:\s|\Z)")
+#: A space beside another white-space character, or at the end: where there is none, a text can be cut before every space.
+_BESIDE = regex.compile(r"\s (?:\s|\Z)")
+_ALONE = regex.compile(r"(?<=\S) (?=\S)")
 _NONE = np.int64(1 << 40)
-#: Distinct pieces that a worker remembers; when full it starts anew. It bounds memory and has no influence on results.
-CACHE_PIECES = 400_000
+#: Characters of distinct pieces that a worker remembers; when full it starts anew. Longer pieces than LONG_PIECE are not remembered. Both
+#: bound memory and have no influence on results.
+CACHE_CHARS, LONG_PIECE = 3_000_000, 200
+#: Bytes from which a word is merged by itself with a heap: steps that scan all of it would take quadratic time.
+LONG_WORD = 600
 
 
 def vocabulary_file(path: str) -> dict[bytes, int]:
@@ -86,8 +91,46 @@ def _ranks_of(keys: np.ndarray, path: str) -> np.ndarray:
     return out
 
 
+@lru_cache(2)
+def _pairs(path: str) -> dict[int, int]:
+    _, keys, ids, _ = vocabulary(path)
+    return dict(zip(keys.tolist(), ids.tolist(), strict=True))
+
+
+def merge_long(word: bytes, path: str) -> list[int]:
+    """The ids of one word: pairs wait in a heap by (rank, place), neighbours are linked."""
+    symbols, pairs = vocabulary(path)[0][np.frombuffer(word, np.uint8)].tolist(), _pairs(path)
+    n = len(symbols)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i) for i in range(n - 1) if (r := pairs.get(symbols[i] << 20 | symbols[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = right[i]
+        if symbols[i] < 0 or j >= n or pairs.get(symbols[i] << 20 | symbols[j]) != r:
+            continue  # the pair has changed since
+        symbols[i], symbols[j] = r, -1
+        right[i] = after = right[j]
+        if after < n:
+            left[after] = i
+            if (new := pairs.get(r << 20 | symbols[after])) is not None:
+                heapq.heappush(heap, (new, i))
+        if (before := left[i]) >= 0 and (new := pairs.get(symbols[before] << 20 | r)) is not None:
+            heapq.heappush(heap, (new, before))
+    return [s for s in symbols if s >= 0]
+
+
 def merge_all(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after the other, number of ids of each word): in each step every word applies its pair of least rank."""
+    if long := [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
+        short, n = merge_all([w if len(w) <= LONG_WORD else b"" for w in words], path)
+        ends = np.cumsum(n)
+        parts, at = [], 0
+        for i in long:
+            one = np.array(merge_long(words[i], path), np.int64)
+            parts += [short[at : ends[i]], one]
+            at, n[i] = ends[i], len(one)
+        return np.concatenate([*parts, short[at:]]), n
     byte_ids = vocabulary(path)[0]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     symbols = byte_ids[np.frombuffer(b"".join(words), np.uint8)]
@@ -128,10 +171,10 @@ def merge_all(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
 def pieces_of(text: str) -> list[str]:
     """Stretches of the text that are pre-tokenized apart without changing the result; all but the first lack their leading space.
 
-    A pre-token holds a space only at its begin, or in a run of white space that goes on after the space. Where no such run exists the
-    text can be cut before every space; else the whole text is the one piece.
+    A pre-token holds a space only at its begin, or in a run of white space that goes on around it. So the text is cut before each space that has
+    no other white space beside it.
     """
-    return text.split(" ") if " " in text and not _CROSSES.search(text) else [text]
+    return _ALONE.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
 class Merger:
@@ -141,18 +184,25 @@ class Merger:
         self.path, self.dtype, self.known = path, dtype, known
         self.head: dict = {}
         self.body: dict = {}
+        self.chars = 0
 
-    def learn(self, texts_pieces: list[list[str]]) -> None:
-        if len(self.head) + len(self.body) > CACHE_PIECES:
+    def learn(self, texts_pieces: list[list[str]]) -> list[tuple[dict, str]]:
+        """Merges the pieces that aren't remembered; those too long to be remembered are returned, to be forgotten after use."""
+        if self.chars > CACHE_CHARS:
             self.head.clear()
             self.body.clear()
+            self.chars = 0
         heads = {p[0] for p in texts_pieces}.difference(self.head)
         body: set[str] = set()
         for p in texts_pieces:
             body.update(p[1:])
+        long = []
         for new, lead, cache in ((sorted(heads), "", self.head), (sorted(body.difference(self.body)), " ", self.body)):
             if new:
                 self._add(new, lead, cache)
+                self.chars += sum(len(p) for p in new if len(p) <= LONG_PIECE)
+                long += [(cache, p) for p in new if len(p) > LONG_PIECE]
+        return long
 
     def _add(self, new: list[str], lead: str, cache: dict) -> None:
         words: list[str] = []
@@ -184,15 +234,21 @@ class Merger:
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [pieces_of(t) for t in texts]
-        self.learn(cut)
+        long = self.learn(cut)
         get = self.body.__getitem__
-        return [self.head[p[0]] + sum(map(get, p[1:])) for p in cut]
+        out = [self.head[p[0]] + sum(map(get, p[1:])) for p in cut]
+        for cache, p in long:
+            del cache[p]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [pieces_of(t) for t in texts]
-        self.learn(cut)
+        long = self.learn(cut)
         get = self.body.__getitem__
-        return [self.head[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        out = [self.head[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        for cache, p in long:
+            del cache[p]
+        return out
 
 
 @lru_cache(2)
