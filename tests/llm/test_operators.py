@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import math
 import random
 import struct
+import subprocess
+import sys
+import time
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -35,6 +40,9 @@ def docs(spark):
     near[10], near[60] = "changed", "words"
     rows = [row(1, base), row(2, " ".join(near)), row(3, base), row(4, text(40) + " " + passage + " " + text(40)), row(5, text(30) + "\n" + passage + "  " + text(20)), row(6, other), row(7, other.upper(), "de"), row(8, None), row(9, ""), row(10, " \n\t "), row(11, "Von."), row(12, "Von."), row(None, base), row(None, None)]
     rows += [row(13, text(30_000)), row(14, "a a a a " * 40), row(15, "12 34 !! ??"), row(16, passage), row(17, "été naïve 日本語 " + text(60), None), row(6, other)]
+    # one id with several texts: an own passage, a copy of it, an exact copy of another document
+    own = text(75)
+    rows += [row(18, "zzz " + text(80)), row(18, "aaa " + own + " " + text(30)), row(18, base), row(19, text(20) + " " + own)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -44,12 +52,8 @@ def none(docs):
 
 
 def texts_of(docs):
-    """doc_id -> least text."""
-    out = {}
-    for r in docs.collect():
-        if r.doc_id is not None and r.text is not None:
-            out[r.doc_id] = min(out.get(r.doc_id, r.text), r.text)
-    return out
+    """(doc_id, md5 of the text) -> text: the different documents."""
+    return {(r.doc_id, hashlib.md5(r.text.encode()).hexdigest()): r.text for r in docs.collect() if r.doc_id is not None and r.text is not None}
 
 
 # 1, 7: byte-pair encoding
@@ -89,6 +93,28 @@ def test_token_counts(spark, docs, none):
     assert tokencount.token_counts(none).count() == 0
 
 
+def test_long_words_take_no_quadratic_time():
+    r = random.Random(9)
+    word = "".join(r.choice("abcdefghij") for _ in range(200_000))
+    began = time.time()
+    ids = merges.merge_long(word.encode(), VOCABULARY)
+    assert time.time() - began < 60 and ids == merges._library(VOCABULARY).encode_ordinary(word)
+    mixed = ["x " + word[:900] + " y", word[:601], word[:600], "", "a"]
+    assert merges.Merger(VOCABULARY).counts(mixed) == merges.LibraryMerger(VOCABULARY).counts(mixed)
+
+
+def test_workers_remember_little():
+    """Indented code is cut into pieces, and neither they nor long words stay in memory without bound."""
+    r = random.Random(4)
+    m = merges.Merger(VOCABULARY, "<u2")
+    for i in range(40):
+        code = "\n".join(" " * (4 * r.randrange(4)) + f"x{r.random()} = f(y{i}, {r.random()})" for _ in range(2_000))
+        text = code + " " + "".join(r.choice("abc") for _ in range(3000))
+        assert np.frombuffer(m.ids([text])[0], "<u2").tolist() == merges._library(VOCABULARY).encode_ordinary(text)
+        held = [*m.head, *m.body]
+        assert sum(map(len, held)) <= merges.CACHE_CHARS + 400_000 and max(map(len, held), default=0) <= merges.LONG_PIECE
+
+
 def test_lexicon_is_minimal():
     words = sorted(w.encode() for w in ("tap", "taps", "top", "tops", "stop", "stops", "", "p", "zz"))
     edges, final = lexicon.minimal_automaton(words)
@@ -116,6 +142,7 @@ def test_bpe_round_trip(spark, docs, none):
     for size in (0, 5, 50_000):
         coded = lexicon.encode(docs, lexicon_words=size)
         assert sorted((r.doc_id or -1, r.ids or []) for r in coded.collect()) == sorted((r.doc_id or -1, enc.encode_ordinary(r.text or "")) for r in docs.collect())
+        assert all(r.restored for r in coded.collect() if r.ids is not None)
     assert sorted((r.doc_id or -1, r.text or "") for r in lexicon.decode(coded).collect()) == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
     assert {r.doc_id for r in coded.collect() if r.ids is None} == {8, None}
     assert lexicon.encode(none).count() == 0
@@ -170,14 +197,24 @@ def test_resampling_by_definition():
         up, down = target // g, rate // g
         bank = audio._bank(up, down)
         width = bank.shape[1] // 2
-        y = audio.resample(x, rate, target)
+        y = audio.resample(lambda a, b: x[a:b], len(x), rate, target)
         assert len(y) == -(-len(x) * up // down)
         for n in range(0, len(y), 17):
             at, phase = n * down // up, n * down % up
             want = sum(float(bank[phase, j]) * float(x[at - width + 1 + j]) for j in range(2 * width) if 0 <= at - width + 1 + j < len(x))
             assert abs(want - y[n]) < 1e-4
     tone = np.sin(2 * np.pi * 440 * np.arange(11_025) / 11_025)
-    assert np.abs(audio.resample(tone, 11_025, 8_000) - np.sin(2 * np.pi * 440 * np.arange(8_000) / 8_000))[100:-100].max() < 1e-3
+    assert np.abs(audio.resample(lambda a, b: tone[a:b], len(tone), 11_025, 8_000) - np.sin(2 * np.pi * 440 * np.arange(8_000) / 8_000))[100:-100].max() < 1e-3
+
+
+def test_blocks_give_what_the_whole_gives(monkeypatch):
+    x = np.random.default_rng(3).normal(size=9_000).astype(np.float32)
+    pairs = ((11_025, 8_000), (44_100, 8_000), (8_000, 8_000))
+    whole = [audio.resample(lambda a, b: x[a:b], len(x), *p) for p in pairs]
+    mel = audio.log_mel(x, 8_000)
+    monkeypatch.setattr(audio, "WORK", 2_000)
+    assert all(np.allclose(audio.resample(lambda a, b: x[a:b], len(x), *p), w, atol=1e-6) for p, w in zip(pairs, whole, strict=True))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(audio.log_mel(x, 8_000), mel, strict=True))
 
 
 def test_log_mel_by_definition():
@@ -201,24 +238,84 @@ def test_hysteresis(values):
     assert audio.hysteresis(np.array(values, float), 2, -1).tolist() == want
 
 
-def test_audio_rows(spark, tmp_path):
-    pcm = np.sin(np.arange(9000) / 5) * 20000
-    wav = b"RIFF" + struct.pack("<I", 36 + 18000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 18000) + pcm.astype("<i2").tobytes()
-    clips = spark.createDataFrame([(1, bytearray(wav), 1), (2, None, 1), (3, bytearray(b""), 1), (4, bytearray(b"\x80" * 3), 1), (4, bytearray(b"\x80" * 3), 1), (None, bytearray(b"abc"), 1), (5, bytearray(wav[:40]), 1)], "clip bigint, payload binary, window int")
-    out = audio.audio_features(clips, "clip", "payload")
+def wave(x, coding, bits, rate=8000, channels=1, extensible=False):
+    kind = {(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}.get((coding, bits))
+    if coding == 3:
+        body = x.astype(kind).tobytes()
+    elif bits == 8:
+        body = np.round((x + 1) * 127.5).astype("u1").tobytes()
+    elif bits == 24:
+        body = b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in x)
+    else:
+        body = (x * 2 ** (bits - 1)).astype(kind or "u1").tobytes()
+    head = struct.pack("<HHIIHH", 0xFFFE if extensible else coding, channels, rate, rate * bits // 8, bits // 8, bits)
+    if extensible:
+        head += struct.pack("<HHIH", 22, bits, 0, coding) + b"\0" * 14
+    return b"RIFF" + struct.pack("<I", 28 + len(head) + len(body)) + b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(body)) + body
+
+
+def test_wave_codings():
+    x = (np.sin(np.arange(2000) / 5) * 0.6).astype(np.float64)
+    for coding, bits, tolerance in ((1, 8, 0.01), (1, 16, 1e-4), (1, 24, 1e-6), (1, 32, 1e-6), (3, 32, 1e-6), (3, 64, 1e-6)):
+        for extensible in (False, True):
+            clip = audio.Clip(wave(x, coding, bits, extensible=extensible), 1)
+            assert clip.status == "ok" and clip.length == 2000 and clip.rate == 8000 and np.abs(clip.read(0, 2000) - x).max() < tolerance
+    assert audio.Clip(wave(x, 1, 16, rate=100_000_007), 1).status == "1 channels at rate 100000007"
+    assert audio.Clip(wave(x, 7, 8), 1).status == "coding 7 of 8 bits"
+    assert audio.Clip(wave(x, 1, 16)[:38], 1).status == "no data" and audio.Clip(b"", 1).status == "empty"
+
+
+def test_audio_rows(spark, monkeypatch):
+    # ordinary loudness with an offset, half of it silence
+    x = np.sin(np.arange(9000) / 5) * 0.1 * (np.arange(9000) < 4500) + 0.3
+    wav = wave(x, 1, 16)
+    clips = spark.createDataFrame([(1, bytearray(wav), 1), (2, None, 1), (3, bytearray(b""), 1), (4, bytearray(b"\x80" * 3), 1), (4, bytearray(b"\x80" * 3), 1), (None, bytearray(b"abc"), 1), (5, bytearray(wav[:38]), 1), (6, bytearray(wave(x, 1, 16, rate=100_000_007)), 1)], "clip bigint, payload binary, part int")
+    out = common.materialize(audio.audio_features(clips, "clip", "payload"), "audio")
     rows = out.collect()
-    assert Counter(r.id for r in rows) == {1: 2, 4: 2, None: 1} and all(len(r.features) == 64 * 32 for r in rows)
-    one = sorted((r for r in rows if r.id == 1), key=lambda r: r.window)
-    assert [r.n_frames for r in one] == [64, 47] and one[0].segments[0].start_s == 0 and one[0].segments[0].end_s == one[0].end_s == one[1].start_s
-    assert audio.as_tensors(out.toArrow()).schema.field("features").type == audio.TENSOR
-    audio.write_tensors(out, str(tmp_path / "t"))
-    import pyarrow as pa
-
-    stored = [pa.ipc.open_stream(r.arrow).read_all() for r in spark.read.parquet(str(tmp_path / "t")).collect()]
-    assert sum(t.num_rows for t in stored) == len(rows) and all(t.schema.field("features").type == audio.TENSOR for t in stored)
+    assert Counter((r.id, r.status) for r in rows) == {(1, "ok"): 1, (3, "empty"): 1, (4, "ok"): 2, (None, "ok"): 1, (5, "no data"): 1, (6, "1 channels at rate 100000007"): 1}
+    one = next(r for r in rows if r.id == 1)
+    assert (one.n_frames, one.n_windows, one.start_s, one.end_s) == (111, 2, 0, 1.11)
+    assert [(s.start_s, round(s.end_s, 1)) for s in one.segments] == [(0.0, 0.6)]
+    table = audio.tensors(bytes(one.tensors))
+    assert table.schema.field("features").type == audio.TENSOR and table.column("n_frames").to_pylist() == [64, 47] and table.column("end_s").to_pylist() == [0.64, 1.11]
+    every = audio.windows(out).collect()
+    assert Counter(r.id for r in every) == {1: 2, 4: 2, None: 1} and all(len(r.features) == 64 * 32 for r in every)
+    mel = audio.log_mel(audio.resample(audio.Clip(wav, 1).centred(), 9000, 8000, 8000), 8000)[0]
+    got = np.concatenate([np.reshape(r.features, (64, 32)) for r in sorted((r for r in every if r.id == 1), key=lambda r: r.window)])
+    assert np.allclose(got[:111], mel, atol=1e-4) and not got[111:].any()
+    monkeypatch.setattr(audio, "WINDOWS", 1)
+    parts = list(audio.clip_features(wav, 1, 8000, 12, 18, -60))
+    assert [(p[0], p[2], p[3], p[4], p[5]) for p in parts] == [(0, 0.0, 0.64, 64, 1), (1, 0.64, 1.11, 47, 1)] and audio.tensors(parts[1][6]).column("window").to_pylist() == [1]
     assert audio.audio_features(clips.limit(0), "clip", "payload").count() == 0
 
 
+def test_bounded_memory():
+    """An hour of sound, a text of 20 MB and a word of 2 MB each in a process of limited size."""
+    code = """
+import resource, sys, numpy as np
+from codeloom.llm import audio, huffman, merges
+sys.path.insert(0, {here!r})
+from test_operators import wave
+limit = 4 << 30
+resource.setrlimit(resource.RLIMIT_AS, (limit, limit))
+hour = bytearray(44 + 2 * 16_000 * 3600)
+hour[:44] = wave(np.zeros(0), 1, 16, rate=16_000)[:44]
+hour[40:44] = (len(hour) - 44).to_bytes(4, "little")
+rows = list(audio.clip_features(hour, 1, 8000, 12, 18, -60))
+assert sum(r[4] for r in rows) == 359_999, sum(r[4] for r in rows)
+del hour, rows
+merger = merges.Merger(merges.DEFAULT_VOCABULARY, "<u2")
+text = "some words of a text, and\\n    indented lines " * 430_000
+ids = np.frombuffer(merger.ids([text])[0], "<u2").astype(np.int32)
+lengths = huffman.code_lengths(np.bincount(ids, minlength=1 << 16), 18)
+payload, at, bits, offsets, blocks = huffman.encode_rows(ids, np.array([0, len(ids)]), lengths.astype(np.int64), huffman.canonical_codes(lengths), 512)
+assert (huffman.Decoder(lengths).blocks(payload, offsets, huffman.block_sizes(np.array([len(ids)]), 512)) == ids).all()
+assert len(merges.merge_long(b"ab" * 1_000_000, merges.DEFAULT_VOCABULARY)) > 0
+"""
+    here = __file__.rsplit("/", 1)[0]
+    subprocess.run([sys.executable, "-c", code.format(here=here)], check=True, cwd=here.rsplit("/", 2)[0], env={"PYTHONPATH": here.rsplit("/", 2)[0], "PATH": "/usr/bin:/bin", "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, timeout=300)
+
+
 # 4: Huffman
 
 
@@ -256,10 +353,30 @@ def test_huffman_round_trip(spark, docs, none):
     long = coded.where("doc_id = 13").first()
     d = huffman.Decoder(lengths)
     whole = dict(want)[13]
+    assert all(r.restored for r in coded.collect() if r.n_ids is not None)
     # one block alone, from its checkpoint
-    assert d.blocks(bytes(long.payload), np.array(long.block_bits[7:8]), 100, 100).tolist() == whole[700:800]
+    assert d.blocks(bytes(long.payload), np.array(long.block_bits[7:8]), np.array([100])).tolist() == whole[700:800]
+    stored = common.materialize(huffman.archive(docs, limit=15, block=64), "archive")
+    assert sorted((r.doc_id or -1, r.ids or []) for r in huffman.restore(stored, 64).collect()) == want
     empty, zero = huffman.compress_texts(none)
     assert empty.count() == 0 and not zero.any()
+    assert [r.kind for r in huffman.archive(none).collect()] == ["book"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=30), max_size=8), st.integers(1, 7))
+def test_rows_and_blocks(rows, block):
+    ids = np.array([x for r in rows for x in r], np.int32)
+    begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=41), 9)
+    codes = huffman.canonical_codes(lengths)
+    payload, at, bits, offsets, blocks = huffman.encode_rows(ids, begins, lengths.astype(np.int64), codes, block)
+    for i, r in enumerate(rows):
+        text = "".join(format(codes[x], f"0{lengths[x]}b") for x in r)
+        assert bits[i] == len(text)
+        got = "".join(format(b, "08b") for b in payload[at[i] : at[i + 1]])
+        assert got[: len(text)] == text and not got[len(text) :].strip("0") and len(got) - len(text) < 8
+        assert offsets[blocks[i] : blocks[i + 1]].tolist() == [sum(int(lengths[x]) for x in r[:b]) for b in range(0, len(r), block)]
 
 
 # 5: repeated passages
@@ -291,25 +408,57 @@ def brute_spans(texts, size):
 
 @pytest.mark.parametrize(("size", "k"), [(50, 16), (5, 1), (5, 5), (3, 2)])
 def test_repeated_spans(spark, docs, none, size, k):
-    got = {(r.doc_id, r.later, r.start_word, r.end_word) for r in suffixes.repeated_spans(docs, words=size, k=k).collect()}
+    got = {((r.doc_id, r.content), r.later, r.start_word, r.end_word) for r in suffixes.repeated_spans(docs, words=size, k=k).collect()}
     assert got == brute_spans(texts_of(docs), size)
     assert suffixes.repeated_spans(none).count() == 0
 
 
+def test_repeated_spans_of_unique_ids_and_long_texts(spark, monkeypatch):
+    """A passage in every document, a text of many stretches, and ids that don't recur."""
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: " ".join(f"w{r.random()}" for _ in range(r.randint(0, 60))) + " " + passage + " " + " ".join(f"w{r.random()}" for _ in range(30)) for i in range(-60, 60)}
+    long = " ".join(f"l{r.randrange(10**9)}" for _ in range(3_000))
+    texts |= {100: long, 101: "x " + long[500:], 102: " ".join(long.split()[700:800])}
+    got = {(x.doc_id, x.later, x.start_word, x.end_word) for x in suffixes.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == brute_spans(texts, 50)
+    # stretches: the same runs, cut elsewhere
+    words, begins = common.word_hashes(__import__("pyarrow").array([long, "a b"]), suffixes._KEYS)
+    monkeypatch.setattr(suffixes, "STRETCH", 500)
+    windows = [(i, at + j) for w, b, first, at in suffixes._stretches(words, begins, 50) for t, s, n, *_ in zip(*suffixes._runs(w, b, 50, 16), strict=True) for i, j in [(first + t, s + x) for x in range(n)]]
+    assert sorted(windows) == [(0, x) for x in range(3_000 - 49)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=60), st.integers(1, 12))
+def test_least(values, span):
+    v = np.array(values, np.uint64)
+    if len(v) >= span:
+        assert suffixes._least(v, span).tolist() == [i + int(v[i : i + span].argmin()) for i in range(len(v) - span + 1)]
+
+
+def without(text, cuts):
+    """The words that are in no cut."""
+    return [w for n, w in enumerate(text.split()) if not any(a <= n < b for a, b in cuts)]
+
+
 def test_dropped_repeats(spark, docs, none):
-    spans = brute_spans(texts_of(docs), 50)
+    texts, spans = texts_of(docs), brute_spans(texts_of(docs), 50)
     out = suffixes.drop_repeats(docs)
     assert out.columns == docs.columns
-    got = [r for r in out.collect() if r.doc_id is not None]
-    for i, text in texts_of(docs).items():
-        cuts = [(a, b) for j, later, a, b in spans if j == i and later]
-        kept = [w for n, w in enumerate(text.split()) if not any(a <= n < b for a, b in cuts)]
-        mine = [r for r in got if r.doc_id == i]
-        if cuts:
-            assert [r.text.split() for r in mine] == ([kept] if kept else []) and all(len(r.text) == r.n_chars for r in mine)
-        else:
-            assert all(r.text == text for r in mine) and mine
-    assert {r.doc_id for r in got if r.text is None} == {8}
+    want = Counter()
+    for x in docs.collect():
+        if x.doc_id is None or x.text is None:
+            want[x.doc_id, x.text] += 1
+            continue
+        key = (x.doc_id, hashlib.md5(x.text.encode()).hexdigest())
+        cuts = [(a, b) for j, later, a, b in spans if j == key and later]
+        if not cuts or without(texts[key], cuts):
+            want[x.doc_id, " ".join(without(x.text, cuts)) if cuts else x.text] += 1
+    got = [r for r in out.collect()]
+    cut_ids = {j for j, later, *_ in spans if later}
+    assert Counter((r.doc_id, r.text if (r.doc_id, r.text) in want else " ".join(r.text.split())) for r in got) == want
+    assert all(len(r.text) == r.n_chars for r in got if r.text is not None) and any(i[0] == 18 for i in cut_ids | set(texts))
     assert suffixes.drop_repeats(none).count() == 0
 
 
@@ -395,44 +544,63 @@ def test_sum_of_squares(sizes):
     assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == brute_pack(sizes, 12)
 
 
-def test_pack(spark):
-    lengths = spark.createDataFrame([(i, (i * 37) % 900) for i in range(1, 400)] + [(500, 5000), (501, 2048), (502, 0), (503, None), (None, 7), (1, 37)], "doc_id bigint, n_tokens bigint")
-    for shard_tokens in (10**9, 20_000):
-        rows = packing.pack(lengths, capacity=1024, shard_tokens=shard_tokens).collect()
-        bins, parts = defaultdict(list), defaultdict(list)
-        for r in rows:
-            bins[r.bin_id].append((r.bin_offset, r.n_tokens))
-            parts[r.doc_id].append((r.token_start, r.n_tokens))
-        for b in bins.values():
-            ends = 0
-            for at, n in sorted(b):
-                assert at == ends
-                ends += n
-            assert ends <= 1024
-        assert sum(n for _, n in parts[500]) == 5000 and sorted(parts[500])[1][0] == 1024 and len(parts[1]) == 2
-        assert not {502, 503, None} & parts.keys() and len(parts) == 399 - sum((i * 37) % 900 == 0 for i in range(1, 400)) + 2
-        assert len(bins) <= 1.15 * sum(r.n_tokens for r in rows) / 1024 + 2 * len({r.bin_id >> 32 for r in rows})
-    assert packing.pack(lengths.limit(0)).count() == 0
+def check_packed(rows, texts, capacity, encode):
+    """texts: a list of (doc_id, text); every part of every document lies in one sequence, in order."""
+    left = Counter((i, tuple(encode(t))) for i, t in texts if encode(t))
+    parts = defaultdict(list)
+    for r in rows:
+        assert r.n_tokens == len(r.ids) <= capacity and r.bin_offsets[0] == 0 and len(r.doc_ids) == len(r.token_starts) == len(r.bin_offsets)
+        for i, start, a, b in zip(r.doc_ids, r.token_starts, r.bin_offsets, [*r.bin_offsets[1:], r.n_tokens], strict=True):
+            assert a < b
+            parts[i].append((start, tuple(r.ids[a:b])))
+    assert len({r.bin_id for r in rows}) == len(rows)
+    for (i, ids), n in left.items():
+        for _ in range(n):
+            for at in range(0, len(ids), capacity):
+                parts[i].remove((at, ids[at : at + capacity]))
+    assert not any(parts.values())
+
+
+def test_pack(spark, docs, none):
+    encode = merges._library(VOCABULARY).encode_ordinary
+    r = random.Random(3)
+    more = spark.createDataFrame([row(i, " ".join(r.choice(["one", "two", "three", "unübersichtlich"]) for _ in range(r.randint(1, 200)))) for i in range(200, 500)] + [row(600, "word " * 5000)], SCHEMA)
+    table = docs.unionByName(more)
+    texts = [(x.doc_id, x.text) for x in table.collect() if x.doc_id is not None and x.text is not None]
+    for shard_tokens in (10**9, 5_000):
+        rows = packing.pack(table, capacity=256, shard_tokens=shard_tokens).collect()
+        check_packed(rows, texts, 256, encode)
+        assert len(rows) <= 1.15 * sum(x.n_tokens for x in rows) / 256 + 2 * len({x.bin_id >> 32 for x in rows})
+    # the rests of one shard lie where the definition puts them
+    rest = sorted((i, np.array(ids[len(ids) // 256 * 256 :], "<u2").tobytes()) for i, t in texts if len(ids := encode(t)) % 256)
+    rows = {x.bin_id: x for x in packing.pack(table, capacity=256, shard_tokens=10**9).collect()}
+    for (i, raw), (b, at) in zip(rest, brute_pack([len(x) // 2 for _, x in rest], 256), strict=True):
+        assert np.array(rows[b].ids[at : at + len(raw) // 2], "<u2").tobytes() == raw and rows[b].doc_ids[rows[b].bin_offsets.index(at)] == i
+    assert packing.pack(none).count() == 0
 
 
 # 9: top-k
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("scale", [1e-6, 1, 3e6])
+def test_exact_top_k(spark, scale):
     g = np.random.default_rng(4)
-    v = np.concatenate([g.normal(size=(300, 8)), np.repeat(g.normal(size=(5, 8)), 6, axis=0), np.zeros((3, 8)), g.integers(-1, 2, size=(60, 8))]).round(3)
+    near = np.repeat(g.normal(size=(4, 8)), 8, axis=0)
+    near[::2] *= 1 + 1e-15 * g.integers(0, 4, size=(16, 1))
+    v = np.concatenate([g.normal(size=(250, 8)), np.repeat(g.normal(size=(5, 8)), 6, axis=0), near, np.zeros((3, 8)), g.integers(-1, 2, size=(60, 8))]) * scale
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
     odd = [(900, None, 0), (901, [], 0), (902, [1.0, None], 0), (903, [float("nan")] * 8, 0), (None, [1.0] * 8, 0), (904, [1.0, 2.0], 0), (905, [3.0, 1.0], 0), (0, v[0].tolist(), 0)]
     df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>, rank int")
+    exact = [[Fraction(float(e)) for e in x] for x in v]
     want = set()
-    for i, x in enumerate(v):
-        s = np.round(v @ x, 9)
+    for i in range(0, len(v), 5):
+        s = [float(sum(a * b for a, b in zip(exact[i], x, strict=True))) for x in exact]
         best = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-s[j], j))[:7]
-        want |= {(i, j, r) for r, j in enumerate(best, 1)}
-    want |= {(904, 905, 1), (905, 904, 1)}
-    for shard_rows, leaf in ((64, 8), (10_000, 16), (50, 1000)):
-        got = balltree.exact_top_k(df, k=7, shard_rows=shard_rows, leaf_size=leaf).collect()
-        assert {(r.query_id, r.neighbor_id, r["rank"]) for r in got} == want and len(got) == len(want)
+        want |= {(i, j, r, s[j]) for r, j in enumerate(best, 1)}
+    want |= {(905, 904, 1, 5.0)}
+    for shard_rows, block_rows, leaf in ((64, 20, 8), (10_000, 1000, 16), (50, 30, 1000)):
+        got = balltree.exact_top_k(df, k=7, query_step=5, shard_rows=shard_rows, block_rows=block_rows, leaf_size=leaf).collect()
+        assert {(r.query_id, r.neighbor_id, r["rank"], r.score) for r in got} == want and len(got) == len(want)
     assert balltree.exact_top_k(df.limit(0)).count() == 0
 
 
@@ -452,30 +620,55 @@ def test_sketch_estimates_similarity():
         assert abs(np.mean(diffs)) < 0.05
 
 
-def brute_groups(texts, threshold=0.6, k=3):
-    sets = {i: {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} for i, t in texts.items() if (w := t.split())}
-    root = {i: i for i in sets}
+def brute_classes(texts, threshold=0.6, k=3):
+    """document -> (the first of its group, similar other texts, copies); texts by document."""
+    words = {i: tuple(t.split()) for i, t in texts.items()}
+    same = defaultdict(list)
+    for i in sorted(texts):
+        same[words[i] or i].append(i)
+    sets = {i: {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} for i, w in words.items() if w}
+    root = {i: same[words[i] or i][0] for i in texts}
+    links = Counter()
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations(sorted(i for i in sets if same[words[i]][0] == i), 2):
         if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets if find(i) != i}
+    return {i: (find(i), links[same[words[i] or i][0]], len(same[words[i] or i]) - 1) for i in texts}
+
+
+def brute_groups(texts, threshold=0.6, k=3):
+    return {i: c[0] for i, c in brute_classes(texts, threshold, k).items() if c[0] != i}
 
 
 def test_near_copies(spark, docs, none):
     rows = nearcopies.near_copies(docs).collect()
-    assert {r.doc_id: r.keeper for r in rows} == brute_groups(texts_of(docs)) and len(rows) == len({r.doc_id for r in rows})
+    got = {(r.doc_id, r.content): (r.class_id, r.n_links, r.n_copies) for r in rows}
+    assert got == {i: (c[0][0], *c[1:]) for i, c in brute_classes(texts_of(docs)).items()} and len(rows) == len(got)
     assert nearcopies.near_copies(none).count() == 0
 
 
+def test_one_of_each_group_is_kept(spark, docs, none):
+    gone = brute_groups(texts_of(docs))
+    kept = nearcopies.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    want = Counter((i, t) for (i, h), t in texts_of(docs).items() if (i, h) not in gone) + Counter((r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.text is None)
+    assert Counter((r.doc_id, r.text) for r in rows) == want
+    once = docs.where("doc_id < 8 and doc_id <> 6")
+    assert Counter((r.doc_id, r.text) for r in nearcopies.keep_one(once).collect()) == Counter((i, t) for (i, h), t in texts_of(once).items() if (i, h) not in brute_groups(texts_of(once)))
+    assert nearcopies.keep_one(none).count() == 0
+
+
 def test_near_copies_of_many(spark, monkeypatch):
-    """A hot group of mutated copies without hub, cut into blocks."""
+    """A hot group of mutated copies without hub, cut into blocks; documents that only share a passage."""
     monkeypatch.setattr(nearcopies, "BLOCK", 7)
     r = random.Random(11)
     base = [str(r.random()) for _ in range(150)]
@@ -486,10 +679,35 @@ def test_near_copies_of_many(spark, monkeypatch):
             w[r.randrange(150)] = str(r.random())
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(base[:60] + [str(r.random()) for _ in range(90)])) for i in range(20)]
-    got = {x.doc_id: x.keeper for x in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    want = brute_groups(dict(rows))
-    assert len(got.keys() & want.keys()) >= 0.97 * len(want) and not got.keys() - want.keys()
-    assert all(want[i] == k for i, k in got.items() if k in (0,))
+    got = {x.doc_id: (x.class_id, x.n_links, x.n_copies) for x in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_classes(dict(rows))
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    assert all(want[i][0] == k for i, (k, *_) in got.items() if k != i)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30)), min_size=1, max_size=9), st.lists(st.sets(st.integers(0, 30)), min_size=1, max_size=9))
+def test_intersections(rows, columns):
+    sets = [[np.array(sorted(x), np.uint64) for x in side] for side in (rows, columns)]
+    assert nearcopies.intersections(*sets).tolist() == [[len(a & b) for b in columns] for a in rows]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.randoms())
+def test_forest(n, m, r):
+    hit = np.array([[r.random() < 0.2 for _ in range(m)] for _ in range(n)])
+    sides = np.arange(n), np.arange(n, n + m)
+    root = list(range(n + m))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere(hit):
+        a, b = find(i), find(n + j)
+        root[max(a, b)] = min(a, b)
+    assert {tuple(p) for p in nearcopies.forest(hit, *sides).tolist()} == {(x, find(x)) for x in range(n + m) if find(x) != x}
 
 
 def test_components(spark):
