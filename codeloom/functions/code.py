@@ -118,10 +118,11 @@ THRESHOLDS = {"complexity": 10, "coupling": 0.7, "cohesion": 0.3, "nesting": 4,
 
 
 def metric_findings(metrics: DataFrame, limits: dict = THRESHOLDS) -> DataFrame:
-    """(id, rule, severity) of metrics(id, complexity, coupling, cohesion, nesting, parameters) beyond their limits."""
+    """(id, rule, category, severity) of metrics(id, complexity, coupling, cohesion, nesting, parameters) beyond their limits."""
 
     def finding(rule: str, when: Column, severity: Column) -> Column:
-        return F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity")))
+        category = {"high_coupling": "coupling", "low_cohesion": "cohesion"}.get(rule, "complexity")
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), severity.alias("severity")))
 
     c = limits["complexity"]
     rules = [
@@ -134,19 +135,26 @@ def metric_findings(metrics: DataFrame, limits: dict = THRESHOLDS) -> DataFrame:
     return metrics.select("id", F.inline(F.array_compact(F.array(*rules))))
 
 
-#: (id, type, severity, regular expressions) of the patterns found line by line.
+#: Parts of expressions that several rules use.
+_CALL, _SET = r"\s*+[(]", r"\s*+="
+_WORD_EDGE = "[A-Za-z0-9_]"
+#: (id, type, severity, regular expressions) of the patterns found line by line; line ends are newlines only.
 PATTERNS = [
-    ("singleton", "DESIGN_PATTERN", "INFO", [r"_instance\s*+=\s*+None", *(rf"\b{f}\s*+[(]" for f in ("get_instance", "getInstance"))]),
-    ("factory", "DESIGN_PATTERN", "INFO", [r"def\s++create_\w", r"class\s++\w+Factory\b", r"def\s++factory\b"]),
-    ("magic_numbers", "CODE_SMELL", "INFO", [r"(?<![.\w])[2-9]\d\d++(?![.\w])", r"\[\d++:\d++\]"]),
-    ("global_state", "ANTI_PATTERN", "WARNING", [r"^global\s++\w", r"^[A-Z][A-Z0-9_]*+\s*+=(?!\s*+frozen)"]),
-    ("bare_except", "ANTI_PATTERN", "WARNING", [rf"\bexcept{what}\s*+:" for what in ("", r"\s++Exception")]),
+    ("singleton", "DESIGN_PATTERN", "INFO", [rf"_instance{_SET}\s*+None", *(rf"def\s++{f}{_CALL}" for f in ("get_instance", "getInstance"))]),
+    ("factory", "DESIGN_PATTERN", "INFO", [rf"def\s++create_\w++{_CALL}", r"class\s++\w*Factory\b", rf"def\s++factory{_CALL}"]),
+    ("magic_numbers", "CODE_SMELL", "INFO", [rf"(?<!{_WORD_EDGE})[2-9]\d\d++(?!{_WORD_EDGE})", r"\[" + ":".join([r"\s*+\d++\s*+"] * 2) + r"\]"]),
+    ("global_state", "ANTI_PATTERN", "WARNING", [r"^\s*+global\s++\w", rf"^[_A-Z][_A-Z0-9]*+{_SET}(?!.*frozen)"]),
+    ("bare_except", "ANTI_PATTERN", "WARNING", [rf"except{what}\s*+:" for what in ("", r"\s++Exception")]),
 ]
 
 
+def _finds(line: Column, rx: str) -> Column:
+    return line.rlike("(?Ud)" + rx)
+
+
 def regex_patterns(line_table: DataFrame, key: str = "file_path", patterns: list = PATTERNS) -> DataFrame:
-    """(key, line, pattern, severity, code, confidence): one row for each regular expression that a stripped line matches."""
-    hits = [F.when(F.col("code").rlike(rx), F.struct(F.lit(p).alias("pattern"), F.lit(kind).alias("type"), F.lit(sev).alias("severity"))) for p, kind, sev, regexes in patterns for rx in regexes]
+    """(key, line, code, pattern, type, severity, confidence): one row for each regular expression that a raw line holds; code is the stripped line."""
+    hits = [F.when(_finds(F.col("raw"), rx), F.struct(F.lit(p).alias("pattern"), F.lit(kind).alias("type"), F.lit(sev).alias("severity"))) for p, kind, sev, regexes in patterns for rx in regexes]
     return line_table.select(key, "line", F.left("code", F.lit(100)).alias("code"), F.inline(F.array_compact(F.array(*hits)))).withColumn("confidence", F.lit(0.8))
 
 
@@ -163,27 +171,103 @@ def structural_patterns(entities: DataFrame) -> DataFrame:
     return entities.select("id", F.inline(F.array_compact(F.array(*rules)))).withColumn("confidence", F.lit(0.9))
 
 
-_SINGLETON = (r"_instance\s*+=\s*+None", *(rf"def\s++{f}\s*+[(]" for f in ("get_instance", "__new__")), r"cls[.]_instance")
-_FACTORY = (r"class\s++(\w+Factory)\b", *(rf"def\s++{verb}_(\w++)" for verb in ("create", "make", "build")))
-_WRAPPER = ("@functools[.]wraps", r"@wraps\s*+[(]", r"def\s++wrapper\s*+[(]", r"return\s++wrapper\b")
-
-
-def _any(code: Column, regexes: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [code.rlike(r) for r in regexes])
+_SINGLETON = (r"_instance\s*+[:=]", rf"__new__{_CALL}", r"cls[.]_instance")
+#: (expression whose first group is what is made, description)
+_FACTORY = ((r"class\s++(\w*Factory\w*)\s*+[:(]", "Factory class"), *((rf"def\s++({verb}_\w++){_CALL}", what) for verb, what in (("create", "Factory method"), ("make", "Factory method"), ("build", "Builder method"))))
+_WRAPPED = tuple(f"self[.]{attribute}" for attribute in ("_component", "component", "_wrapped", "wrapped"))
 
 
 def singletons(line_table: DataFrame, key: str = "file_path") -> DataFrame:
-    """Files in which at least two lines show a sign of a singleton: (key, start_line, end_line, signs)."""
-    return line_table.where(_any(F.col("code"), _SINGLETON)).groupBy(key).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count(F.lit(1)).alias("signs")).where("signs >= 2").withColumn("confidence", F.lit(0.85))
+    """Files in which at least two lines show a sign of a singleton: (key, start_line, end_line, signs, confidence)."""
+    any_sign = reduce(lambda a, b: a | b, [_finds(F.col("raw"), r) for r in _SINGLETON])
+    return line_table.where(any_sign).groupBy(key).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.count(F.lit(1)).alias("signs")).where("signs >= 2").withColumn("confidence", F.lit(0.85))
 
 
 def factories(line_table: DataFrame, key: str = "file_path") -> DataFrame:
-    """(key, line, entity): what a factory line makes, one row for each expression that matches."""
-    hits = [F.when(F.col("code").rlike(r), F.regexp_extract("code", r, 1)) for r in _FACTORY]
-    return line_table.select(key, "line", F.explode(F.array_compact(F.array(*hits))).alias("entity")).withColumn("confidence", F.lit(0.9))
+    """(key, line, entity, description, confidence): factory classes and methods by their whole names, one row for each expression that matches."""
+    hits = [F.when(_finds(F.col("raw"), r), F.struct(F.regexp_extract("raw", "(?Ud)" + r, 1).alias("entity"), F.lit(what).alias("description"))) for r, what in _FACTORY]
+    return line_table.select(key, "line", F.inline(F.array_compact(F.array(*hits)))).withColumn("confidence", F.lit(0.9))
 
 
 def decorators(line_table: DataFrame, key: str = "file_path") -> DataFrame:
-    """Files with at least two signs (not lines) of a hand-written decorator."""
-    hits = reduce(lambda a, b: a + b, [F.col("code").rlike(r).cast("int") for r in _WRAPPER])
+    """Files with at least two signs (not lines) of an object that wraps another: (key, start_line, end_line, signs, confidence)."""
+    hits = reduce(lambda a, b: a + b, [_finds(F.col("raw"), r).cast("int") for r in _WRAPPED])
     return line_table.withColumn("__n", hits).where("__n > 0").groupBy(key).agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sum("__n").alias("signs")).where("signs >= 2").withColumn("confidence", F.lit(0.7))
+
+
+def detect_patterns(files: DataFrame, entities: DataFrame | None = None, key: str = "file_path", text: str = "text") -> DataFrame:
+    """(key, pattern, type, severity, start_line, end_line, entity, code, confidence): the line patterns of files and the structural ones of their entities.
+
+    entities(key, id, name, type, start_line, end_line, methods, parameters) as for structural_patterns.
+    """
+    found = regex_patterns(lines(files, key, text), key).select(key, "pattern", "type", "severity", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit(None).cast("string").alias("entity"), "code", "confidence")
+    if entities is None:
+        return found
+    rules = structural_patterns(entities).join(entities.select("id", key, "name", "start_line", "end_line"), "id")
+    severity = F.when(F.col("pattern") == "long_parameter_list", "INFO").otherwise("WARNING")
+    return found.unionByName(rules.select(key, "pattern", F.lit("CODE_SMELL").alias("type"), severity.alias("severity"), "start_line", "end_line", F.col("name").alias("entity"), F.lit(None).cast("string").alias("code"), "confidence"))
+
+
+def pattern_findings(matches: DataFrame) -> DataFrame:
+    """The matches that are findings: anti-patterns and code smells."""
+    return matches.where(F.col("type").isin("ANTI_PATTERN", "CODE_SMELL"))
+
+
+def filter_findings(findings: DataFrame, severity: str | None = None, file_path: str | None = None, category: str | None = None) -> DataFrame:
+    """The findings of one severity, file and category; None: of any."""
+    return reduce(lambda df, kv: df if kv[1] is None else df.where(F.col(kv[0]) == kv[1]), {"severity": severity, "file_path": file_path, "category": category}.items(), findings)
+
+
+def _counts(df: DataFrame, column: str) -> DataFrame:
+    pairs = F.sort_array(F.collect_list(F.struct(column, "n")))  # one for each severity or category
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(pairs).alias(column))
+
+
+def summary(files: DataFrame, metrics: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: total_files of files, total_entities of metrics, total_findings, findings by severity and category as maps, and means.
+
+    metrics are rows of entity_metrics(); findings have severity and category. The means are 0 without entities.
+    """
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for c, n in (("cyclomatic", "avg_complexity"), ("coupling_score", "avg_coupling"), ("cohesion_score", "avg_cohesion"))]
+    out = files.agg(F.count(F.lit(1)).alias("total_files")).crossJoin(metrics.agg(F.count(F.lit(1)).alias("total_entities"), *means))
+    out = out.crossJoin(findings.agg(F.count(F.lit(1)).alias("total_findings")))
+    return out.crossJoin(_counts(findings, "severity").withColumnRenamed("severity", "by_severity")).crossJoin(_counts(findings, "category").withColumnRenamed("category", "by_category"))  # single rows
+
+
+def complexity_metrics(files: DataFrame, key: str = "file_path", text: str = "text") -> DataFrame:
+    """(key, cyclomatic, cognitive, nesting_depth, lines_of_code, comment_lines, blank_lines) of each text; the key must be unique."""
+    table = lines(files, key, text)
+    flat = files.select(key, cyclomatic(F.col(text)).alias("cyclomatic"), nesting_depth(F.col(text)).alias("nesting_depth"))
+    counted = line_counts(table, key).withColumnRenamed("code_lines", "lines_of_code")
+    return flat.join(cognitive(table, key), key, "left").join(counted, key, "left").select(key, "cyclomatic", "cognitive", "nesting_depth", "lines_of_code", "comment_lines", "blank_lines")
+
+
+def entity_metrics(entities: DataFrame, dependencies: DataFrame | None = None, text: str = "source_code") -> DataFrame:
+    """complexity_metrics() of entities(id, name, type, file_path, start_line, end_line, parameters, source_code) with coupling.
+
+    dependencies(src, dst) are edges between ids; coupling_score is the instability, 0 without any edge. Edges that repeat count each.
+    """
+    own = entities.select("id", "name", "type", "file_path", "start_line", "end_line", "parameters")
+    out = own.join(complexity_metrics(entities.select("id", text), "id", text).drop("comment_lines", "blank_lines"), "id")
+    if dependencies is None:
+        return out.withColumns({"coupling_score": F.lit(0.0), "dependency_count": F.lit(0).cast("bigint"), "dependent_count": F.lit(0).cast("bigint"), "cohesion_score": F.lit(1.0)})
+    of = coupling(dependencies).select("id", F.col("instability").alias("coupling_score"), F.col("efferent").alias("dependency_count"), F.col("afferent").alias("dependent_count"))
+    return out.join(of, "id", "left").na.fill(0, ["coupling_score", "dependency_count", "dependent_count"]).withColumn("cohesion_score", F.lit(1.0))
+
+
+def file_metrics(files: DataFrame, entities: DataFrame, key: str = "file_path", text: str = "text") -> DataFrame:
+    """(key, lines_of_code, lines_of_comments, blank_lines, entity_count, avg_complexity, max_complexity, import_count, export_count).
+
+    entities(key, cyclomatic) are the measured entities of the files; exports aren't analysed, so their count is 0.
+    """
+    rolled = entities.groupBy(key).agg(F.count(F.lit(1)).alias("entity_count"), F.avg("cyclomatic").alias("avg_complexity"), F.max("cyclomatic").alias("max_complexity"))
+    counted = line_counts(lines(files, key, text), key).select(key, F.col("code_lines").alias("lines_of_code"), F.col("comment_lines").alias("lines_of_comments"), "blank_lines")
+    out = files.select(key, import_count(F.col(text)).alias("import_count")).join(counted, key).join(rolled, key, "left").na.fill(0, ["entity_count", "avg_complexity", "max_complexity"])
+    return out.withColumn("export_count", F.lit(0)).select(key, "lines_of_code", "lines_of_comments", "blank_lines", "entity_count", "avg_complexity", "max_complexity", "import_count", "export_count")
+
+
+def complexity_histogram(metrics: DataFrame) -> DataFrame:
+    """(bucket, functions) of metrics(cyclomatic): 1-5, 6-10, 11-20, >20."""
+    c = F.col("cyclomatic")
+    bucket = F.when(c <= 5, "1-5").when(c <= 10, "6-10").when(c <= 20, "11-20").otherwise(">20")
+    return metrics.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("functions"))

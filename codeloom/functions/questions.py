@@ -7,29 +7,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query type: what its questions say, in any case; `..` stands for anything between two words, `(s)` for an optional ending. The order breaks ties.
+#: Query type: what its questions say, in any case. The order breaks ties. ` .. ` stands for anything between two whole words, `...` for anything
+#: between two parts whose inner ends may lie within words, `~` for white space or none, `(s)` for an optional ending.
 _ROUTES = """
-explain: explain; how does; what does; what is; understand; describe; walk .. through; tell me about
-trace: trace; flow; path; call chain; follow(s); execution; where .. called; call(s) .. from; data .. flow; control .. flow
-find: find; search; where; locate; which; list .. all; show .. all; look .. for
+explain: explain; how does; what does; what is; understand; describe; walk...through; tell me about
+trace: trace; flow; path; call chain; follow(s); execution; where...called; call(s) .. from; data...flow; control...flow
+find: find; search; where; locate; which; list .. all; show...all; look...for
 generate: generate; create; write; implement; add; build; make .. function; make .. class
-review: review; check; issue(s); problem(s); quality; code review
+review: review; check; issue(s); problem(s); quality; code~review
 refactor: refactor; improve; clean; simplify; optimize; restructure
 debug: debug; fix; error; bug; broken; failing; crash; exception; not working
-document: document; docstring; comment; documentation; api doc
-test: test; unittest; pytest; test case; unit test
+document: document; docstring; comment; documentation; api~doc
+test: test; unittest; pytest; test~case; unit~test
 """
 #: Query type: words of the plain substring classifier, in its order.
 _KEYWORDS = """
-explain: explain; how does; what does; what is; describe
-trace: trace; flow; path; call chain
-find: find; search; where; locate
+explain: explain; how does; what does; understand
+trace: trace; flow; path; call chain; follows
+find: find; search; where; locate; which
 generate: generate; create; write; implement; add
-review: review; check; quality
+review: review; check; issues; problems
 refactor: refactor; improve; clean; simplify
-debug: debug; fix; error; bug
+debug: debug; fix; error; bug; broken
 document: document; docstring; comment
-test: test
+test: test; unittest; pytest
 """
 
 
@@ -38,27 +39,30 @@ def _table(text: str) -> dict[str, list[str]]:
 
 
 def _expression(phrase: str) -> str:
-    """Whole words only."""
-    return r"\b" + phrase.replace("(s)", "s?").replace(" .. ", r"\b.*\b") + r"\b"
+    """Whole words at both ends."""
+    return r"\b" + phrase.replace("(s)", "s?").replace(" .. ", r"\b.*\b").replace("...", ".*").replace("~", r"\s*") + r"\b"
 
 
 #: Query type -> expressions; a question scores 0.5 for the first that hits and 1.0 from the second on.
 ROUTES = {t: [_expression(p) for p in phrases] for t, phrases in _table(_ROUTES).items()}
 KEYWORDS = _table(_KEYWORDS)
-COMMON = tuple("the a an is are this that it in on of to for and or does do how what".split())
-_NOUN = "(?i:function|method|class|module)"
-_ENTITIES = [("`([^`]++)`", 1), (rf"\b{_NOUN}\s++(\w++)", 1), (rf"\b(\w+)\s+{_NOUN}\b", 1), (r"\b(\w++)[(][)]", 1), (r"\b(\w++)[.](\w++)", 1), (r"\b(\w++)[.](\w++)", 2)]
+COMMON = tuple("and class code does file for from function how method module that the this what when where why with".split())
+_NOUN = "(?:function|method|class|module)"
+_QUOTE = "['\"]?"
+#: (expression, group): names in backquotes, after and before a noun, called, and both sides of a dot.
+_ENTITIES = [("`([^`]++)`", 1), (rf"{_NOUN}\s++{_QUOTE}(\w++){_QUOTE}", 1), (rf"(?:the\s+)?(\w+)\s+{_NOUN}", 1), (r"(\w++)[(][)]", 1), (r"(\w++)[.](\w++)", 1), (r"(\w++)[.](\w++)", 2)]
 CONTEXT = {
-    "explain": ["source", "docstring", "callers", "callees"], "trace": ["callers", "callees", "data_flow"], "find": ["source", "signature"], "generate": ["signature", "similar"], "review": ["source", "metrics", "patterns"],
-    "refactor": ["source", "metrics", "callers"], "debug": ["source", "callers", "callees", "data_flow"], "document": ["source", "signature", "docstring"], "test": ["source", "signature", "callers"], "general": ["source"],
+    "explain": "definition docstring callers callees", "trace": "callees callers data_flow", "find": "semantic_search graph_search", "generate": "similar_code imports types", "review": "definition callers tests",
+    "refactor": "definition callers callees similar_code", "debug": "definition callers callees stack_trace", "document": "definition usage_examples", "test": "definition existing_tests edge_cases", "general": "semantic_search",
 }
+CONTEXT = {k: v.split() for k, v in CONTEXT.items()}
 BUDGETS = {"explain": 8000, "trace": 10000, "find": 6000, "generate": 10000, "review": 12000, "refactor": 12000, "debug": 12000, "document": 6000, "test": 8000, "general": 8000}
 HANDLERS = {"explain": "ExplainHandler", "trace": "TraceHandler", "find": "FindHandler", "generate": "GenerateHandler", "debug": "DebugHandler"}
 
 
 def route_scores(text: Column) -> dict[str, Column]:
     """Type -> min(hits / 2, 1), where a hit is an expression that matches, in any case."""
-    return {t: F.least(F.lit(1.0), reduce(lambda a, b: a + b, [text.rlike("(?Ui)" + rx).cast("int") for rx in regexes]) / 2) for t, regexes in ROUTES.items()}
+    return {t: F.least(F.lit(1.0), reduce(lambda a, b: a + b, [text.rlike("(?Uid)" + rx).cast("int") for rx in regexes]) / 2) for t, regexes in ROUTES.items()}
 
 
 def route(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -83,7 +87,7 @@ def classify_keywords(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Sorted distinct names the question mentions, without one-letter and common words."""
-    found = reduce(F.array_union, [F.regexp_extract_all(text, F.lit("(?U)" + rx), F.lit(g)) for rx, g in _ENTITIES])
+    found = reduce(F.array_union, [F.regexp_extract_all(text, F.lit("(?Ui)" + rx), F.lit(g)) for rx, g in _ENTITIES])
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.char_length(x) > 1) & ~F.lower(x).isin(*COMMON))))
 
 
@@ -95,7 +99,7 @@ def _lookup(key: Column, values: dict, otherwise) -> Column:
 
 
 def suggested_context(query_type: Column) -> Column:
-    return _lookup(query_type, {k: F.array(*[F.lit(x) for x in v]) for k, v in CONTEXT.items()}, F.array(F.lit("source")))
+    return _lookup(query_type, {k: F.array(*[F.lit(x) for x in v]) for k, v in CONTEXT.items()}, F.array(F.lit("semantic_search")))
 
 
 def context_budget(query_type: Column) -> Column:
@@ -156,12 +160,13 @@ def context_text(packed: DataFrame, key: str) -> DataFrame:
     return packed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))), lambda x: x["s"]), "\n\n").alias("context"))
 
 
-def confidence(snippets: DataFrame, key: str) -> DataFrame:
-    """(key, confidence): mean of the three best relevances times 0.7 + 0.3 min(n / 5, 1), at most 1."""
+def confidence(snippets: DataFrame, key: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, confidence): mean of the three best relevances times 0.7 + 0.3 min(n / 5, 1), at most 1; of asked(key) those without snippets have 0.5."""
     order = Window.partitionBy(key).orderBy(F.desc("relevance"), "snippet_id")
     ranked = snippets.withColumn("__r", F.row_number().over(order))
     value = F.avg(F.when(F.col("__r") <= 3, F.col("relevance"))) * (0.7 + 0.3 * F.least(F.count(F.lit(1)) / 5, F.lit(1.0)))
-    return ranked.groupBy(key).agg(F.least(F.lit(1.0), value).alias("confidence"))
+    found = ranked.groupBy(key).agg(F.least(F.lit(1.0), value).alias("confidence"))
+    return found if asked is None else asked.select(key).distinct().join(found, key, "left").na.fill(0.5, ["confidence"])
 
 
 def mock_answer(prompt_: Column) -> tuple[Column, Column, Column]:

@@ -43,16 +43,21 @@ def rate(affected: DataFrame, changes: DataFrame) -> DataFrame:
 def recommendations() -> Column:
     """Advice in order, from change, risk, direct and files."""
     c = F.col
-    return F.array_compact(
-        F.array(
-            F.when(c("risk") > 70, "Split the change into smaller steps"),
-            F.when(c("risk") > 70, "Get a second reviewer"),
-            F.when(c("direct") > 5, F.concat(F.lit("Check all "), c("direct").cast("string"), F.lit(" direct dependents"))),
-            F.when(c("change") == "DELETE", "Remove the remaining references first").when(c("change") == "RENAME", "Keep an alias for the old name").when(c("change") == "MODIFY", "Check that callers still get what they expect").when(c("change") == "MOVE", "Update imports"),
-            F.when(c("files") > 3, F.concat(F.lit("Run the tests of "), c("files").cast("string"), F.lit(" files"))),
-            F.when(c("risk") > 50, "Release behind a switch"),
-        )
-    )
+
+    def says(when: Column, text: str, number: str | None = None) -> Column:
+        before, _, after = text.partition("#")
+        return F.when(when, F.concat(F.lit(before), c(number).cast("string"), F.lit(after)) if number else F.lit(text))
+
+    risky, change = c("risk") > 70, c("change")
+    advice = [
+        says(risky, "Consider breaking this change into smaller increments"), says(risky, "Ensure comprehensive test coverage before deploying"),
+        says(c("direct") > 5, "Update # direct callers that may be affected", "direct"),
+        says(change == "DELETE", "Verify all callers have been updated or removed"), says(change == "DELETE", "Consider deprecation period before full removal"),
+        says(change == "RENAME", "Update all import statements and references"), says(change == "RENAME", "Consider adding a deprecation alias"),
+        says((change == "MODIFY") & (c("risk") > 30), "Review changes for backward compatibility"),
+        says(c("files") > 3, "Changes may affect # files", "files"), says(c("risk") > 50, "Run integration tests for all affected modules"),
+    ]
+    return F.array_compact(F.array(*advice))
 
 
 def dependents(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -80,3 +85,14 @@ def report(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: in
     own = changes.join(nodes.select(F.col("id").alias("entity_id"), "file_path"), "entity_id").select("change_id", "file_path")
     files = found.select("change_id", "file_path").unionByName(own).groupBy("change_id").agg(F.sort_array(F.collect_set("file_path")).alias("affected_files"))
     return rate(found, changes).withColumn("recommendations", recommendations()).join(files, "change_id", "left")
+
+
+#: Entry point -> (labels it looks for, change it stands for).
+ENTRY_POINTS = {"function_change": (("Function", "Method"), "MODIFY"), "class_change": (("Class",), "MODIFY"), "deletion": (("Function", "Method", "Class"), "DELETE"), "rename": (("Function", "Method", "Class"), "RENAME")}
+
+
+def entry_point(nodes: DataFrame, edges: DataFrame, names: DataFrame, kind: str, max_depth: int = 5) -> DataFrame:
+    """report() for the entities of names(name), by one of ENTRY_POINTS; a name stands for the first entity that has it, by id."""
+    labels, change = ENTRY_POINTS[kind]
+    found = nodes.where(F.col("label").isin(*labels)).join(names.select("name").distinct(), "name").groupBy("name").agg(F.min("id").alias("entity_id"))
+    return report(nodes, edges, cut(found.select(F.col("name").alias("change_id"), "entity_id", F.lit(change).alias("change")), "changes"), max_depth)

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _rules():
     """(category, severity, expression, message): checked on added lines, in any case."""
+    call, quotes = r"\s*+[(]", "['\"]"
     for name in ("eval", "exec"):
-        yield "security", "ERROR", rf"\b{name}\s*+[(]", f"{name} runs arbitrary code"
-    for name, what in (("password", "password"), ("api_?key", "API key")):
-        yield "security", "ERROR", rf"{name}\s*+=\s*+(['\"])[^'\"]++\1", f"{what} in the source"
-    yield "security", "ERROR", r"[.]execute\s*+[(].*%", "SQL built from strings"
-    for word in ("todo", "fixme", "hack"):
-        yield "todo", "INFO", rf"#\s*+{word}", f"open {word.upper()}"
-    for call in (r"\bprint\s*+[(]", r"console[.]log\s*+[(]", r"\bdebugger\b"):
-        yield "debug", "INFO", call, "debugging left in"
-    yield "error_handling", "WARNING", r"except\s*+:", "except without a type"
-    yield "error_handling", "WARNING", r"\bpass\s*+$", "nothing is done here"
-    yield "imports", "WARNING", r"from\s++\S++\s++import\s++[*]", "wildcard import"
+        yield "security", "ERROR", rf"\b{name}{call}", f"Avoid using {name}() - security risk"
+    for name, what in (("password", "password"), ("api_key", "API key")):
+        yield "security", "ERROR", rf"{name}\s*+=\s*+{quotes}[^'\"]++{quotes}", f"Hardcoded {what} detected"
+    yield "security", "ERROR", "[.]execute[(][^)]*%", "Possible SQL injection vulnerability"
+    for word, what in (("TODO", "consider addressing"), ("FIXME", "needs attention"), ("HACK", "technical debt")):
+        yield "todo", "INFO", rf"#\s*+{word}", f"{word} comment - {what}"
+    for expression, what in ((f"print{call}", "print statement"), (f"console[.]log{call}", "console.log")):
+        yield "debug", "INFO", expression, f"Debug {what} left in code"
+    yield "debug", "INFO", "debugger", "Debugger statement left in code"
+    yield "exception", "WARNING", r"except\s*+:", "Bare except clause - catch specific exceptions"
+    yield "empty", "WARNING", r"pass\s*+$", "Empty pass block - consider implementation or removal"
+    yield "import", "WARNING", "from .+ import [*]", "Wildcard import - import specific names instead"
 
 
 RULES = list(_rules())
@@ -57,9 +60,9 @@ def hunks(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFram
 
 
 def comments(line_table: DataFrame, keys: list[str], rules: list = RULES) -> DataFrame:
-    """(keys, new_line, category, severity, message): one row for each rule that an added line breaks."""
+    """(keys, new_line, category, severity, body): one row for each rule that an added line breaks."""
     text = F.substr("raw", F.lit(2))
-    hits = [F.when(text.rlike("(?i)" + rx), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(m).alias("message"))) for c, s, rx, m in rules]
+    hits = [F.when(text.rlike("(?Uid)" + rx), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(f"**{c.upper()}**: {m}").alias("body"))) for c, s, rx, m in rules]
     return line_table.where("kind = 'add'").select(*keys, "new_line", F.inline(F.array_compact(F.array(*hits))))
 
 

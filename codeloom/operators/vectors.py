@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: Payload columns a search may filter by.
 FILTERS = ("repo_id", "file_path", "entity_type", "chunk_type", "language")
@@ -124,9 +125,17 @@ def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def upsert_chunks(chunks: DataFrame, batch: DataFrame) -> DataFrame:
-    """chunks with those of the batch in place of the ones with the same chunk_id."""
-    return chunks.join(batch.select("chunk_id"), "chunk_id", "left_anti").unionByName(batch)
+def upsert_chunks(chunks: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+    """chunks with those of the batch in place of the ones with the same chunk_id.
+
+    Of rows of the batch with one chunk_id the last by `order` counts, over columns of the batch that chunks may lack; without it the greatest row.
+    """
+    whole = [c for c in batch.columns if c != "chunk_id"]
+    # maps have no order
+    order = F.struct(*[c for c in whole if not isinstance(batch.schema[c].dataType, MapType)]) if order is None else order
+    last = F.max_by(F.struct(*whole), order)
+    new = batch.groupBy("chunk_id").agg(last.alias("__row")).select("chunk_id", "__row.*").select(*chunks.columns)
+    return chunks.join(batch.select("chunk_id"), "chunk_id", "left_anti").select(*chunks.columns).unionByName(new)
 
 
 def delete_chunks(chunks: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:

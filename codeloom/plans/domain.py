@@ -36,8 +36,8 @@ def inherits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, d: str) -> DataFrame:
-    """The customer's nation imports from the supplier's nation for each line of quantity 50."""
-    lines = load(spark, d, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_suppkey")
+    """The customer's nation imports from the supplier's nation for each line."""
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers, suppliers = load(spark, d, "customer").select("c_custkey", "c_nationkey"), load(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -80,7 +80,7 @@ SQL_FUNCTIONS = "f as (select p_partkey as id, case when p_size % 2 = 0 then 'Fu
 SQL_CALLED = "root as (select dst as id from g group by dst order by count(*) desc, dst limit 1)"
 SQL_CALLING = "root as (select src as id from g group by src order by count(*) desc, src limit 1)"
 SQL_INHERITS = "h as (select p_partkey as src, (p_partkey - 1) // 3 as dst from part where p_partkey > 0)"
-SQL_IMPORTS = "m as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where l_quantity >= 50)"
+SQL_IMPORTS = "m as (select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)"
 SQL_TREE = """n as (select 'r' || r_regionkey as id, 'Repository' as label, null as repo_id from region
 union all select 'n' || n_nationkey, 'File', 'r' || n_regionkey from nation
 union all select 's' || s_suppkey, 'Class', 'r' || n_regionkey from supplier join nation on s_nationkey = n_nationkey

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
 from codeloom.plans import domain as D
-from codeloom.plans.registry import ORACLE_SQL, query
+from codeloom.plans.registry import query
 from codeloom.sources.tables import cut, load
 
 _F = f"with {D.SQL_FUNCTIONS}"
@@ -119,31 +119,21 @@ def impact_summary(spark, d):
 
 
 @query(
-    f"""with {_G}, u as (select distinct l_suppkey as var, l_partkey as id from lineitem where l_quantity >= 48)
+    f"""with {_G}, u as (select distinct l_suppkey as var, l_partkey as id from lineitem)
 select f.id, coalesce((select string_agg(x.src, ',' order by x.src) from g x where x.dst = f.id), '') as callers,
 coalesce((select string_agg(x.dst, ',' order by x.dst) from g x where x.src = f.id), '') as callees,
 coalesce((select string_agg(u.var, ',' order by u.var) from u where u.id = f.id), '') as variables,
 f.id % 100 as file, (select min(l_suppkey) from lineitem where l_partkey = f.id) as class from f"""
 )
 def function_context(spark, d):
-    return _function_context(spark, d, "l_quantity >= 48")
-
-
-def _function_context(spark, d, which):
     lines = load(spark, d, "lineitem")
-    uses = lines.where(which).select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("USES").alias("type")).distinct()
+    uses = lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("USES").alias("type")).distinct()
     defines = load(spark, d, "part").select((F.col("p_partkey") % 100).alias("src"), F.col("p_partkey").alias("dst"), F.lit("DEFINES").alias("type"))
     edges = D.calls(spark, d).unionByName(uses).unionByName(defines).unionByName(D.has_method(spark, d))
     out = G.function_context(D.functions(spark, d), cut(edges, "edges"))
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("callers", "callees", "variables")})
 
 
-@query(ORACLE_SQL["function_context"].replace(" where l_quantity >= 48", ""))
-def function_context_all(spark, d):
-    """Over all of USES; function_context is held to its SQL over a part of it."""
-    return _function_context(spark, d, "true")
-
-
 @query(f"with {D.SQL_IMPORTS} select n_nationkey as id, n_name as path from m join nation on dst = n_nationkey where src = 3")
 def file_dependencies(spark, d):
     files = D.files(spark, d)
@@ -190,20 +180,13 @@ def class_descendants(spark, d):
 
 
 @query(
-    f"""with recursive {D.SQL_INHERITS}, s as (select p_partkey as id from part where p_size = 1),
+    f"""with recursive {D.SQL_INHERITS}, s as (select p_partkey as id from part),
 up as (select id as start, id, 0 as n from s union all select up.start, h.dst, n + 1 from up join h on h.src = up.id where n < 10),
 down as (select id as start, id, 0 as n from s union all select down.start, h.src, n + 1 from down join h on h.dst = down.id where n < 10)
 select s.id, coalesce((select string_agg(up.id, ',' order by up.id) from up where up.start = s.id and n > 0), '') as ancestors,
 coalesce((select string_agg(down.id, ',' order by down.id) from down where down.start = s.id and n > 0), '') as descendants from s"""
 )
 def class_hierarchy(spark, d):
-    out = G.hierarchy(D.inherits(spark, d), D.functions(spark, d).where("start_line = 1"))
-    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ancestors", "descendants")})
-
-
-@query(ORACLE_SQL["class_hierarchy"].replace(" where p_size = 1", ""))
-def class_hierarchy_all(spark, d):
-    """Of every class; class_hierarchy is held to its SQL over one size."""
     out = G.hierarchy(D.inherits(spark, d), D.functions(spark, d))
     return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ancestors", "descendants")})
 
@@ -223,12 +206,12 @@ def count_by_type(spark, d):
 
 
 @query(
-    f"""{_F}, b as (select l_partkey as id, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) as r, 'm' || l_suppkey as name from lineitem where l_quantity >= 49)
+    f"""{_F}, b as (select l_partkey as id, row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc) as r, 'm' || l_suppkey as name from lineitem)
 select f.id, f.label, coalesce(b.name, f.name) as name, f.file_path, f.start_line from f left join b on b.id = f.id and b.r = 1"""
 )
 def upsert_nodes(spark, d):
     nodes = D.functions(spark, d)
-    new = load(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("name"), (F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("o"))
+    new = load(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("name"), (F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("o"))
     batch = new.join(nodes.drop("name"), "id")
     return G.upsert_nodes(nodes, batch, F.col("o")).drop("o")
 

@@ -8,8 +8,8 @@ from codeloom.functions import questions as Q
 from codeloom.operators import impact as I
 from codeloom.operators import review as R
 from codeloom.plans import domain as D
-from codeloom.plans.code_queries import corpus, texts
-from codeloom.plans.registry import ORACLE_SQL, query
+from codeloom.plans.code_queries import ENTITIES, texts
+from codeloom.plans.registry import query
 from codeloom.sources import discovery as S
 from codeloom.sources import parsing, webhooks
 from codeloom.sources.tables import cut, load
@@ -30,7 +30,7 @@ def impact_levels(spark, d):
     return e.withColumn("level", I.level(F.col("change"), F.col("distance")))
 
 
-_RATED = f"""with recursive {D.SQL_CALLS}, {D.SQL_FUNCTIONS}, ch as (select p_partkey as change_id, p_partkey as entity_id, {_CHANGES}[p_partkey % 5 + 1] as change from part where p_size = 9),
+_RATED = f"""with recursive {D.SQL_CALLS}, {D.SQL_FUNCTIONS}, ch as (select p_partkey as change_id, p_partkey as entity_id, {_CHANGES}[p_partkey % 5 + 1] as change from part),
 w as (select change_id, entity_id as id, 0 as depth from ch union select w.change_id, g.src, w.depth + 1 from w join g on g.dst = w.id where w.depth < 5),
 n as (select change_id, id, min(depth) as distance from w group by all),
 a as (select n.change_id, n.id, f.file_path, n.distance, {_LEVEL.format(c='ch.change', d='n.distance')} as level from n join f on f.id = n.id join ch on ch.change_id = n.change_id where n.distance > 0),
@@ -40,11 +40,8 @@ o as (select *, case when total = 0 then 'none' when critical > 0 or high > 5 or
 case when total = 0 then 0 else least(100, case change when 'DELETE' then 40 when 'RENAME' then 30 when 'ADD' then 10 else 20 end + least(30, 5 * direct) + 10 * critical + 5 * high + 2 * medium + least(20, 2 * files)) end::bigint as risk from z)"""
 
 
-_RATED_ALL = _RATED.replace(" where p_size = 9", "")
-
-
-def _report(spark, d, which="p_size = 9"):
-    changes = load(spark, d, "part").where(which).select(F.col("p_partkey").alias("change_id"), F.col("p_partkey").alias("entity_id"), _change(F.col("p_partkey")).alias("change"))
+def _report(spark, d):
+    changes = load(spark, d, "part").select(F.col("p_partkey").alias("change_id"), F.col("p_partkey").alias("entity_id"), _change(F.col("p_partkey")).alias("change"))
     return I.report(D.functions(spark, d), cut(D.calls(spark, d), "calls"), changes)
 
 
@@ -58,56 +55,66 @@ def risk_score(spark, d):
     return _report(spark, d).select("change_id", "files", "risk", "requires_review")
 
 
+_ADVICE = [
+    ("risk > 70", "'Consider breaking this change into smaller increments'"), ("risk > 70", "'Ensure comprehensive test coverage before deploying'"), ("direct > 5", "'Update ' || direct || ' direct callers that may be affected'"),
+    ("change = 'DELETE'", "'Verify all callers have been updated or removed'"), ("change = 'DELETE'", "'Consider deprecation period before full removal'"), ("change = 'RENAME'", "'Update all import statements and references'"),
+    ("change = 'RENAME'", "'Consider adding a deprecation alias'"), ("change = 'MODIFY' and risk > 30", "'Review changes for backward compatibility'"), ("files > 3", "'Changes may affect ' || files || ' files'"), ("risk > 50", "'Run integration tests for all affected modules'"),
+]
+
+
 @query(
     _RATED
-    + """, af as (select change_id, file_path from a union select ch.change_id, f.file_path from ch join f on f.id = ch.entity_id)
-select change_id, array_to_string(list_filter([case when risk > 70 then 'Split the change into smaller steps' end, case when risk > 70 then 'Get a second reviewer' end, case when direct > 5 then 'Check all ' || direct || ' direct dependents' end,
-case change when 'DELETE' then 'Remove the remaining references first' when 'RENAME' then 'Keep an alias for the old name' when 'MODIFY' then 'Check that callers still get what they expect' when 'MOVE' then 'Update imports' end,
-case when files > 3 then 'Run the tests of ' || files || ' files' end, case when risk > 50 then 'Release behind a switch' end], lambda x: x is not null), '; ') as recommendations,
-(select string_agg(file_path, ',' order by file_path) from af where af.change_id = o.change_id) as affected_files from o"""
+    + f""", af as (select change_id, file_path from a union select ch.change_id, f.file_path from ch join f on f.id = ch.entity_id),
+fl as (select change_id, string_agg(file_path, ',' order by file_path) as affected_files from af group by 1)
+select o.change_id, array_to_string(list_filter([{", ".join(f"case when {when} then {text} end" for when, text in _ADVICE)}], lambda x: x is not null), '; ') as recommendations, fl.affected_files from o left join fl on fl.change_id = o.change_id"""
 )
 def recommendations(spark, d):
     return _report(spark, d).select("change_id", F.array_join("recommendations", "; ").alias("recommendations"), F.array_join("affected_files", ",").alias("affected_files"))
 
 
-@query(_RATED_ALL + " select change_id, change, total, direct, overall, files, risk, risk > 50 or overall in ('high', 'critical') as requires_review from o")
-def impact_report_all(spark, d):
-    """overall_impact and risk_score of every part; those two are held to their SQL over one size."""
-    return _report(spark, d, "true").select("change_id", "change", "total", "direct", "overall", "files", "risk", "requires_review")
-
-
-@query(ORACLE_SQL["recommendations"].replace(_RATED, _RATED_ALL))
-def recommendations_all(spark, d):
-    """Of every part."""
-    return _report(spark, d, "true").select("change_id", F.array_join("recommendations", "; ").alias("recommendations"), F.array_join("affected_files", ",").alias("affected_files"))
-
-
-_EXTRA = ["Explain how the login function works", "Trace the execution flow of process_request", "Find all functions that use the database", "Debug the error in the authentication module", "Review this code for issues", "Hello, can you help me today?", "What is `Parser.parse` and who calls run()?"]
+_EXTRA = [
+    "Explain how the login function works", "Trace the execution flow of process_request", "Find all functions that use the database", "Debug the error in the authentication module", "Review this code for issues", "Hello, can you help me today?",
+    "What is `Parser.parse` and who calls run()?", "walking through the parser", "walk us right through", "somewhere it is recalled", "where is it called", "it calls back from here", "callsfrom", "shows allocations", "list them all", "looking forward", "look it up for me",
+    "codereview", "apidocs of it", "api doc", "unit  tests", "unittest it", "testcase", "make a function", "make classes", "dataflow", "control of flow", "which modules?", "broken build", "any issues?", "what is it", "describe quality", "understanding", "follows it",
+    "the class ''Foo'' and subclass Bar", "method \"quoted\" Module X1", "the walk functions of a.b and ab.cd", "FUNCTION up_case", "for the function of x.yz()",
+]
 _ASKED = "q as (select conv_id * 1000 + turn as id, text from conversations where role = 'user' union all select -i, t from (values " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_EXTRA, 1)) + ") as v(i, t))"
 
 
 def _questions(spark, d):
     asked = load(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return asked.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(_EXTRA, 1)], "id bigint, text string"))
+    return asked.unionByName(spark.createDataFrame([(-i, t.replace("''", "'")) for i, t in enumerate(_EXTRA, 1)], "id bigint, text string"))
+
 
+_WORDS = {
+    "explain": ["explain", "how does", "what does", "understand"], "trace": ["trace", "flow", "path", "call chain", "follows"], "find": ["find", "search", "where", "locate", "which"], "generate": ["generate", "create", "write", "implement", "add"],
+    "review": ["review", "check", "issues", "problems"], "refactor": ["refactor", "improve", "clean", "simplify"], "debug": ["debug", "fix", "error", "bug", "broken"], "document": ["document", "docstring", "comment"], "test": ["test", "unittest", "pytest"],
+}
 
-@query("with " + _ASKED + " select id, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in words) + f" then '{t}'" for t, words in Q.KEYWORDS.items()) + " else 'general' end as query_type from q")
+
+@query("with " + _ASKED + " select id, case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in words) + f" then '{t}'" for t, words in _WORDS.items()) + " else 'general' end as query_type from q")
 def classify_keywords(spark, d):
     return _questions(spark, d).select("id", Q.classify_keywords(F.col("text")).alias("query_type"))
 
 
-def _re2(rx: str) -> str:
-    """RE2 knows ASCII words only: word borders as borders of letters, digits and `_`."""
-    text = rx.strip()
-    head, tail = text.startswith(r"\b"), text.endswith(r"\b")
-    inner = text[2 if head else 0 : -2 if tail else None].replace(r"\b.*\b", r"(?:|[^\p{L}\p{N}_].*[^\p{L}\p{N}_]|[^\p{L}\p{N}_])")
-    return "(?is)" + (r"(^|[^\p{L}\p{N}_])" if head else "") + "(?:" + inner + ")" + (r"($|[^\p{L}\p{N}_])" if tail else "")
+#: Word borders as RE2 can say them for letters, digits and `_` of any script. `<` and `>` stand for them below.
+_EDGE = {"<": r"(?:^|[^\p{L}\p{N}_])", ">": r"(?:$|[^\p{L}\p{N}_])", "><": r"(?:[^\p{L}\p{N}_]|[^\p{L}\p{N}_].*[^\p{L}\p{N}_])"}
+_SAID = {
+    "explain": "explain|how does|what does|what is|understand|describe|walk.*through|tell me about", "trace": "trace|flow|path|call chain|follows?|execution|where.*called|calls?><from|data.*flow|control.*flow",
+    "find": "find|search|where|locate|which|list><all|show.*all|look.*for", "generate": "generate|create|write|implement|add|build|make><function|make><class", "review": "review|check|issues?|problems?|quality|code[[:space:]]*review",
+    "refactor": "refactor|improve|clean|simplify|optimize|restructure", "debug": "debug|fix|error|bug|broken|failing|crash|exception|not working", "document": "document|docstring|comment|documentation|api[[:space:]]*doc", "test": "test|unittest|pytest|test[[:space:]]*case|unit[[:space:]]*test",
+}
+
 
+def _scored(words: str) -> str:
+    hits = [f"regexp_matches(text, '(?i){_EDGE['<']}(?:{w.replace('><', _EDGE['><'])}){_EDGE['>']}')::integer" for w in words.split("|")]
+    return f"least(1.0, ({' + '.join(hits)}) / 2.0)"
 
-_SCORES = ", ".join("least(1.0, (" + " + ".join(f"regexp_matches(text, '{_re2(rx)}')::integer" for rx in regexes) + ") / 2.0)" for regexes in Q.ROUTES.values())
+
+_SCORES = ", ".join(map(_scored, _SAID.values()))
 _ROUTED = (
     f"with {_ASKED}, s as (select id, text, [{_SCORES}]::double[] as s from q), o as (select *, list_reverse_sort(s) as r from s), p as (select *, r[1] as top, r[2] as second from o) "
-    f"select id, case when top = 0 then 'general' else {list(Q.ROUTES)}[list_position(s, top)] end as query_type, round(case when top = 0 then 0.5 when second = 0 then top when top > 1.5 * second then least(top + 0.1, 1.0) else top * 0.9 end, 6) as confidence from p"
+    f"select id, case when top = 0 then 'general' else {list(_SAID)}[list_position(s, top)] end as query_type, round(case when top = 0 then 0.5 when second = 0 then top when top > 1.5 * second then least(top + 0.1, 1.0) else top * 0.9 end, 6) as confidence from p"
 )
 
 
@@ -116,12 +123,13 @@ def route_scores(spark, d):
     return Q.route(_questions(spark, d)).select("id", "query_type", F.round("confidence", 6).alias("confidence"))
 
 
-_WORD, _NOT = r"[\p{L}\p{N}_]+", r"(?:^|[^\p{L}\p{N}_])"
-_NOUN = "(?i:function|method|class|module)"
-_FOUND = " || ".join(f"regexp_extract_all(text, '{rx}', {g})" for rx, g in [("`([^`]+)`", 1), (rf"{_NOT}{_NOUN}\s+({_WORD})", 1), (rf"({_WORD})\s+{_NOUN}(?:$|[^\p{{L}}\p{{N}}_])", 1), (rf"({_WORD})\(\)", 1), (rf"({_WORD})\.({_WORD})", 1), (rf"({_WORD})\.({_WORD})", 2)])
+_WORD, _NOUNS, _QUOTED = r"[\p{L}\p{N}_]+", "(?:function|method|class|module)", "[''\"]?"
+_NAMES = [("`([^`]+)`", 1), (rf"{_NOUNS}\s+{_QUOTED}({_WORD}){_QUOTED}", 1), (rf"(?:the\s+)?({_WORD})\s+{_NOUNS}", 1), (rf"({_WORD})\(\)", 1), (rf"({_WORD})\.({_WORD})", 1), (rf"({_WORD})\.({_WORD})", 2)]
+_NAMED = " || ".join(f"regexp_extract_all(text, '(?i){rx}', {g})" for rx, g in _NAMES)
+_COMMON = ["the", "this", "that", "and", "for", "with", "from"] + ["how", "what", "where", "when", "why", "does"] + "function method class module file code".split()
 
 
-@query(f"with {_ASKED} select id, array_to_string(list_sort(list_distinct(list_filter({_FOUND}, lambda x: length(x) > 1 and not list_contains({list(Q.COMMON)}, lower(x))))), ',') as entities from q")
+@query(f"with {_ASKED} select id, array_to_string(list_sort(list_distinct(list_filter({_NAMED}, lambda x: length(x) > 1 and not list_contains({_COMMON}, lower(x))))), ',') as entities from q")
 def extract_entities(spark, d):
     asked = _questions(spark, d)
     return asked.select("id", F.array_join(Q.entities(F.col("text")), ",").alias("entities"))
@@ -155,9 +163,10 @@ def token_budget(spark, d):
     return packed.groupBy("question").agg(F.count(F.lit(1)).alias("snippets"), F.max("running").cast("bigint").alias("used"), (8000 - F.max("running")).cast("bigint").alias("remaining"))
 
 
-@query(f"with {_SNIPPETS}, r as (select *, row_number() over (partition by question order by relevance desc, snippet_id) as k from s) select question, round(least(1.0, avg(case when k <= 3 then relevance end) * (0.7 + 0.3 * least(count(*) / 5.0, 1.0))), 6) as confidence from r group by 1")
+@query(f"with {_SNIPPETS}, r as (select *, row_number() over (partition by question order by relevance desc, snippet_id) as k from s) select question, round(least(1.0, avg(case when k <= 3 then relevance end) * (0.7 + 0.3 * least(count(*) / 5.0, 1.0))), 6) as confidence from r group by 1 union all select 'asked in vain', 0.5")
 def confidence(spark, d):
-    return Q.confidence(_snippets(spark, d), "question").withColumn("confidence", F.round("confidence", 6))
+    asked = _snippets(spark, d).select("question").unionByName(spark.createDataFrame([("asked in vain",)], "question string"))
+    return Q.confidence(_snippets(spark, d), "question", asked).withColumn("confidence", F.round("confidence", 6))
 
 
 def _snapshots(spark, d):
@@ -257,47 +266,64 @@ def success_rate(spark, d):
 
 @query()
 def parsed_entities(spark, d):
-    """The corpus as entities; the parser has no SQL counterpart."""
-    e = parsing.parse(corpus(spark), "file_path", "text")
+    """All sources as entities; the parser has no SQL counterpart."""
+    e = parsing.parse(texts(spark, d), "file_path", "text")
     return e.select("file_path", "id", "name", "type", "parent_id", "start_line", "end_line", F.array_join("calls", ",").alias("calls"), "error")
 
 
-@query()
-def parsed_structure(spark, d):
-    e = cut(parsing.parse(corpus(spark), "file_path", "text"), "entities")
-    return parsing.structure_edges(e).unionByName(parsing.inheritance_edges(e))
-
-
-@query()
-def parsed_entities_all(spark, d):
-    """The corpus and every document as entities."""
-    e = parsing.parse(texts(spark, d), "file_path", "text")
-    return e.select("file_path", "id", "name", "type", "parent_id", "start_line", "end_line", F.array_join("calls", ",").alias("calls"), "error")
+@query(
+    f"select file_path, name, type, start_line, end_line, parameters from (values {', '.join(str((f, n, t, a, b, p)) for f, n, t, a, b, _, p in ENTITIES)}) as v(file_path, name, type, start_line, end_line, parameters)"
+)
+def parsed_definitions(spark, d):
+    """Functions, methods and classes of all sources; the documents define none."""
+    return parsing.measured(parsing.parse(texts(spark, d), "file_path", "text")).select("file_path", "name", "type", "start_line", "end_line", "parameters")
 
 
-@query()
-def parsed_structure_all(spark, d):
+@query(
+    """select * from (values ('greet.py:file', 'greet.py:greet:1', 'DEFINES'), ('age.py:file', 'age.py:check_age:1', 'DEFINES'), ('deep.py:file', 'deep.py:f:1', 'DEFINES'), ('docs.py:file', 'docs.py:f:7', 'DEFINES'), ('flow.py:file', 'flow.py:x:1', 'DEFINES'), ('flow.py:file', 'flow.py:y:2', 'DEFINES'),
+('flow.py:file', 'flow.py:z:3', 'DEFINES'), ('flow.py:file', 'flow.py:unused:4', 'DEFINES'), ('flow.py:file', 'flow.py:x:5', 'DEFINES'), ('flow.py:file', 'flow.py:w:7', 'DEFINES'), ('single.py:file', 'single.py:S:1', 'DEFINES'), ('single.py:S:1', 'single.py:get_instance:3', 'HAS_METHOD'),
+('make.py:file', 'make.py:CarFactory:1', 'DEFINES'), ('make.py:CarFactory:1', 'make.py:create_car:2', 'HAS_METHOD'), ('make.py:CarFactory:1', 'make.py:make_bike:4', 'HAS_METHOD'), ('wrap.py:file', 'wrap.py:timed:2', 'DEFINES'), ('wrap.py:file', 'wrap.py:LIMIT:11', 'DEFINES'), ('big.py:file', 'big.py:big:1', 'DEFINES')) as v(src, dst, type)"""
+)
+def parsed_structure(spark, d):
+    """Structure and inheritance of all sources; the documents define nothing."""
     e = cut(parsing.parse(texts(spark, d), "file_path", "text"), "entities")
     return parsing.structure_edges(e).unionByName(parsing.inheritance_edges(e))
 
 
+#: Lines of the patches: every rule is broken by one, and nearly broken by another.
+_CHANGED = [
+    " ctx eval(x)", "-old = eval(x)", "+x = eval (y)", "+evaluate(y)", "+EXEC(code)", "+password = 'a'", "+my_password='x\"", "+password = ''", '+API_KEY="k"', "+apikey = 'k'", "+cur.execute('a %s' % x)", "+cur.execute(q) # 5%", "+# todo later", "+#FIXME", "+#  Hack", "+todo", "+pprint(x)",
+    "+console.log (1)", "+consolexlog(1)", "+mydebuggers", "+except :", "+except Exception:", "+pass", "+bypass  ", "+pass it", "+from a.b import *", "+from import *", "+ok",
+]
+
+
 def _patches(spark, d):
     k = F.col("p_partkey")
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.element_at(F.array(*[F.lit(x) for x in (" ctx ", "-old ", "+x = eval(y) ", "+pass", "+# TODO later", "+from a import *", "+ok ")]), ((k + i * 3) % 7 + 1).cast("int")), F.when((k + i * 3) % 7 == 3, "").otherwise(i.cast("string")))), "\n")
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.element_at(F.array(*[F.lit(x) for x in _CHANGED]), ((k + i * 3) % len(_CHANGED) + 1).cast("int")))), "\n")
     head = F.concat(F.lit("@@ -"), k.cast("string"), F.lit(",3 +"), (k + 1).cast("string"), F.lit(" @@ head\n"))
     return load(spark, d, "part").select((k % 50).alias("pr"), k.alias("file"), F.concat(F.lit("diff\n"), head, body, F.lit("\n"), head, F.lit(" end")).alias("patch"))
 
 
 _DIFF = r"""pt as (select p_partkey % 50 as pr, p_partkey as file, 'diff' || chr(10) || '@@ -' || p_partkey || ',3 +' || (p_partkey + 1) || ' @@ head' || chr(10) ||
-(select string_agg([' ctx ','-old ','+x = eval(y) ','+pass','+# TODO later','+from a import *','+ok '][(p_partkey + i * 3) % 7 + 1] || case when (p_partkey + i * 3) % 7 = 3 then '' else i::varchar end, chr(10) order by i) from range(1, p_size + 1) as s(i))
+(select string_agg(CHANGED[(p_partkey + i * 3) % COUNT + 1], chr(10) order by i) from range(1, p_size + 1) as s(i))
 || chr(10) || '@@ -' || p_partkey || ',3 +' || (p_partkey + 1) || ' @@ head' || chr(10) || ' end' as patch from part),
 s as (select pr, file, str_split(patch, chr(10)) as parts from pt), x as (select pr, file, unnest(range(0, len(parts))) as position, unnest(parts) as raw from s),
 h as (select *, sum((raw like '@@ -%')::integer) over (partition by file order by position)::bigint as hunk from x),
 k as (select *, case when raw like '@@ -%' then 'header' when raw like '+%' then 'add' when raw like '-%' then 'remove' else 'context' end as kind from h where hunk > 0),
 dl as (select pr, file, hunk, position::integer as position, raw, kind, case when kind <> 'remove' then (file + 1 + coalesce(sum((kind in ('add', 'context'))::integer) over (partition by file, hunk order by position rows between unbounded preceding and 1 preceding), 0))::integer end as new_line from k),
 lines as (select * from dl where kind <> 'header'),
-rv as (select pr, file, new_line, 'security' as category, 'ERROR' as severity from lines where kind = 'add' and raw like '%eval(%' union all select pr, file, new_line, 'todo', 'INFO' from lines where kind = 'add' and raw like '%TODO%'
-union all select pr, file, new_line, 'error_handling', 'WARNING' from lines where kind = 'add' and raw like '%pass' union all select pr, file, new_line, 'imports', 'WARNING' from lines where kind = 'add' and raw like '%import *%')"""
+rv as (RULES)"""
+_S = "[[:space:]]*"
+#: The review's rules as (category, severity, what is wrong, expression in RE2)
+_BROKEN = [
+    ("security", "ERROR", "Avoid using eval() - security risk", rf"\beval{_S}\("), ("security", "ERROR", "Avoid using exec() - security risk", rf"\bexec{_S}\("), ("security", "ERROR", "Hardcoded password detected", rf"password{_S}={_S}[''\"][^''\"]+[''\"]"),
+    ("security", "ERROR", "Hardcoded API key detected", rf"api_key{_S}={_S}[''\"][^''\"]+[''\"]"), ("security", "ERROR", "Possible SQL injection vulnerability", r"\.execute\([^)]*[%]"), ("todo", "INFO", "TODO comment - consider addressing", f"#{_S}TODO"),
+    ("todo", "INFO", "FIXME comment - needs attention", f"#{_S}FIXME"), ("todo", "INFO", "HACK comment - technical debt", f"#{_S}HACK"), ("debug", "INFO", "Debug print statement left in code", rf"print{_S}\("), ("debug", "INFO", "Debug console.log left in code", rf"console\.log{_S}\("),
+    ("debug", "INFO", "Debugger statement left in code", "debugger"), ("exception", "WARNING", "Bare except clause - catch specific exceptions", f"except{_S}:"), ("empty", "WARNING", "Empty pass block - consider implementation or removal", f"pass{_S}$"), ("import", "WARNING", "Wildcard import - import specific names instead", r"from .+ import \*"),
+]
+_LITERALS = ["'" + x.replace("'", "''") + "'" for x in _CHANGED]
+_RULES = " union all ".join(f"select pr, file, new_line, '{c}' as category, '{v}' as severity, '**{c.upper()}**: {m}' as body from lines where kind = 'add' and regexp_matches(raw[2:], '(?i){rx}')" for c, v, m, rx in _BROKEN)
+_DIFF = _DIFF.replace("CHANGED", f"[{','.join(_LITERALS)}]").replace("COUNT", str(len(_CHANGED))).replace("RULES", _RULES)
 
 
 @query(f"with {_DIFF} select file, row_number() over (partition by file order by position) ::integer as hunk, file::integer as old_start, 3 as old_count, (file + 1)::integer as new_start, 1 as new_count from x where raw like '@@ -%'")
@@ -310,9 +336,9 @@ def diff_line_numbers(spark, d):
     return R.diff_lines(_patches(spark, d), ["pr", "file"]).select("file", "hunk", "position", "kind", "new_line")
 
 
-@query(f"with {_DIFF} select pr, file, new_line, category, severity from rv")
+@query(f"with {_DIFF} select pr, file, new_line, category, severity, body from rv")
 def review_comments(spark, d):
-    return R.comments(R.diff_lines(_patches(spark, d), ["pr", "file"]), ["pr", "file"]).drop("message")
+    return R.comments(R.diff_lines(_patches(spark, d), ["pr", "file"]), ["pr", "file"])
 
 
 @query(
@@ -351,15 +377,17 @@ def changed_files(spark, d):
     return webhooks.changed_files(webhooks.parse(_events(spark, d)), "event_id")
 
 
-@query()
-def webhook_signatures(spark, d):
-    """Every second event carries a valid signature."""
-    import hashlib
-    import hmac
+#: HMAC-SHA256 of `{}` and `{"a": 1}` with the key `secret`, worked out once with another implementation.
+_SIGNED = ["sha256=77325902caca812dc259733aacd046b73817372c777b8d95b402647474516e13", "sha256=9efa14a18410a57a432fbf0ce38d4bc33339036a64e57b8c86da0bb1e122d972"]
 
-    good = hmac.new(b"secret", b"body", hashlib.sha256).hexdigest()
-    e = load(spark, d, "events").select("event_id", F.lit("body").alias("body"), F.when(F.col("event_id") % 2 == 0, F.lit("sha256=" + good)).otherwise("sha256=0").alias("signature"))
-    return e.select("event_id", webhooks.valid_signature(F.col("body"), F.col("signature"), "secret").alias("valid"))
+
+@query("select event_id, event_id % 5 in (0, 1) as valid from events")
+def webhook_signatures(spark, d):
+    """Bodies with a right signature, another body's, a cut one, one without its prefix, and none."""
+    k = F.col("event_id")
+    body = F.when(k % 5 == 1, '{"a": 1}').otherwise("{}")
+    signature = F.when(k % 5 == 0, _SIGNED[0]).when(k % 5 == 1, _SIGNED[1]).when(k % 5 == 2, _SIGNED[1]).when(k % 5 == 3, _SIGNED[0][7:])
+    return load(spark, d, "events").select("event_id", webhooks.valid_signature(body, signature, "secret").alias("valid"))
 
 
 @query("select doc_id, length(text) // 4 as tokens, case when length(text) // 4 <= 50 then text else left(text, 200) || '...' end as short from documents")

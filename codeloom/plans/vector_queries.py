@@ -65,26 +65,21 @@ def docstring_merge_topk(spark, d):
 
 
 @query(
-    f"with {_C} select vec_id as query_id, chunk_id, rank, round(score, 6) as score from (select vec_id, chunk_id, list_cosine_similarity(e, embedding::double[]) as score, row_number() over (partition by vec_id order by list_cosine_similarity(e, embedding::double[]) desc, chunk_id)::integer as rank from embeddings cross join c where label = 3) where rank <= 5"
+    f"with {_C} select vec_id as query_id, chunk_id, rank, round(score, 6) as score from (select vec_id, chunk_id, list_cosine_similarity(e, embedding::double[]) as score, row_number() over (partition by vec_id order by list_cosine_similarity(e, embedding::double[]) desc, chunk_id)::integer as rank from embeddings cross join c where vec_id % 100 = 0) where rank <= 5"
 )
 def batch_knn(spark, d):
-    queries = load(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The rows whose id is divisible by 100 ask all rows."""
+    queries = load(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return V.batch_search(chunks(spark, d), queries, 5).withColumn("score", F.round("score", 6))
 
 
-@query(
-    f"with {_C} select vec_id as query_id, chunk_id, rank, round(score, 6) as score from (select vec_id, chunk_id, list_cosine_similarity(e, embedding::double[]) as score, row_number() over (partition by vec_id order by list_cosine_similarity(e, embedding::double[]) desc, chunk_id)::integer as rank from embeddings cross join c) where rank <= 5"
-)
-def batch_knn_all(spark, d):
-    """Every row as a query; batch_knn is held to its SQL over one label."""
-    queries = load(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return V.batch_search(chunks(spark, d), queries, 5).withColumn("score", F.round("score", 6))
-
-
-@query("select vec_id as chunk_id, case when vec_id % 7 = 0 then 'new' else 'repo' || (label % 3) end as repo_id from embeddings")
+@query("select vec_id as chunk_id, case when vec_id % 7 = 0 then 'newer' else 'repo' || (label % 3) end as repo_id from embeddings")
 def upsert_chunks(spark, d):
+    """A batch that names every seventh chunk twice: the later row wins."""
     c = chunks(spark, d)
-    return V.upsert_chunks(c, c.where("chunk_id % 7 = 0").withColumn("repo_id", F.lit("new"))).select("chunk_id", "repo_id")
+    some = c.where("chunk_id % 7 = 0")
+    batch = some.withColumns({"repo_id": F.lit("new"), "o": F.lit(1)}).unionByName(some.withColumns({"repo_id": F.lit("newer"), "o": F.lit(2)}))
+    return V.upsert_chunks(c, batch, F.col("o")).select("chunk_id", "repo_id")
 
 
 @query("select count(*) as deleted from embeddings where label % 3 = 2 and vec_id % 40 = 5")

@@ -160,6 +160,12 @@ def ingestion_size(files: DataFrame) -> DataFrame:
     return named.rollup("language").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.grouping("language").alias("g")).select(F.when(F.col("g") == 1, "*").otherwise(F.col("language")).alias("language"), "files", "bytes")
 
 
+def language_share(files: DataFrame, language: str = "language", lines: str = "lines") -> DataFrame:
+    """(language, files, lines, percentage): how many of the files, and of their lines, each language has; percentage of the files."""
+    per = files.groupBy(language).agg(F.count(F.lit(1)).alias("files"), F.sum(lines).cast("bigint").alias("lines"))
+    return per.withColumn("percentage", 100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()))  # one row for each language
+
+
 def repo_name(url: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), r"\.git$", "")
 

@@ -124,6 +124,13 @@ def inheritance_edges(entities: DataFrame) -> DataFrame:
     return classes.select(F.col("id").alias("src"), "file_path", F.explode("bases").alias("name")).join(classes.select(F.col("id").alias("dst"), "file_path", "name"), ["file_path", "name"]).select("src", "dst", F.lit("INHERITS").alias("type"))
 
 
+def measured(entities: DataFrame) -> DataFrame:
+    """(file_path, id, name, type, start_line, end_line, methods, parameters, source_code) of functions, methods and classes; counts, not lists."""
+    methods = entities.where("type = 'method'").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("methods"))
+    found = entities.where(F.col("type").isin("function", "method", "class")).join(methods, "id", "left")
+    return found.select("file_path", "id", "name", "type", "start_line", "end_line", F.coalesce("methods", F.lit(0)).alias("methods"), F.coalesce(F.array_size("parameters"), F.lit(0)).alias("parameters"), "source_code")
+
+
 def entity_count():
     """Entities as the ingestion counts them: rows of the flattened table and each class's attributes."""
     return F.count(F.lit(1)) + F.coalesce(F.sum(F.when(F.size("attributes") > 0, F.size("attributes")).otherwise(0)), F.lit(0))
