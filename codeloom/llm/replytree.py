@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def leaf_paths(messages: DataFrame) -> DataFrame:
     """(conv, leaf, node, dist): every message on the way from each leaf up, by self-joins whose reach doubles.
 
     The ancestors 2^k steps up come from joining the ancestors 2^(k-1) steps up with themselves, so that a thread of depth d takes about
-    log2(d) joins. A chain that runs into a cycle is followed for as many steps as its conversation has messages at least.
+    log2(d) joins. No way is longer than its conversation has messages; a chain that runs into a cycle is followed for at most twice that.
     """
-    up = materialize(messages.where("parent is not null").select("conv", "id", F.col("parent").alias("up")), "up")
+    sizes = messages.groupBy("conv").agg(F.count(F.lit(1)).alias("size"))
+    up = materialize(messages.where("parent is not null").join(sizes, "conv").select("conv", "id", F.col("parent").alias("up"), "size"), "up")
     leaves = messages.join(up.select("conv", F.col("up").alias("id")).distinct(), ["conv", "id"], "left_anti")
     paths = materialize(leaves.select("conv", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).cast("bigint").alias("dist")), "paths")
-    largest = messages.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while step <= largest and not up.isEmpty():
-        more = paths.join(up.withColumnRenamed("id", "node"), ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
+    while not up.isEmpty():
+        more = paths.join(up.select("conv", F.col("id").alias("node"), "up"), ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
+        old = paths, up
         paths = materialize(paths.unionByName(more), "paths")
         further = up.select("conv", F.col("id").alias("up"), F.col("up").alias("far"))
-        up = materialize(up.join(further, ["conv", "up"]).select("conv", "id", F.col("far").alias("up")), "up")
+        # where the way is longer than the conversation it goes round
+        up = materialize(up.where(F.col("size") > 2 * step).join(further, ["conv", "up"]).select("conv", "id", F.col("far").alias("up"), "size"), "up")
+        for table in old:
+            discard(table)
         step *= 2
+    discard(up)
     return paths
 
 
@@ -35,7 +40,7 @@ def chosen_conversations(
 
     A path's score is the mean of its messages' scores that aren't NULL, 0 without any; ties go to the lesser leaf. Each message
     becomes begin + role + newline + text + end, joined by newlines; a NULL role is written `user`, a NULL text as empty. A message whose
-    parent is NULL or doesn't exist is a root. Rows without conversation or message id take no part; of rows that repeat both the least
+    parent is NULL or doesn't exist is a root. Texts are taken whole; other columns take no part. Rows without conversation or message id take no part; of rows that repeat both the least
     (parent, role, text, score; NULLs first) counts. Chains that end in a cycle have no root and are dropped. Depth is not limited. An empty table
     gives no row.
     """
@@ -63,7 +68,8 @@ def reply_tree_of_threads(conversations: DataFrame) -> DataFrame:
 
     The table names no parent. A message replies to the turn before it; but one whose text length is a multiple of 4 counts as another
     answer to what the message two turns earlier answered, so it replies to turn - 3 and opens a branch. Answers of the assistant score
-    their length in characters, other messages have no score.
+    their length in characters, other messages have no score. Rows are passed on one by one: NULLs stay NULL (a NULL text opens no branch and has no
+    score), repeated rows stay, an empty table stays empty.
     """
     again = (F.char_length("text") % 4 == 0) & (F.col("turn") >= 3)
     return conversations.select("conv_id", "turn", "role", "text", F.when(again, F.col("turn") - 3).when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"), F.when(F.col("role") == "assistant", F.char_length("text").cast("double")).alias("score"))

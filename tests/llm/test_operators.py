@@ -160,6 +160,7 @@ def test_reply_trees(spark):
             parent = r.choice([None, i - 1, r.randrange(i)]) if i else r.choice([None, 999])
             rows.append((conv, i, parent, r.choice(["user", None]), r.choice(["x", None, ""]) or "", r.choice([None, 1.0, 2.0])))
     rows += [(50, 1, 2, "user", "a", 1.0), (50, 2, 1, "user", "b", 1.0), (50, 3, 1, "user", "c", 9.0), (None, 1, None, "u", "t", 1.0), (51, None, None, "u", "t", 1.0), (52, 1, None, None, None, None), (52, 1, None, None, None, None)]
+    rows += [(53, i, i - 1 if i else None, "user", "long " * 40_000 if i == 3 else "x", None) for i in range(70)]
     schema = "conv_id int, turn int, parent int, role string, text string, score double"
     at = {}
     for x in rows:
@@ -182,7 +183,9 @@ def test_reply_trees(spark):
             for rank, (s, leaf, path) in enumerate(sorted(found)[:2], 1):
                 text = "\n".join(f"<|im_start|>{own[i][3] or 'user'}\n{own[i][4] or ''}<|im_end|>" for i in reversed(path))
                 want.append((conv, root, leaf, rank, len(path), round(-s, 9) + 0.0, text))
-    got = replytree.chosen_conversations(spark.createDataFrame(rows, schema), branches=2).collect()
+    # columns whose names the operator uses itself
+    table = spark.createDataFrame(rows, schema).selectExpr("*", "1 as conv", "2 as leaf", "'x' as node", "3 as dist", "4 as root", "5 as branch", "6 as size", "7 as up")
+    got = replytree.chosen_conversations(table, branches=2).collect()
     assert sorted((*r[:5], round(r[5], 9) + 0.0, r[6]) for r in got) == sorted(want)
     assert replytree.chosen_conversations(spark.createDataFrame([], schema)).count() == 0
 
