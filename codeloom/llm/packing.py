@@ -63,7 +63,7 @@ def _lists(ids: pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), ids)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, capacity: int = 2048, shard_tokens: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, capacity: int = 2048, shard_tokens: int = 2_000_000) -> DataFrame:
     """(bin_id, n_tokens, ids, doc_ids, token_starts, bin_offsets): one row for each training sequence of at most `capacity` token ids.
 
     doc_ids names the documents in the sequence; the part of each begins at its token token_starts[i] and stands in ids from bin_offsets[i] on, up to
