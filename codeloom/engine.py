@@ -11,6 +11,8 @@ from codeloom.operators import impact as I
 from codeloom.operators import nodes as N
 from codeloom.operators import review as R
 from codeloom.operators import vectors as V
+from codeloom.operators.collection import embed
+from codeloom.operators.store import GraphStore
 from codeloom.sources import discovery, parsing
 from codeloom.sources.tables import cut
 
@@ -20,18 +22,28 @@ class Engine:
         self.spark, self.nodes, self.edges, self.chunks = spark, nodes, edges, chunks
 
     @classmethod
-    def ingest(cls, spark: SparkSession, root: str, repo_id: str, **filters) -> Engine:
-        """Discovers and parses a source tree; nodes and edges go to the shared folder."""
-        files = discovery.discover(spark, root, **filters).where("language = 'python'")
-        entities = cut(parsing.parse(files.withColumn("text", F.decode("content", "UTF-8"))), "entities")
+    def ingest(cls, spark: SparkSession, root: str, repo_id: str, model=None, **filters) -> Engine:
+        """Discovers a source tree and parses its Python files; nodes, edges and chunks go to the shared folder. With a model the chunks are embedded."""
+        files = cut(discovery.discover(spark, root, **filters), "files")
+        entities = cut(parsing.parse(files.where("language = 'python'").withColumn("text", F.decode("content", "UTF-8"))), "entities")
         nodes = N.entity_nodes(entities, repo_id)
-        file_nodes = entities.where("type = 'module'").select(F.concat("file_path", F.lit(":file")).alias("id"), F.lit("File").alias("label"), F.col("file_path").alias("name"), "file_path", F.lit(repo_id).alias("repo_id"))
+        file_nodes = files.select(F.concat("path", F.lit(":file")).alias("id"), F.lit("File").alias("label"), F.col("path").alias("name"), F.col("path").alias("file_path"), "path", "language", "hash", "size", F.lit(repo_id).alias("repo_id"))
         repo = spark.createDataFrame([(repo_id, "Repository", repo_id)], "id string, label string, name string")
         nodes = cut(nodes.unionByName(file_nodes, allowMissingColumns=True).unionByName(repo, allowMissingColumns=True), "nodes")
         contains = file_nodes.select(F.lit(repo_id).alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
         made = [parsing.structure_edges(entities), parsing.inheritance_edges(entities), G.resolve_calls(entities.where("type in ('function', 'method')")), contains]
         edges = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
-        return cls(spark, nodes, cut(G.valid_edges(nodes, edges), "edges"))
+        chunks = V.chunk_entities(V.described(entities, repo_id))
+        return cls(spark, nodes, cut(G.valid_edges(nodes, edges), "edges"), cut(chunks if model is None else embed(chunks, model), "chunks"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Engine:
+        """What save() wrote there."""
+        return cls(spark, *GraphStore(spark, path).open())
+
+    def save(self, path: str) -> None:
+        """Nodes and edges under a path that all executors share; see GraphStore."""
+        GraphStore(self.spark, path).save(self.nodes, self.edges)
 
     def _named(self, name: str, labels: tuple[str, ...]) -> DataFrame:
         """The first node of that name."""

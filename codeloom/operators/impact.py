@@ -87,12 +87,12 @@ def report(nodes: DataFrame, edges: DataFrame, changes: DataFrame, max_depth: in
     return rate(found, changes).withColumn("recommendations", recommendations()).join(files, "change_id", "left")
 
 
-#: Entry point -> (labels it looks for, change it stands for).
-ENTRY_POINTS = {"function_change": (("Function", "Method"), "MODIFY"), "class_change": (("Class",), "MODIFY"), "deletion": (("Function", "Method", "Class"), "DELETE"), "rename": (("Function", "Method", "Class"), "RENAME")}
+#: What an entry point starts from -> the labels of its node.
+ENTRY_POINTS = {"function": ("Function", "Method"), "class": ("Class",), "file": ("File",)}
 
 
-def entry_point(nodes: DataFrame, edges: DataFrame, names: DataFrame, kind: str, max_depth: int = 5) -> DataFrame:
-    """report() for the entities of names(name), by one of ENTRY_POINTS; a name stands for the first entity that has it, by id."""
-    labels, change = ENTRY_POINTS[kind]
-    found = nodes.where(F.col("label").isin(*labels)).join(names.select("name").distinct(), "name").groupBy("name").agg(F.min("id").alias("entity_id"))
-    return report(nodes, edges, cut(found.select(F.col("name").alias("change_id"), "entity_id", F.lit(change).alias("change")), "changes"), max_depth)
+def entry_point(nodes: DataFrame, edges: DataFrame, asked: DataFrame, kind: str, change: str = "MODIFY", max_depth: int = 5) -> DataFrame:
+    """report() for the functions, classes or files of asked(name, file_path); change_id is file_path:name. Of nodes alike the first by id counts; what isn't there has no row."""
+    labelled = nodes.where(F.col("label").isin(*ENTRY_POINTS[kind])).select(F.col("id").alias("entity_id"), "name", "file_path")
+    found = asked.select("name", "file_path").distinct().join(labelled, ["name", "file_path"]).groupBy("name", "file_path").agg(F.min("entity_id").alias("entity_id"))
+    return report(nodes, edges, cut(found.select(F.concat_ws(":", "file_path", "name").alias("change_id"), "entity_id", F.lit(change).alias("change")), "changes"), max_depth)

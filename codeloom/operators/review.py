@@ -66,16 +66,26 @@ def comments(line_table: DataFrame, keys: list[str], rules: list = RULES) -> Dat
     return line_table.where("kind = 'add'").select(*keys, "new_line", F.inline(F.array_compact(F.array(*hits))))
 
 
+def reviewable(patches: DataFrame, name: str = "file", patch: str = "patch") -> DataFrame:
+    """Patches of files in a known language; binary files have none."""
+    return patches.where(F.coalesce(F.col(patch), F.lit("")) != "").where(language_of(F.col(name)).isNotNull())
+
+
 def verdict(found: DataFrame, line_table: DataFrame, key: str, file_key: str) -> DataFrame:
-    """One row for each pull request: counts by severity, added and removed lines, files, and REQUEST_CHANGES with an error or over 3 warnings."""
+    """One row for each pull request: lines, files, comments by severity, issues_found, suggestions, summary, and REQUEST_CHANGES with an error or over 3 warnings."""
 
     def count(when: Column, name: str) -> Column:
         return F.coalesce(F.sum(when.cast("bigint")), F.lit(0)).alias(name)
 
     changed = line_table.groupBy(key).agg(count(F.col("kind") == "add", "additions"), count(F.col("kind") == "remove", "deletions"), F.count_distinct(file_key).alias("files"))
-    rated = found.groupBy(key).agg(*[count(F.col("severity") == s, n) for s, n in (("ERROR", "errors"), ("WARNING", "warnings"), ("INFO", "infos"))])
-    out = changed.join(rated, key, "left").na.fill(0, ["errors", "warnings", "infos"])
-    return out.withColumn("status", F.when((F.col("errors") > 0) | (F.col("warnings") > 3), "REQUEST_CHANGES").otherwise("COMMENT"))
+    rated = found.groupBy(key).agg(*[count(F.col("severity") == s, n) for s, n in (("ERROR", "errors"), ("WARNING", "warnings"), ("INFO", "infos"), ("SUGGESTION", "suggestions"))])
+    out = changed.join(rated, key, "left").na.fill(0, ["errors", "warnings", "infos", "suggestions"])
+    out = out.withColumn("issues_found", F.col("errors") + F.col("warnings"))
+    out = out.withColumn("status", F.when((F.col("errors") > 0) | (F.col("warnings") > 3), "REQUEST_CHANGES").otherwise("COMMENT"))
+    said = [F.when(F.col(n) > 0, F.concat(F.lit("\n- "), F.col(n).cast("string"), F.lit(what))).otherwise("") for n, what in (("errors", " error(s) found"), ("warnings", " warning(s) found"), ("infos", " informational note(s)"))]
+    clean = F.when(F.col("errors") + F.col("warnings") + F.col("infos") + F.col("suggestions") == 0, "\nNo issues found. Good job!").otherwise("")
+    text = [F.lit("## Review Summary\n\n**Files analyzed:** "), F.col("files").cast("string"), F.lit("\n**Changes:** +"), F.col("additions").cast("string"), F.lit(" / -"), F.col("deletions").cast("string"), F.lit("\n")]
+    return out.withColumn("summary", F.concat(*text, *said, clean))
 
 
 def language_of(file: Column) -> Column:

@@ -149,22 +149,45 @@ def chunks_of_file(chunks: DataFrame, repo_id, file_path, limit: int = 100) -> D
 
 
 def signature() -> Column:
-    """`async def name(p: type = default) -> type` from name, is_async, parameters array<struct<name,type_annotation,default_value>>, return_type."""
-    one = F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type_annotation"]), F.lit("")), F.coalesce(F.concat(F.lit(" = "), p["default_value"]), F.lit(""))))
-    return F.concat(F.when(F.col("is_async"), "async def ").otherwise("def "), "name", F.lit("("), F.array_join(one, ", "), F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), F.col("return_type")), F.lit("")))
+    """`async def name(p: type = default) -> type` of functions and methods, `@decorator` lines and `class name(bases)` of classes; from the parser's columns."""
+
+    def after(text: str, c: Column) -> Column:
+        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(text), c)).otherwise("")
+
+    one = F.transform("parameters", lambda p: F.concat(p["name"], after(": ", p["type_annotation"]), after(" = ", p["default_value"])))
+    function = F.concat(F.when(F.col("is_async"), "async def ").otherwise("def "), "name", F.lit("("), F.coalesce(F.array_join(one, ", "), F.lit("")), F.lit(")"), after(" -> ", F.col("return_type")))
+    bases = F.when(F.size("bases") > 0, F.concat(F.lit("("), F.array_join("bases", ", "), F.lit(")"))).otherwise("")
+    over = F.array_join(F.transform(F.coalesce("decorators", F.array()), lambda d: F.concat(F.lit("@"), d, F.lit("\n"))), "")
+    return F.when(F.col("type") == "class", F.concat(over, F.lit("class "), "name", bases)).otherwise(function)
+
+
+def described(entities: DataFrame, repo_id: str, language: str = "python") -> DataFrame:
+    """Parsed entities as chunk_entities() takes them: with repository, owner, signature and metadata."""
+    owner = entities.where("type = 'class'").select(F.col("id").alias("parent_id"), F.col("name").alias("owner"))
+    names = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    known = F.when(F.col("type") == "class", F.create_map(F.lit("bases"), names(F.col("bases")), F.lit("decorators"), names(F.col("decorators")))).otherwise(
+        F.create_map(F.lit("class_name"), F.col("owner"), F.lit("is_async"), F.col("is_async").cast("string"), F.lit("parameters"), names(F.transform("parameters", lambda p: p["name"])), F.lit("return_type"), F.col("return_type"))
+    )
+    out = entities.where(F.col("type").isin("function", "class", "method")).join(owner, "parent_id", "left").withColumn("signature", signature())
+    out = out.withColumn("signature", F.when(F.col("type") == "method", F.concat_ws(".", "owner", "signature")).otherwise(F.col("signature")))
+    return out.withColumns({"repo_id": F.lit(repo_id), "language": F.lit(language), "metadata": F.map_filter(known, lambda _, v: v.isNotNull())})
 
 
 def chunk_entities(entities: DataFrame) -> DataFrame:
-    """Chunks of entities(repo_id, file_path, name, type, owner, start_line, source_code, signature, docstring).
+    """Chunks of entities(repo_id, file_path, name, type, owner, start_line, source_code, signature, docstring) and, if they have them, end_line, language, metadata.
 
-    Functions and classes give a full, a signature and (with docstring) a docstring chunk; methods, named owner.name, a full and a
-    signature chunk; other types none. The id is repo:file:name:line:kind.
+    Functions and classes give a full, a signature and (with docstring) a docstring chunk; methods, named owner.name, a full and a signature
+    chunk; other types none; what is empty gives none. The id is repo:file:name:line:kind. Only full chunks end at end_line and have metadata.
     """
     name = F.when(F.col("type") == "method", F.concat_ws(".", "owner", "name")).otherwise(F.col("name"))
-    kind = F.when(F.col("type") == "method", F.lit("method")).otherwise(F.col("type"))
+    end = F.col("end_line") if "end_line" in entities.columns else F.col("start_line")
+    data = F.col("metadata") if "metadata" in entities.columns else F.lit(None).cast("map<string,string>")
+    language = F.col("language") if "language" in entities.columns else F.lit(None).cast("string")
 
     def chunk(suffix: str, long: str, content: str, when: Column) -> Column:
-        return F.when(when & F.col(content).isNotNull(), F.struct(F.concat_ws(":", "repo_id", "file_path", name, F.col("start_line").cast("string"), F.lit(suffix)).alias("chunk_id"), F.concat_ws("_", kind, F.lit(long)).alias("chunk_type"), F.col(content).alias("content")))
+        full = suffix == "full"
+        id_ = F.concat_ws(":", "repo_id", "file_path", name, F.col("start_line").cast("string"), F.lit(suffix))
+        return F.when(when & (F.coalesce(F.col(content), F.lit("")) != ""), F.struct(id_.alias("chunk_id"), F.concat_ws("_", "type", F.lit(long)).alias("chunk_type"), F.col(content).alias("content"), (end if full else F.col("start_line")).alias("end_line"), (data if full else F.lit(None).cast("map<string,string>")).alias("metadata")))
 
-    all_of = F.array_compact(F.array(chunk("full", "full", "source_code", F.lit(True)), chunk("sig", "signature", "signature", F.lit(True)), chunk("doc", "docstring", "docstring", (F.col("type") != "method") & (F.col("docstring") != ""))))
-    return entities.where(F.col("type").isin("function", "class", "method")).select("repo_id", "file_path", name.alias("entity_name"), F.col("type").alias("entity_type"), "start_line", F.inline(all_of))
+    all_of = F.array_compact(F.array(chunk("full", "full", "source_code", F.lit(True)), chunk("sig", "signature", "signature", F.lit(True)), chunk("doc", "docstring", "docstring", F.col("type") != "method")))
+    return entities.where(F.col("type").isin("function", "class", "method")).select("repo_id", "file_path", name.alias("entity_name"), F.col("type").alias("entity_type"), "start_line", language.alias("language"), F.inline(all_of))

@@ -285,10 +285,16 @@ def decorator(spark, d):
     return C.decorators(C.lines(texts(spark, d)))
 
 
-_ASSIGN = rf"a as (select file_path, line, regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 1) as name, regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 2) as value from l where regexp_matches(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$') and not regexp_matches(regexp_extract(raw, '^\s*([_a-zA-Z0-9]+)\s*[=]\s*(.+)$', 2), '^(def|class|lambda)'))"
-_VARS = r"list_filter(list_distinct(regexp_extract_all(value, '\b([a-zA-Z_]\w*)\b', 1)), lambda v: not list_contains(['True','False','None','and','or','not','in','is','if','else','for'], v))"
+_SETS = r"^[\s]*([_a-zA-Z0-9]+)[\s]*[=][\s]*(.+)$"
+_SPLIT = rf"regexp_extract(raw, '{_SETS}', 1) as name, trim(regexp_extract(raw, '{_SETS}', 2)) as value"
+_IS_SET = rf"regexp_matches(raw, '{_SETS}') and not regexp_matches(trim(regexp_extract(raw, '{_SETS}', 2)), '^(def |class |lambda)')"
+_ASSIGN = f"a as (select file_path, line, {_SPLIT} from l where {_IS_SET})"
+#: Whole words in which letters are ASCII
+_NAMES = r"list_filter(list_distinct(regexp_split_to_array(value, '[^\p{L}\p{N}_]+')), lambda v: regexp_matches(v, '^[a-zA-Z_][a-zA-Z0-9_]*$'))"
+_VARS = f"list_filter({_NAMES}, lambda v: v <> name and not list_contains(['True','False','None','and','or','not','in','is','if','else','for'], v))"
 _EDGES = f"""u as (select file_path, line, unnest({_VARS}) as name from a),
 du as (select u.file_path, max(a.line) as src_line, u.line as dst_line, u.name from u join a on a.file_path = u.file_path and a.name = u.name and a.line < u.line group by u.file_path, u.line, u.name)"""
+_RETURNS = r"""r2 as (select file_path, line, regexp_extract(raw, '^[\s]*return[\s]+(.*)$', 1) as value from l where regexp_matches(raw, '^[\s]*return[\s]+'))"""
 
 
 def _assigned(spark, d):
@@ -306,8 +312,7 @@ def def_use_edges(spark, d):
 
 
 @query(
-    f"""with {_T}, {_LINES}, {_ASSIGN}, r2 as (select file_path, line, regexp_extract(raw, '^\\s*return\\s+(.*)$', 1) as value from l where regexp_matches(raw, '^\\s*return\\s+')),
-v as (select file_path, line as dst_line, unnest(list_distinct(regexp_extract_all(value, '\\b([a-zA-Z_]\\w*)\\b', 1))) as name from r2),
+    f"""with {_T}, {_LINES}, {_ASSIGN}, {_RETURNS}, v as (select file_path, line as dst_line, unnest({_NAMES}) as name from r2),
 last as (select file_path, name, max(line) as src_line from a group by all) select v.file_path, src_line, dst_line, v.name from v join last using (file_path, name)"""
 )
 def return_edges(spark, d):
@@ -323,6 +328,39 @@ def unused_assignments(spark, d):
     return X.unused_assignments(a, X.def_use_edges(a)).select("file_path", "name", "line", "value")
 
 
+#: Parameters of the functions and methods, in order; none has an annotation.
+_TAKEN = {"greet": "name", "check_age": "age", "get_instance": "cls", "create_car": "self", "make_bike": "self", "timed": "fn", "big": "a b c d e f"}
+_PARAMETERS = ", ".join(f"('{f}', '{n}', {b}, {i}, '{x}')" for f, n, kind, b, *_ in ENTITIES if kind != "class" for i, x in enumerate((_TAKEN.get(n) or ("items" if f == "deep.py" else "")).split(), 1))
+_FLOW = f"""{_ENTITIES}, src as {_FILES}, un as (select file_path, 0::bigint as unit, '<module>' as scope, 0 as base, text from src
+union all select en.file_path, row_number() over (partition by en.file_path order by start_line, name), name, start_line, array_to_string(list_slice(str_split(text, chr(10)), start_line, end_line), chr(10)) from en join src using (file_path) where type <> 'class'),
+t as (select {{'f': file_path, 'u': unit}} as file_path, text from un), {_LINES}, {_ASSIGN}, {_EDGES}, {_RETURNS},
+par as (select {{'f': v.file_path, 'u': unit}} as file_path, i as line, p as name from (values {_PARAMETERS}) as v(file_path, scope, base, i, p) join un on un.file_path = v.file_path and un.scope = v.scope and un.base = v.base),
+pt as (select file_path, 1 as rank, 'param' as kind, line, name, null as value from par union all select file_path, 2, 'assign', line, name, case when length(value) < 50 then value else left(value, 47) || '...' end from a
+union all select file_path, 3, 'return', line, '<return>', case when value <> '' then left(value, 50) end from r2 where file_path.u > 0),
+nm as (select pt.*, kind || '_' || row_number() over (partition by pt.file_path.f order by pt.file_path.u, rank, line) as id, scope, base from pt join un on un.file_path = pt.file_path.f and un.unit = pt.file_path.u)"""
+
+
+@query(f"with {_FLOW} select nm.file_path.f as file_path, id, name, case kind when 'param' then 'parameter' when 'assign' then 'assignment' else 'return' end as node_type, (case when kind = 'param' then base else base + line - 1 end)::integer as line, scope, value, null::varchar as data_type from nm")
+def flow_nodes(spark, d):
+    return _flow(spark, d)[0]
+
+
+@query(
+    f"""with {_FLOW}, last as (select file_path, name, max(line) as src_line from a group by all), re as (select file_path, line as dst_line, unnest({_NAMES}) as name from r2 where file_path.u > 0),
+ed as (select file_path, src_line, dst_line, 'assign' as kind, 'use' as type from du union all select re.file_path, src_line, dst_line, 'return', 'return_value' from re join last on last.file_path = re.file_path and last.name = re.name)
+select ed.file_path.f as file_path, s.id as src, x.id as dst, ed.type from ed join nm s on s.file_path = ed.file_path and s.kind = 'assign' and s.line = src_line join nm x on x.file_path = ed.file_path and x.kind = ed.kind and x.line = dst_line"""
+)
+def flow_edges(spark, d):
+    return _flow(spark, d)[1]
+
+
+def _flow(spark, d):
+    found = texts(spark, d)
+    parsed_ = cut(parsing.parse(found, "file_path", "text"), "entities").where("type in ('function', 'method')")
+    pick = F.transform("parameters", lambda p: F.struct(p["name"].alias("name"), p["type_annotation"].alias("type_annotation")))
+    return X.flow_graph(found, parsed_.select("file_path", "name", "start_line", "source_code", pick.alias("parameters")))
+
+
 def _asked(spark, d):
     return load(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"))
 

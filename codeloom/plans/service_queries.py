@@ -135,7 +135,29 @@ def extract_entities(spark, d):
     return asked.select("id", F.array_join(Q.entities(F.col("text")), ",").alias("entities"))
 
 
-@query()
+_HINTS = {
+    "explain": "definition,docstring,callers,callees", "trace": "callees,callers,data_flow", "find": "semantic_search,graph_search", "generate": "similar_code,imports,types", "review": "definition,callers,tests", "refactor": "definition,callers,callees,similar_code",
+    "debug": "definition,callers,callees,stack_trace", "document": "definition,usage_examples", "test": "definition,existing_tests,edge_cases",
+}
+_TASKS = {
+    "explain": "Explain what this code does and why.", "trace": "Trace the calls and the data step by step.", "find": "Name the places that match.", "generate": "Write code in the style of the context.", "debug": "Find the cause and propose a fix.",
+    "review": "List defects by severity.", "refactor": "Propose a simpler structure.", "document": "Write documentation.", "test": "Write tests.",
+}
+
+
+def _case(table, otherwise):
+    return "case query_type " + " ".join(f"when '{k}' then {v!r}" for k, v in table.items()) + f" else {otherwise!r} end"
+
+
+@query(
+    f"""with {_ASKED}, s as (select id, text, [{_SCORES}]::double[] as s from q), o as (select *, list_reverse_sort(s) as r from s), k as (select id, text, case when r[1] = 0 then 'general' else {list(_SAID)}[list_position(s, r[1])] end as query_type,
+list_sort(list_distinct(list_filter({_NAMED}, lambda x: length(x) > 1 and not list_contains({_COMMON}, lower(x)))))[1] as first from o),
+p as (select *, {_case(_TASKS, "Answer from the context.")} || chr(10) || chr(10) || 'Context:' || chr(10) || chr(10) || chr(10) || 'Question: ' || text as prompt from k)
+select id, query_type, {_case(_HINTS, "semantic_search")} as context, case when query_type in ('review', 'refactor', 'debug') then 12000 when query_type in ('trace', 'generate') then 10000 when query_type in ('find', 'document') then 6000 else 8000 end as budget,
+{_case({"explain": "ExplainHandler", "trace": "TraceHandler", "find": "FindHandler", "generate": "GenerateHandler", "debug": "DebugHandler"}, "GeneralHandler")} as handler,
+case when first is null then '' when query_type = 'explain' then 'What calls ' || first || '? Which tests cover ' || first || '?' else 'Explain ' || first || ' What depends on ' || first || '?' end as follow_ups,
+'Mock answer ' || left(sha256(prompt), 8) as answer, length(prompt)::integer as prompt_tokens, 20 as answer_tokens from p"""
+)
 def prompts(spark, d):
     """Routing, context names, budget, handler, prompt and follow-ups of each question, answered by the mock model."""
     routed = Q.route(_questions(spark, d)).withColumn("names", Q.entities(F.col("text")))
@@ -344,11 +366,13 @@ def review_comments(spark, d):
 @query(
     f"""with {_DIFF}, c as (select pr, count(*) filter (where kind = 'add') as additions, count(*) filter (where kind = 'remove') as deletions, count(distinct file) as files from lines group by 1),
 r as (select pr, count(*) filter (where severity = 'ERROR') as errors, count(*) filter (where severity = 'WARNING') as warnings, count(*) filter (where severity = 'INFO') as infos from rv group by 1)
-select pr, additions, deletions, files, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, case when errors > 0 or warnings > 3 then 'REQUEST_CHANGES' else 'COMMENT' end as status from c left join r using (pr)"""
+select pr, additions, deletions, files, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, coalesce(errors + warnings, 0) as issues_found, case when errors > 0 or warnings > 3 then 'REQUEST_CHANGES' else 'COMMENT' end as status,
+'## Review Summary' || chr(10) || chr(10) || '**Files analyzed:** ' || files || chr(10) || '**Changes:** +' || additions || ' / -' || deletions || chr(10) || case when errors > 0 then chr(10) || '- ' || errors || ' error(s) found' else '' end
+|| case when warnings > 0 then chr(10) || '- ' || warnings || ' warning(s) found' else '' end || case when infos > 0 then chr(10) || '- ' || infos || ' informational note(s)' else '' end || case when r.pr is null then chr(10) || 'No issues found. Good job!' else '' end as summary from c left join r using (pr)"""
 )
 def review_status(spark, d):
     lines = cut(R.diff_lines(_patches(spark, d), ["pr", "file"]), "lines")
-    return R.verdict(R.comments(lines, ["pr", "file"]), lines, "pr", "file")
+    return R.verdict(R.comments(lines, ["pr", "file"]), lines, "pr", "file").select("pr", "additions", "deletions", "files", "errors", "warnings", "infos", "issues_found", "status", "summary")
 
 
 def _events(spark, d):

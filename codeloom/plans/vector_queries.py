@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.operators import vectors as V
+from codeloom.plans.code_queries import texts
 from codeloom.plans.registry import query
+from codeloom.sources import parsing
 from codeloom.sources.tables import load
 
 _KINDS = [*(f"function_{x}" for x in ("full", "signature", "docstring")), *(f"class_{x}" for x in ("full", "docstring"))]
@@ -109,3 +111,15 @@ def chunk_functions(spark, d):
     e = load(spark, d, "part").select(F.lit("r").alias("repo_id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("name"), kind.alias("type"), F.lit("Owner").alias("owner"), F.col("p_size").alias("start_line"), F.concat(F.lit("src "), F.col("p_size").cast("string")).alias("source_code"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("docstring"))
     e = e.withColumn("signature", F.concat(F.lit("def "), F.when(F.col("type") == "method", F.concat(F.lit("Owner."), "name")).otherwise(F.col("name")), F.lit("()")))
     return V.chunk_entities(e).select("chunk_id", "chunk_type", "content")
+
+
+@query(
+    """select * from (values ('r:greet.py:greet:1:sig', 'function_signature', 'def greet(name)', 1), ('r:age.py:check_age:1:sig', 'function_signature', 'def check_age(age)', 1), ('r:deep.py:f:1:sig', 'function_signature', 'def f(items)', 1), ('r:docs.py:f:7:sig', 'function_signature', 'def f()', 7),
+('r:docs.py:f:7:doc', 'function_docstring', 'Long' || chr(10) || 'text', 7), ('r:single.py:S:1:sig', 'class_signature', 'class S', 1), ('r:single.py:S.get_instance:3:sig', 'method_signature', 'S.def get_instance(cls)', 3), ('r:make.py:CarFactory:1:sig', 'class_signature', 'class CarFactory', 1),
+('r:make.py:CarFactory.create_car:2:sig', 'method_signature', 'CarFactory.def create_car(self)', 2), ('r:make.py:CarFactory.make_bike:4:sig', 'method_signature', 'CarFactory.def make_bike(self)', 4), ('r:wrap.py:timed:2:sig', 'function_signature', 'def timed(fn)', 2),
+('r:big.py:big:1:sig', 'function_signature', 'def big(a, b, c, d, e, f)', 1)) as v(chunk_id, chunk_type, content, end_line)"""
+)
+def chunk_signatures(spark, d):
+    """Signatures and docstrings of what all sources define; the documents define nothing."""
+    entities = parsing.parse(texts(spark, d), "file_path", "text")
+    return V.chunk_entities(V.described(entities, "r")).where("not chunk_type like '%_full'").select("chunk_id", "chunk_type", "content", "end_line")

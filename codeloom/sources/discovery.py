@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import cut
+
 _SUFFIXES = (
     "python=py pyi; javascript=js jsx mjs; typescript=ts tsx; java=java; go=go; rust=rs; c=c h; cpp=cpp hpp cc; csharp=cs; ruby=rb; php=php; swift=swift; "
     "kotlin=kt; scala=scala; r=r; lua=lua; bash=sh; sql=sql; html=html; css=css; json=json; yaml=yaml yml"
@@ -93,13 +97,100 @@ def select_files(files: DataFrame, ignore: list[str] = (), includes: list[str] =
     return kept if languages is None else kept.where(F.lower("language").isin([x.lower() for x in languages]))
 
 
+_FOUND = "path string, size bigint, modified timestamp, is_folder boolean"
+
+
+def _absolute(root: str) -> str:
+    return root.rstrip("/") if "://" in root or root.startswith("file:") else os.path.abspath(root)
+
+
+def _stored(root: str):
+    """(file system, the root's path there)"""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+
+
+def _listed(batches, root: str):
+    """What lies in the folders, relative to the root. Folders that can't be read are left out."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    fs, base = _stored(root)
+    for b in batches:
+        rows = []
+        for folder in b.column("path").to_pylist():
+            try:
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
+            except OSError:
+                continue
+            rows += [(f"{folder}/{i.base_name}".lstrip("/"), i.size, i.mtime, i.type == pafs.FileType.Directory) for i in found]
+        types = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["path", "size", "modified", "is_folder"])
+
+
+def list_files(spark: SparkSession, root: str, excludes: list[str] = EXCLUDES) -> DataFrame:
+    """(path relative to the root, size, modified) of all files under it, also those whose names begin with `_` or a dot.
+
+    Executors list the folders of one level after the other; excluded folders aren't entered. A root that is missing or no folder has no files.
+    """
+    root = _absolute(root)
+    level = spark.createDataFrame([("",)], "path string")
+    files = spark.createDataFrame([], _FOUND)
+    while True:
+        found = cut(level.mapInArrow(lambda batches: _listed(batches, root), _FOUND), "listing")
+        files = files.unionByName(found.where("not is_folder"))
+        level = found.where(F.col("is_folder") & ~matches_globs(F.concat("path", F.lit("/x")), list(excludes))).select("path")
+        if level.isEmpty():
+            return files.drop("is_folder")
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _with_content(files: DataFrame, root: str) -> DataFrame:
+    """files with content and its sha256; those that can't be read are left out."""
+    root = _absolute(root)
+
+    def run(batches):
+        import pyarrow as pa
+
+        fs, base = _stored(root)
+        for b in batches:
+            for i, path in enumerate(b.column("path").to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{base}/{path}") as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("path", "size", "modified", "language")), pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary())], names=["path", "size", "modified", "language", "hash", "content"])
+
+    return files.select("path", "size", "modified", "language").mapInArrow(run, "path string, size bigint, modified timestamp, language string, hash string, content binary")
+
+
 def discover(spark: SparkSession, root: str, **filters) -> DataFrame:
-    """(path relative to the root, size, modified, hash, content, language) of the source files under it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", base)) + "/", "")
-    files = raw.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), "content")
-    return select_files(files, **filters)
+    """(path relative to the root, size, modified, language, hash, content) of the source files under it; only files that pass the filters are read."""
+    return _with_content(select_files(list_files(spark, root, filters.get("excludes", EXCLUDES)), **filters), root)
+
+
+def file_info(spark: SparkSession, root: str, path: str, **filters) -> DataFrame:
+    """The row of discover() of one file, none where it is missing, no file, or filtered out."""
+    folder, _, name = path.replace("\\", "/").rpartition("/")
+    root = _absolute(root)
+    found = spark.createDataFrame([(folder,)], "path string").mapInArrow(lambda batches: _listed(batches, root), _FOUND)
+    one = found.where((F.col("path") == "/".join(filter(None, [folder, name]))) & ~F.col("is_folder")).drop("is_folder")
+    return _with_content(select_files(one, **filters), root)
+
+
+def validate(spark: SparkSession, root: str, **filters) -> list[str]:
+    """What is wrong with a repository's folder; nothing if it can be ingested."""
+    import pyarrow.fs as pafs
+
+    fs, base = _stored(_absolute(root))
+    kind = fs.get_file_info(base).type
+    if kind != pafs.FileType.Directory:
+        return ["path does not exist"] if kind == pafs.FileType.NotFound else ["path is not a directory"]
+    git = fs.get_file_info(f"{base}/.git").type != pafs.FileType.NotFound
+    some = not select_files(list_files(spark, root), **filters).isEmpty()
+    return [*([] if git else ["not a git repository"]), *([] if some else ["no file can be parsed"])]
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -176,7 +267,3 @@ def repo_id(name: Column, place: Column) -> Column:
 
 def success_rate(processed: Column, errors: Column) -> Column:
     return F.when(processed + errors == 0, 100.0).otherwise(processed / (processed + errors) * 100)
-
-
-def validation_messages(exists: Column, is_directory: Column, is_git: Column, parseable: Column) -> Column:
-    return F.when(~exists, F.array(F.lit("path does not exist"))).when(~is_directory, F.array(F.lit("path is not a directory"))).otherwise(F.array_compact(F.array(F.when(~is_git, "not a git repository"), F.when(parseable == 0, "no file can be parsed"))))

@@ -13,10 +13,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; only where it is unset (tests) a temporary folder."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder on a local master; elsewhere an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codeloom-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -48,14 +48,3 @@ def valid_signature(body: Column, signature: Column, secret: str | None) -> Colu
         return pd.Series([x is not None and y is not None and hmac.compare_digest("sha256=" + hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest(), y) for x, y in zip(b, s, strict=True)], index=b.index)
 
     return check(body, signature)
-
-
-def github_files(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Rows of a pull request's file list: (filename, status, additions, deletions, patch)."""
-    schema = "array<struct<filename:string,status:string,additions:int,deletions:int,patch:string>>"
-    return responses.select(F.inline(F.from_json(F.col(body), schema)))
-
-
-def github_user(user: Column) -> Column:
-    """A missing user has id 0 and the login `unknown`."""
-    return F.struct(F.coalesce(user["id"], F.lit(0)).alias("id"), F.coalesce(user["login"], F.lit("unknown")).alias("login"))

@@ -1,4 +1,4 @@
-"""Webhook files as a stream: each delivery once, dispatched as it arrives, and incremental chunk upserts."""
+"""Webhook files as a stream: each delivery once, dispatched as it arrives."""
 
 from __future__ import annotations
 

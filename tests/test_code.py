@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from codeloom.functions import code as C
 from codeloom.functions import questions as Q
 from codeloom.operators import dataflow as X
+from codeloom.operators import impact
 from codeloom.operators import review as R
-from codeloom.sources import discovery, parsing, webhooks
+from codeloom.sources import discovery, github, parsing, sinks, webhooks
 from codeloom.streaming import events
 
 DEEP = "def f(a):\n    if a:\n        for b in a:\n            if b:\n                while b:\n                    pass\n"
@@ -37,6 +38,13 @@ def test_dataflow(spark):
     flow = spark.createDataFrame([("x", "y"), ("y", "z")], "src string, dst string")
     start = spark.createDataFrame([("z",)], "id string")
     assert [r.id for r in X.trace(flow, start, True).collect()] == ["x"]
+    files = spark.createDataFrame([("a.py", "def add(x, y):\n    result = x + y\n    return result\n")], "file_path string, text string")
+    add = spark.createDataFrame([("a.py", "add", 1, "def add(x, y):\n    result = x + y\n    return result", [("x", None), ("y", "int")])], "file_path string, name string, start_line int, source_code string, parameters array<struct<name:string,type_annotation:string>>")
+    nodes, edges = X.flow_graph(files, add)
+    assert {(r.id, r.line, r.scope, r.data_type) for r in nodes.collect()} == {("assign_1", 1, "<module>", None), ("param_2", 1, "add", None), ("param_3", 1, "add", "int"), ("assign_4", 2, "add", None), ("return_5", 3, "add", None)}
+    assert [tuple(r) for r in edges.collect()] == [("a.py", "assign_4", "return_5", "return_value")]
+    assert X.definitions(nodes, "x").isEmpty() and X.definitions(nodes, "result").count() == 2 and X.uses_of(nodes, "x").isEmpty()
+    assert X.node(nodes, "a.py", "param_3").first().name == "y" and X.incoming(edges, "a.py", "return_5").count() == 1 and X.outgoing(edges, "a.py", "return_5").isEmpty()
     assert {r.id for r in X.tainted(flow, spark.createDataFrame([("x",)], "id string")).collect()} == {"x", "y", "z"}
 
 
@@ -66,6 +74,60 @@ def test_context(spark):
     assert round(Q.confidence(s.where("relevance > 0.5"), "q").first().confidence, 6) == 0.704
 
 
+def test_recommendations(spark):
+    """Six direct callers in six files, a deletion, risk 75: seven strings."""
+    r = spark.createDataFrame([(75, 6, 6, "DELETE"), (75, 6, 6, "RENAME"), (40, 0, 1, "MODIFY"), (30, 0, 1, "MODIFY"), (60, 0, 1, "MOVE")], "risk int, direct bigint, files bigint, change string")
+    got = [x[0] for x in r.select(impact.recommendations()).collect()]
+    assert [len(x) for x in got] == [7, 7, 1, 0, 1]
+    assert got[0][2:6] == ["Update 6 direct callers that may be affected", "Verify all callers have been updated or removed", "Consider deprecation period before full removal", "Changes may affect 6 files"] and got[2] == ["Review changes for backward compatibility"]
+
+
+def test_rules_by_hand(spark):
+    f = _files(spark, "class A:\n  self._component = x\n  self._component.run()\n", "class B:\n    _instance: S = None\n  x\n  cls._instance\n", "def create_car(x):\n", "x = 500 # ok\n  LIMIT = 2\nFROZEN = y # frozen\n_A = []\nget_instance()\n")
+    lines = C.lines(f)
+    assert [(r.file_path, r.start_line, r.end_line) for r in C.decorators(lines).collect()] == [("0", 2, 3)]
+    assert [(r.file_path, r.start_line, r.end_line) for r in C.singletons(lines).collect()] == [("1", 2, 4)]
+    assert [r.entity for r in C.factories(lines).collect()] == ["create_car"]
+    assert {(r.line, r.pattern) for r in C.regex_patterns(lines).where("file_path = '3'").collect()} == {(1, "magic_numbers"), (4, "global_state")}
+    said = {"walking through the parser": "explain", "which modules?": "find", "broken build": "generate", "any issues?": "review"}  # of equal scores the first type
+    assert {r.text: r.query_type for r in Q.route(spark.createDataFrame([(t,) for t in said], "text string")).collect()} == said
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in list(said)[1:]], "t string").select(Q.classify_keywords(F.col("t"))).collect()] == ["find", "debug", "review"]
+
+
+def test_metrics_of_entities(spark):
+    e = parsing.measured(parsing.parse(spark.createDataFrame([("m.py", "class K:\n    def a(self, x):\n        if x:\n            return 1\n    def b(self): return 2\n")], "path string, text string")))
+    got = {r.name: r for r in C.entity_metrics(e, spark.createDataFrame([("m.py:a:2", "m.py:b:5"), ("m.py:a:2", "m.py:b:5")], "src string, dst string")).collect()}
+    assert (got["a"].cyclomatic, got["a"].coupling_score, got["a"].dependency_count, got["b"].dependent_count, got["b"].coupling_score) == (2, 1.0, 2, 2, 0.0)
+    assert {r.name: (r.methods, r.parameters) for r in e.collect()} == {"K": (2, 0), "a": (0, 2), "b": (0, 1)}
+
+
+def test_github_records(spark):
+    user, commit = {"id": 7, "login": "u"}, {"sha": "s", "commit": {"message": "m"}, "author": {"name": "no id"}, "parents": [{"sha": "p"}], "files": [{"filename": "f.py", "additions": 2}]}
+    pull = {"id": 1, "number": 2, "title": "t", "state": "closed", "merged": True, "head": {"ref": "h", "sha": "1"}, "labels": [{"name": "bug"}]}
+    body = lambda x: spark.createDataFrame([(json.dumps(x),)], "body string")
+    p = github.pull_requests(body(pull)).first()
+    assert (p.state, p.user.login, p.head.ref, p.base.ref, p.labels, p.commits) == ("merged", "unknown", "h", "", ["bug"], 0)
+    assert [(r.number, r.state) for r in github.pull_requests(body([pull, pull | {"merged": False}, pull | {"merged": None, "state": "odd"}]), many=True).collect()] == [(2, "merged"), (2, "closed"), (2, "open")]
+    c = github.commits(body(commit)).first()
+    assert (c.message, c.author, c.parents, c.files[0].status, c.files[0].deletions) == ("m", None, ["p"], "modified", 0)
+    assert github.commits(body(commit | {"author": user, "commit": None, "message": "own"})).first().author.id == 7
+    assert github.repositories(body({"id": 1, "name": "n"})).first()[3:8] == ((0, "unknown", None, None, None, None), False, None, None, "main")
+    assert github.comments(body([{"id": 1, "user": user}])).first()[:2] == (1, "") and github.reviews(body([{"id": 1}])).first().state == "COMMENTED"
+    assert github.branches(body({"ref": "r"})).first()[:2] == ("r", "") and github.files(body([{"filename": "x"}])).first().changes == 0
+    x = github.comparisons(body({"status": "ahead", "ahead_by": 1, "commits": [commit], "files": []})).first()
+    assert (x.ahead_by, x.behind_by, x.commits[0].sha, x.files) == (1, 0, "s", [])
+    assert github.pull_requests(spark.createDataFrame([("no json",), (None,)], "body string")).isEmpty()
+
+
+def test_sinks(spark, tmp_path):
+    answers = spark.createDataFrame([("1", "completed", "find", "here", 0.5, [("f.py", 1)], ["more?"], None, 2.0, 3, "2024-01-02 03:04:05"), ("2", "failed", "find", None, None, None, None, "no", 0.0, 0, "2024-01-02 03:04:05")], "request_id string, status string, query_type string, answer string, confidence double, sources array<struct<file_path:string,start_line:int>>, follow_ups array<string>, error string, processing_time_ms double, tokens_used int, created_at string")
+    out = {r.request_id: (r.success, json.loads(r.response)) for r in sinks.responses(answers.withColumn("created_at", F.to_timestamp("created_at"))).collect()}
+    assert out["1"][0] and out["1"][1]["result"]["follow_up_questions"] == ["more?"] and out["1"][1]["created_at"] == "2024-01-02T03:04:05" and out["1"][1]["error"] is None
+    assert not out["2"][0] and out["2"][1]["result"] is None and out["2"][1]["error"] == "no"
+    sinks.write_json(answers.select("request_id", "error"), str(tmp_path / "j"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).orderBy("value").collect()] == [{"request_id": "1", "error": None}, {"request_id": "2", "error": "no"}]
+
+
 def test_review(spark):
     p = spark.createDataFrame([(1, "f", "@@ -10,3 +10,4 @@\n ctx\n-old\n+new\n+eval(x)\n end")], "pr int, file string, patch string")
     lines = R.diff_lines(p, ["pr", "file"])
@@ -73,7 +135,12 @@ def test_review(spark):
     found = R.comments(lines, ["pr", "file"])
     assert [(r.severity, r.new_line) for r in found.collect()] == [("ERROR", 12)]
     v = R.verdict(found, lines, "pr", "file").first()
-    assert (v.additions, v.deletions, v.status) == (2, 1, "REQUEST_CHANGES")
+    assert (v.additions, v.deletions, v.status, v.issues_found, v.suggestions) == (2, 1, "REQUEST_CHANGES", 1, 0) and v.summary.endswith("\n- 1 error(s) found")
+    assert [r.category for r in found.collect()] == ["security"]
+    request = json.loads(github.review_requests(R.verdict(found, lines, "pr", "file"), found, "pr", "file").first().request)
+    assert request["event"] == "REQUEST_CHANGES" and request["comments"] == [{"path": "f", "line": 12, "body": "**SECURITY**: Avoid using eval() - security risk"}]
+    odd = spark.createDataFrame([("a.py", "@@"), ("b.bin", "@@"), ("c.py", None)], "file string, patch string")
+    assert [r.file for r in R.reviewable(odd).collect()] == ["a.py"]
 
 
 def test_discovery(spark, tmp_path):
