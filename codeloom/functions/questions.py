@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import in_order
+
 #: Query type: what its questions say, in any case. The order breaks ties. ` .. ` stands for anything between two whole words, `...` for anything
 #: between two parts whose inner ends may lie within words, `~` for white space or none, `(s)` for an optional ending.
 _ROUTES = """
@@ -173,3 +175,14 @@ def mock_answer(prompt_: Column) -> tuple[Column, Column, Column]:
     """(answer, prompt tokens, answer tokens) of a model that isn't there: deterministic, tokens are character counts."""
     answer = F.concat(F.lit("Mock answer "), F.substring(F.sha2(prompt_, 256), 1, 8))
     return answer, F.char_length(prompt_), F.char_length(answer)
+
+
+def canned_answers(asked: DataFrame, answers: list[str], order: str) -> DataFrame:
+    """asked(system, user) with answer, input_tokens, output_tokens and pieces, as a model of canned answers gives them: in turn, in that order of the rows.
+
+    Tokens are character counts; pieces are the answer's words as a stream has them.
+    """
+    turn = F.col("__turn") % len(answers)
+    out = in_order(asked, order, "__turn").withColumn("answer", F.element_at(F.array(*[F.lit(a) for a in answers]), (turn + 1).cast("int"))).drop("__turn")
+    sizes = {"input_tokens": F.char_length("system") + F.char_length("user"), "output_tokens": F.char_length("answer")}
+    return out.withColumns(sizes).withColumn("pieces", F.transform(F.split("answer", " "), lambda w: F.concat(w, F.lit(" "))))

@@ -84,14 +84,19 @@ def trails(edges: DataFrame, start: DataFrame, kind: str | None, max_depth: int,
     return reduce(DataFrame.unionByName, out)
 
 
-def reach(edges: DataFrame, start: DataFrame, kind: str | None, max_depth: int | None = None, incoming: bool = False) -> DataFrame:
+#: Levels after which what a search has seen becomes one table again.
+COMPACT = 4
+
+
+def reach(edges: DataFrame, start: DataFrame, kind: str | None, max_depth: int | None = None, incoming: bool = False, together: bool = False) -> DataFrame:
     """(start, id, distance >= 1): everything reachable with its least distance; the start itself only by a cycle.
 
-    Breadth first: each level joins the frontier with the edges and drops what was seen, so a level shuffles the frontier and not the paths.
+    Breadth first: each level joins the frontier with the edges and drops what was seen, so a level shuffles the frontier and not the paths. With
+    together all starts are one (start is NULL): the work is that of one search, whatever their number.
     """
     near, far = ("dst", "src") if incoming else ("src", "dst")
     hop = cut((edges if kind is None else edges.where(F.col("type") == kind)).select(F.col(near).alias("id"), F.col(far).alias("next")).distinct(), "hops")
-    frontier = start.select(F.col("id").alias("start"), "id").distinct()
+    frontier = start.select((F.lit(0).cast("int") if together else F.col("id")).alias("start"), "id").distinct()
     seen = None
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -103,8 +108,10 @@ def reach(edges: DataFrame, start: DataFrame, kind: str | None, max_depth: int |
         if seen is not None and new.isEmpty():
             break
         seen = new if seen is None else seen.unionByName(new)
+        if depth % COMPACT == 0:
+            seen = cut(seen, "seen")
         frontier = new.select("start", "id")
-    return seen
+    return seen.withColumn("start", F.lit(None).cast(dict(start.dtypes)["id"])) if together else seen
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, kind: str = "CALLS", max_depth: int = 10) -> DataFrame:

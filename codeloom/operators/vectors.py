@@ -56,6 +56,12 @@ def search(chunks: DataFrame, query: DataFrame, limit: int = 10, threshold: floa
     return scored.orderBy(F.desc("score") if greater else F.asc("score"), "chunk_id").limit(limit)
 
 
+def similar_functions(chunks: DataFrame, chunk_id, limit: int = 10, threshold: float = 0.7, **filters) -> DataFrame:
+    """The best other chunks of whole functions for one chunk."""
+    query = chunks.where(F.col("chunk_id") == chunk_id).select(F.col("embedding").alias("vector"))
+    return search(chunks.where(F.col("chunk_id") != chunk_id), query, limit, threshold, chunk_type="function_full", **filters)
+
+
 def docstring_search(chunks: DataFrame, query: DataFrame, limit: int = 10, threshold: float = 0.5) -> DataFrame:
     """The best of the best function docstrings and the best class docstrings."""
     parts = [search(chunks, query, limit, threshold, chunk_type=t) for t in ("function_docstring", "class_docstring")]

@@ -18,10 +18,15 @@ def node_by_id(spark, d):
     return G.node_by_id(D.functions(spark, d), 7)
 
 
-@query(f"{_F} select f.* from f join (select min(name) as name from f where label = 'Function') using (name) where label = 'Function'")
+@query(f"{_F} select * from f where id = 8 and label = 'Function'")
+def function_by_id(spark, d):
+    return G.node_by_id(D.functions(spark, d), 8, "Function")
+
+
+@query(f"{_F} select * from f where name = (select min(name) from f) and label = 'Function'")
 def functions_by_name(spark, d):
-    f = D.functions(spark, d).where("label = 'Function'")
-    return f.join(f.agg(F.min("name").alias("name")), "name").select(*f.columns)
+    f = D.functions(spark, d)
+    return G.nodes_by_name(f, f.agg(F.min("name")).first()[0], "Function")
 
 
 @query("select n_nationkey as id, n_name as path from nation where n_regionkey = 2")

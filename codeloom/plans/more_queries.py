@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import names as M
+from codeloom.functions import questions as Q
 from codeloom.operators import nodes as N
+from codeloom.operators import review as R
 from codeloom.operators import vectors as V
+from codeloom.plans import code_queries as CQ
 from codeloom.plans import domain as D
 from codeloom.plans import vector_queries as VQ
 from codeloom.plans.registry import query
 from codeloom.plans.service_queries import _PATHS, _SNAP, _paths, _snapshots
 from codeloom.sources import discovery as S
+from codeloom.sources import parsing
 from codeloom.sources.tables import load
 
 
@@ -71,8 +75,66 @@ def node_degrees(spark, d):
     return load(spark, d, "part").select(F.col("p_partkey").alias("id")).join(i, "id", "left").join(o, "id", "left").na.fill(0, ["incoming", "outgoing"])
 
 
-@query("select l.label, l.columns from (values ('Repository', 5), ('File', 6), ('Module', 5), ('Class', 9), ('Function', 11), ('Method', 15), ('Variable', 7)) as l(label, columns)")
-def node_schemas(spark, d):
-    return spark.createDataFrame([(k, len(v)) for k, v in N.SCHEMAS.items()], "label string, columns int")
+@query(f"select * from (values ('Class', 2), ('Function', 6), ('Method', 3), ('Variable', 7)) as v(label, nodes) union all select 'Module', count(*) from {CQ._FILES}")
+def parsed_nodes(spark, d):
+    """All sources as graph nodes; the documents are modules without definitions."""
+    entities = parsing.parse(CQ.texts(spark, d), "file_path", "text")
+    return N.entity_nodes(entities, "r").groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query(f"select * from (values ('greet.py', 2), ('age.py', 2), ('deep.py', 2), ('flow.py', 7), ('docs.py', 4), ('single.py', 4), ('make.py', 4), ('wrap.py', 4), ('big.py', 2), ('rules.txt', 1), ('empty.py', 1)) as v(file_path, entities) union all select doc_id::varchar, 1 from documents")
+def entity_counts(spark, d):
+    """Entities of each source as the ingestion counts them: with imports, variables and class attributes."""
+    entities = parsing.parse(CQ.texts(spark, d), "file_path", "text")
+    return entities.groupBy("file_path").agg(parsing.entity_count().alias("entities"))
+
+
+@query("select conv_id, turn, length(role) // 4 + length(text) // 4 + 12 as tokens from conversations")
+def message_tokens(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", Q.message_tokens(F.col("role"), F.col("text")).alias("tokens"))
+
+
+_PLACES = "p as (select p_partkey as id, p_brand as path, case when p_size % 4 > 0 then p_size end as a, case when p_size % 3 > 0 then p_size + p_size % 2 end as b from part)"
+
+
+@query(f"with {_PLACES} select id, path || case when a is null then '' when b is null or b = a then ':' || a else ':' || a || '-' || b end as location from p")
+def locations(spark, d):
+    n = F.col("p_size")
+    start, end = F.when(n % 4 > 0, n), F.when(n % 3 > 0, n + n % 2)
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), Q.location(F.col("p_brand"), start, end).alias("location"))
+
+
+_ENDINGS = ["a.py", "b.tsx", "c.go", "d.cpp", "e.c", "f.cs", "g.PY", "py", "h.py.txt", "i.rb", "j.jsx"]
+
+
+@query(f"select p_partkey as id, ['python', 'typescript', 'go', 'cpp', 'c', 'csharp', null, null, null, 'ruby', 'javascript'][p_partkey % {len(_ENDINGS)} + 1] as language from part")
+def review_languages(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), R.language_of(name).alias("language"))
+
+
+@query("select p_partkey as id, ['added', 'deleted', 'renamed', 'modified', 'modified'][p_partkey % 5 + 1] as change, ['Function', 'Class', null, 'Method', 'Module'][p_partkey % 5 + 1] as label from part")
+def change_letters(spark, d):
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), S.change_type(pick("A", "D", "R087", "M", "T")).alias("change"), M.label(pick("function", "CLASS", "import", "method", "module")).alias("label"))
+
+
+@query(
+    """with s as (select lang as q, doc_id, case when doc_id % 2 = 0 then lang end as language, text, (doc_id * 7919 % 1000) / 1000.0::double as relevance, length(text) // 4 as tokens from documents where lang is not null),
+r as (select *, row_number() over w as rank from s where relevance >= 0.5 window w as (partition by q order by relevance desc, doc_id)), p as (select *, sum(tokens) over (partition by q order by rank) as running from r where rank <= 20)
+select q, string_agg('### function: f' || doc_id || ' (' || doc_id || '.py:3-9)' || chr(10) || '```' || coalesce(language, '') || chr(10) || text || chr(10) || '```', chr(10) || chr(10) order by rank) as context from p where running <= 8000 group by q"""
+)
+def context_text(spark, d):
+    """The packed snippets of each language's question as one text."""
+    name = F.col("doc_id").cast("string")
+    snippets = load(spark, d, "documents").where("lang is not null").select(
+        F.col("lang").alias("q"), F.col("doc_id").alias("snippet_id"), (F.col("doc_id") * 7919 % 1000 / 1000).alias("relevance"), Q.tokens(F.col("text")).alias("tokens"), F.lit("function").alias("entity_type"), F.concat(F.lit("f"), name).alias("name"), F.concat(name, F.lit(".py")).alias("file_path"),
+        F.lit(3).alias("start_line"), F.lit(9).alias("end_line"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("language"), F.col("text").alias("content"),
+    )
+    return Q.context_text(Q.pack_context(snippets, "q"), "q")
+
+
+@query("select conv_id, turn, case (row_number() over (order by conv_id * 1000 + turn) - 1) % 2 when 0 then 'yes it is' else 'no' end as answer, length(role) + length(text) as input_tokens, case (row_number() over (order by conv_id * 1000 + turn) - 1) % 2 when 0 then 9 else 2 end as output_tokens, case (row_number() over (order by conv_id * 1000 + turn) - 1) % 2 when 0 then 3 else 1 end as pieces from conversations")
+def canned_answers(spark, d):
+    asked = load(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("system"), F.col("text").alias("user"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"))
+    return Q.canned_answers(asked, ["yes it is", "no"], "o").select("conv_id", "turn", "answer", "input_tokens", "output_tokens", F.size("pieces").alias("pieces"))

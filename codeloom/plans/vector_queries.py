@@ -61,6 +61,11 @@ def vector_search_entity(spark, d):
     return _out(V.search(chunks(spark, d), first(spark, d), threshold=None, repo_id="repo0", entity_name="e7"))
 
 
+@query(f"with {_C} select chunk_id, round(cos, 6) as score from s where chunk_id <> 0 and chunk_type = 'function_full' and cos >= 0.05 order by cos desc, chunk_id limit 10")
+def similar_functions(spark, d):
+    return _out(V.similar_functions(chunks(spark, d), 0, threshold=0.05))
+
+
 @query(f"with {_C} select chunk_id, chunk_type, round(cos, 6) as score from s where chunk_type in ('function_docstring', 'class_docstring') and cos >= 0.1 order by cos desc, chunk_id limit 10")
 def docstring_merge_topk(spark, d):
     return _out(V.docstring_search(chunks(spark, d), first(spark, d), threshold=0.1), "chunk_type")
