@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import discard, materialize, new_path, remove
 
 RESULT = "query_id bigint, neighbor_id bigint, rank int, score double"
 _SPLIT = 134217729.0  # 2^27 + 1: cuts a double into halves whose products are exact
@@ -211,6 +211,10 @@ def exact_top_k(
     one = materialize(ranges(asked.select("*", nothing), "range = 0").mapInArrow(searched, schema), "round")
     two = materialize(ranges(asked.join(one.select("dim", "block", F.col("found").alias("floor")), ["dim", "block"]), "range > 0").mapInArrow(searched, schema), "round")
 
+    for table in (rows, asked):
+        discard(table)
+    remove(spark, path)
+
     def told(batches):
         for b in batches:
             for blob in b.column("found"):

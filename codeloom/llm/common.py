@@ -51,8 +51,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 def discard(df: DataFrame) -> None:
     """Removes a table that materialize() wrote and that nothing will read again."""
-    spark = df.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    remove(df.sparkSession, df._written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices
+from .common import discard, documents, materialize, slices
 
 _BITS = 21
 RESULT = "doc_id bigint, predicted string, distance bigint, n_grams int, score double, margin double, rejected boolean"
@@ -60,18 +60,20 @@ def as_text(key: int) -> str:
     return "".join(chr(p) for p in (key >> 2 * _BITS, key >> _BITS & mask, key & mask) if p)
 
 
-def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", profile_size: int = 300, sample_rows: int = 500) -> dict[str, np.ndarray]:
+def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", profile_size: int = 300, sample_rows: int = 500, max_labels: int = 200) -> dict[str, np.ndarray]:
     """Language -> its most frequent n-grams in order of rank, from labelled rows.
 
-    sample_rows bounds the labelled rows of each language that are read (those whose md5 of the id is smallest; whole texts).
-    Rows without id, text or label are not used. Without any labelled row the result is empty.
+    sample_rows bounds the labelled rows of each language that are read (those whose md5 of the id is smallest; whole texts), max_labels
+    the languages (those with most rows, ties by name), so that a column of free text is no danger. Rows without id, text or label are not
+    used. Without any labelled row the result is empty.
     """
     labelled = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).select("lang")
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")))
-    chosen = labelled.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_rows)
+    chosen = labelled.select("doc_id", "lang").join(F.broadcast(known), "lang", "left_semi").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_rows)
     chosen = materialize(chosen.select("doc_id", "lang"), "sample")
-    # sample_rows for each label: small unless the labels themselves are many
-    side = F.broadcast(chosen) if chosen.count() <= 100_000 else chosen
+    # at most max_labels * sample_rows rows of two columns
+    side = F.broadcast(chosen)
 
     def count(batches):
         for b in slices(batches):
@@ -88,6 +90,7 @@ def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out: dict[str, list] = {}
     for r in best.orderBy("lang", "rn").collect():  # languages x profile_size rows, whatever the size of the corpus
         out.setdefault(r["lang"], []).append(r["gram"])
+    discard(chosen)
     return {k: np.array(v, dtype=np.uint64) for k, v in out.items()}
 
 

@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, local_path, materialize, new_path, passes, slices
+from .common import discard, documents, local_path, materialize, new_path, passes, slices
 from .merges import _SPLIT, DEFAULT_VOCABULARY, Merger, merge_all, pieces_of, vocabulary
 
 _SECTIONS = ("edge_key", "edge_target", "edge_number", "final", "id_begin", "ids")
@@ -182,7 +182,9 @@ def frequent_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the least count that at most `size` words reach, from how many words have each count
     above = F.sum("words").over(Window.orderBy(F.desc("n")))
     cut = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("above", above).where(F.col("above") <= size).agg(F.min("n")).first()[0]
-    return [] if cut is None else sorted(bytes(r["word"]) for r in counted.where(F.col("n") >= cut).select("word").collect())  # at most `size` rows in all
+    out = [] if cut is None else sorted(bytes(r["word"]) for r in counted.where(F.col("n") >= cut).select("word").collect())  # at most `size` rows in all
+    discard(counted)
+    return out
 
 
 def publish(docs_or_spark, lexicon: dict[str, np.ndarray]) -> str:

@@ -292,8 +292,10 @@ def _classes(plain: DataFrame, threshold: float, k: int, coordinates: int, bands
     # buckets with the same members give the same pairs: one of them is enough
     mixed = per_key.groupBy("n", "content").agg(F.min("key").alias("key"))
     rest = _pairs_in_buckets(placed.join(mixed.select("key"), "key").withColumnRenamed("key", "group"), texts, k, threshold)
-    comp = materialize(components(verified.unionByName(rest)), "components")
-    return exact, comp, texts, contents.select("ord")
+    joined = components(verified.unionByName(rest))
+    for table in (members, verified, rest):
+        discard(table)
+    return exact, joined, texts, contents.select("ord")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6, k: int = 3, coordinates: int = 128, bands: int = 32) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, named, numbered, slices, word_hashes
+from .common import discard, materialize, mix, named, numbered, slices, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _KEYS = ("0123456789123456", "codeloomsuffixes")
@@ -131,8 +131,10 @@ def _windows(plain: DataFrame, words: int, k: int) -> DataFrame:
     # one number that orders suffixes by (ord, start)
     place = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("start")
     twice = materialize(runs.join(again, "d1").withColumn("place", place.cast("decimal(38,0)")), "radix")
+    discard(runs)
     kinds = twice.groupBy("d1", "d2", "e2").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("first"))
     passed = materialize(twice.join(kinds, ["d1", "d2", "e2"]), "radix")
+    discard(twice)
     whole = passed.where("not mixed").select("ord", "start", "n", (F.col("first") != F.col("place")).alias("later"))
 
     # third pass: one run of each kind stands for its equals
