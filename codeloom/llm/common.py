@@ -64,19 +64,6 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def passes(texts: list, chars: int = PASS_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of the list that hold about that many characters; a longer text is a range of its own."""
-    begin = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if total and total + n > chars:
-            yield begin, i
-            begin, total = i, 0
-        total += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 * PASS_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, what a worker holds as Python objects at once: few rows, and about `size` bytes of text or binary values.
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, passes, slices
+from .common import documents, materialize, slices
 from .merges import DEFAULT_VOCABULARY, LibraryMerger, merger
 
 RESULT = "doc_id bigint, n_ids bigint, n_bits bigint, payload binary, block_bits array<bigint>, restored boolean"
@@ -141,9 +141,8 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         m = merger(vocabulary_path, "<u2", LibraryMerger)
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            for lo, hi in passes(texts):
-                there = iter(m.ids([t for t in texts[lo:hi] if t is not None]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([None if t is None else next(there) for t in texts[lo:hi]], pa.binary())], names=["doc_id", "ids"])
+            there = iter(m.ids([t for t in texts if t is not None]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([None if t is None else next(there).tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary")
 

@@ -14,12 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, local_path, materialize, new_path, passes, slices
-from .merges import _SPLIT, DEFAULT_VOCABULARY, Merger, merge_all, pieces_of, vocabulary
+from .common import discard, documents, local_path, materialize, new_path, slices
+from .merges import DEFAULT_VOCABULARY, Merger, cut_texts, merge_all, pre_tokens, vocabulary
 
 _SECTIONS = ("edge_key", "edge_target", "edge_number", "final", "id_begin", "ids")
 _TYPES = {"edge_key": np.int64, "edge_target": np.int32, "edge_number": np.int32, "final": np.bool_, "id_begin": np.int64, "ids": np.int32}
@@ -155,27 +156,32 @@ def encode_words(words: list[bytes], lexicon: dict[str, np.ndarray], vocabulary_
     return np.concatenate([lexicon["ids"], merged])[at], counts
 
 
+#: Distinct words that a worker counts before it hands them on.
+HELD_WORDS = 200_000
+
+
 def frequent_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50_000) -> list[bytes]:
     """The most frequent pre-tokens of all texts, at most `size` of them: all that reach some count of 2 or more. Words with equal counts are in or out together."""
 
     def count(batches):
-        for b in slices(batches, 4000):
-            texts = [t for t in b.column("text").to_pylist() if t is not None]
-            for lo, hi in passes(texts, 8_000_000):
-                heads, bodies, total = Counter(), Counter(), Counter()
-                for t in texts[lo:hi]:
-                    p = pieces_of(t)
-                    heads[p[0]] += 1
-                    bodies.update(p[1:])
-                for lead, counted in (("", heads), (" ", bodies)):
-                    for piece, n in counted.items():
-                        if piece.isalpha():
-                            total[lead + piece] += n
-                        else:
-                            for w in _SPLIT.findall(lead + piece):
-                                total[w] += n
-                if total:
-                    yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in total], pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        total: Counter = Counter()
+        for b in slices(batches):
+            flat, begins, _ = cut_texts(b.column("text").drop_null().to_pylist())
+            first = np.zeros(len(flat), bool)
+            first[begins[:-1]] = True
+            for lead, mask in (("", first), (" ", ~first)):
+                counted = pc.value_counts(flat.filter(pa.array(mask)))
+                for piece, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist(), strict=True):
+                    for w in pre_tokens(lead, piece):
+                        total[w] += n
+            if len(total) > HELD_WORDS:
+                yield told(total)
+                total = Counter()
+        if total:
+            yield told(total)
+
+    def told(total):
+        return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in total], pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     counted = documents(docs, id_col, text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = materialize(counted, "words")
@@ -229,15 +235,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         m = _merger(name, vocabulary_path)
         for b in slices(batches):
             texts = b.column("text").to_pylist()
-            for lo, hi in passes(texts):
-                there = iter(m.ids([t for t in texts[lo:hi] if t is not None]))
-                coded = [None if t is None else next(there) for t in texts[lo:hi]]
-                null = pa.array([c is None for c in coded])
-                flat = np.frombuffer(b"".join(c for c in coded if c), "<i4")
-                ends = np.cumsum([len(c) // 4 if c else 0 for c in coded])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=null)
-                same = [None if t is None else decode_ids(np.frombuffer(c, "<i4"), vocabulary_path) == t for t, c in zip(texts[lo:hi], coded, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "restored"])
+            there = iter(m.ids([t for t in texts if t is not None]))
+            coded = [None if t is None else next(there) for t in texts]
+            null = pa.array([c is None for c in coded])
+            flat = np.concatenate([np.empty(0, np.int32), *(c for c in coded if c is not None)])
+            ends = np.cumsum([0 if c is None else len(c) for c in coded])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat), mask=null)
+            same = [None if t is None else decode_ids(c, vocabulary_path) == t for t, c in zip(texts, coded, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "restored"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>, restored boolean")
 

@@ -12,6 +12,8 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 DEFAULT_VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -19,6 +21,7 @@ _SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}
 #: A space beside another white-space character, or at the end: where there is none, a text can be cut before every space.
 _BESIDE = regex.compile(r"\s (?:\s|\Z)")
 _ALONE = regex.compile(r"(?<=\S) (?=\S)")
+_STOPS = tuple(",.;:!?)")
 _NONE = np.int64(1 << 40)
 #: Characters of distinct pieces that a worker remembers; when full it starts anew. Longer pieces than LONG_PIECE are not remembered. Both
 #: bound memory and have no influence on results.
@@ -177,80 +180,128 @@ def pieces_of(text: str) -> list[str]:
     return _ALONE.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
+def pre_tokens(lead: str, piece: str) -> list[str]:
+    """The pre-tokens of a piece with its leading space or none."""
+    if piece.isalpha():  # one run of letters is one
+        return [lead + piece]
+    if piece[-1:] in _STOPS and piece[:-1].isalpha():
+        return [lead + piece[:-1], piece[-1]]
+    return _SPLIT.findall(lead + piece)
+
+
+def cut_texts(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the pieces of all texts, where each text's pieces begin and the last one's end, number in texts of each text): pieces_of(), in bulk.
+
+    Texts without white space beside a space come first; those are cut outside Python.
+    """
+    plain = [not _BESIDE.search(t) for t in texts]
+    order = np.array([i for i, p in enumerate(plain) if p] + [i for i, p in enumerate(plain) if not p], np.int64)
+    easy = pc.split_pattern(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), " ")
+    hard = [_ALONE.split(t) for t, p in zip(texts, plain, strict=True) if not p]
+    flat = pa.concat_arrays([easy.flatten(), pa.array([x for h in hard for x in h], pa.large_string())])
+    sizes = np.concatenate([pc.list_value_length(easy).to_numpy(), np.array([len(h) for h in hard], np.int64)]).astype(np.int64)
+    return flat, np.concatenate([[0], np.cumsum(sizes)]), order
+
+
 class Merger:
-    """Remembers the pieces it has merged: as counts, or as ids (bytes of the dtype)."""
+    """Remembers the pieces it has merged: how many ids each has and, unless only counts are asked for, which."""
 
     def __init__(self, path: str, dtype: str | None = None, known=None):
         self.path, self.dtype, self.known = path, dtype, known
-        self.head: dict = {}
-        self.body: dict = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.head: dict[str, int] = {}  # piece -> its number
+        self.body: dict[str, int] = {}
         self.chars = 0
+        self.n = np.empty(0, np.int64)  # ids of each piece
+        self.store = np.empty(0, self.dtype or np.uint8)  # ids of all pieces, one after the other
 
-    def learn(self, texts_pieces: list[list[str]]) -> list[tuple[dict, str]]:
-        """Merges the pieces that aren't remembered; those too long to be remembered are returned, to be forgotten after use."""
-        if self.chars > CACHE_CHARS:
-            self.head.clear()
-            self.body.clear()
-            self.chars = 0
-        heads = {p[0] for p in texts_pieces}.difference(self.head)
-        body: set[str] = set()
-        for p in texts_pieces:
-            body.update(p[1:])
-        long = []
-        for new, lead, cache in ((sorted(heads), "", self.head), (sorted(body.difference(self.body)), " ", self.body)):
-            if new:
-                self._add(new, lead, cache)
-                self.chars += sum(len(p) for p in new if len(p) <= LONG_PIECE)
-                long += [(cache, p) for p in new if len(p) > LONG_PIECE]
-        return long
-
-    def _add(self, new: list[str], lead: str, cache: dict) -> None:
+    def _add(self, new: list[str], lead: str) -> None:
         words: list[str] = []
         n_words = np.empty(len(new), np.int64)
         for i, piece in enumerate(new):
-            if piece.isalpha():  # one run of letters is one pre-token
-                words.append(lead + piece)
-                n_words[i] = 1
-            else:
-                w = _SPLIT.findall(lead + piece)
-                n_words[i] = len(w)
-                words += w
+            w = pre_tokens(lead, piece)
+            n_words[i] = len(w)
+            words += w
         position = {w: i for i, w in enumerate(dict.fromkeys(words))}
         coded = [w.encode("utf-8", "surrogatepass") for w in position]
         ids, counts = self.known(coded, self.path) if self.known else merge_all(coded, self.path)
         which = np.fromiter(map(position.__getitem__, words), np.int64, len(words))
-        word_end = np.cumsum(n_words)
-        total = np.concatenate([[0], np.cumsum(counts[which])])
-        piece_end = total[word_end]
-        if self.dtype is None:
-            cache.update(zip(new, np.diff(np.concatenate([[0], piece_end])).tolist(), strict=True))
-            return
-        begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
         n = counts[which]
-        at = np.repeat(begin[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        flat, size = ids[at].astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-        ends = (piece_end * size).tolist()
-        cache.update((p, flat[a:b]) for p, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        cut = [pieces_of(t) for t in texts]
-        long = self.learn(cut)
-        get = self.body.__getitem__
-        out = [self.head[p[0]] + sum(map(get, p[1:])) for p in cut]
+        total = np.concatenate([[0], np.cumsum(n)])
+        self.n = np.concatenate([self.n, np.diff(total[np.concatenate([[0], np.cumsum(n_words)])])])
+        if self.dtype is not None:
+            self.store = np.concatenate([self.store, ids[_spread(np.cumsum(counts) - counts, counts, which)].astype(self.dtype)])
+
+    def _numbers(self, flat: pa.Array, begins: np.ndarray) -> tuple[np.ndarray, list[tuple[dict, str]], int]:
+        """(the number of each piece, pieces too long to be remembered, how many pieces there were before those)."""
+        first = np.zeros(len(flat), bool)
+        first[begins[:-1]] = True
+        out, long = np.empty(len(flat), np.int64), []
+        sides = []
+        for cache, lead, mask in ((self.head, "", first), (self.body, " ", ~first)):
+            coded = flat.filter(pa.array(mask)).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            new = [p for p in pieces if p not in cache]
+            long += [(cache, lead, p) for p in new if len(p) > LONG_PIECE]
+            short = [p for p in new if len(p) <= LONG_PIECE]
+            if short:
+                cache.update(zip(short, range(len(self.n), len(self.n) + len(short)), strict=True))
+                self._add(short, lead)
+                self.chars += sum(map(len, short))
+            sides.append((cache, mask, pieces, coded.indices.to_numpy()))
+        kept = len(self.n)
+        for lead in ("", " "):
+            if some := [p for _, x, p in long if x == lead]:
+                (self.body if lead else self.head).update(zip(some, range(len(self.n), len(self.n) + len(some)), strict=True))
+                self._add(some, lead)
+        for cache, mask, pieces, which in sides:
+            if len(which):
+                out[mask] = np.fromiter(map(cache.__getitem__, pieces), np.int64, len(pieces))[which]
+        return out, [(cache, p) for cache, _, p in long], kept
+
+    def _end(self, long: list[tuple[dict, str]], kept: int) -> None:
         for cache, p in long:
             del cache[p]
-        return out
+        if self.dtype is not None:
+            self.store = self.store[: int(self.n[:kept].sum())]
+        self.n = self.n[:kept]
+        if self.chars > CACHE_CHARS:
+            self._forget()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces_of(t) for t in texts]
-        long = self.learn(cut)
-        get = self.body.__getitem__
-        out = [self.head[p[0]] + b"".join(map(get, p[1:])) for p in cut]
-        for cache, p in long:
-            del cache[p]
+    def counts(self, texts: list[str]) -> list[int]:
+        if not texts:
+            return []
+        flat, begins, order = cut_texts(texts)
+        numbers, long, kept = self._numbers(flat, begins)
+        total = np.concatenate([[0], np.cumsum(self.n[numbers])])
+        out = np.empty(len(texts), np.int64)
+        out[order] = total[begins[1:]] - total[begins[:-1]]
+        self._end(long, kept)
+        return out.tolist()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        flat, begins, order = cut_texts(texts)
+        numbers, long, kept = self._numbers(flat, begins)
+        ids = self.store[_spread(np.cumsum(self.n) - self.n, self.n, numbers)]
+        total = np.concatenate([[0], np.cumsum(self.n[numbers])])[begins].tolist()
+        self._end(long, kept)
+        out: list = [None] * len(texts)
+        for i, a, b in zip(order.tolist(), total[:-1], total[1:], strict=True):
+            out[i] = ids[a:b]
         return out
 
 
+def _spread(begin: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places begin[w] .. begin[w] + n[w] - 1 for each w of which, one after the other."""
+    n = n[which]
+    return np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 @lru_cache(2)
 def _library(path: str):
     import tiktoken
@@ -266,9 +317,9 @@ class LibraryMerger(Merger):
         encode = _library(self.path).encode_ordinary
         return [len(encode(t)) for t in texts]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         encode = _library(self.path).encode_ordinary
-        return [np.array(encode(t), self.dtype).tobytes() for t in texts]
+        return [np.array(encode(t), self.dtype) for t in texts]
 
 
 _mergers: dict = {}

@@ -49,7 +49,7 @@ def token_parts(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: st
     def run(batches):
         m = merger(vocabulary_path, "<u2", LibraryMerger)
         for b in slices(batches):
-            coded = m.ids(b.column("text").to_pylist())
+            coded = [x.tobytes() for x in m.ids(b.column("text").to_pylist())]
             parts = [(i, at) for i, c in enumerate(coded) for at in range(0, len(c), 2 * capacity)]
             which = pa.array([i for i, _ in parts], pa.int64())
             ids = pa.array([coded[i][at : at + 2 * capacity] for i, at in parts], pa.binary())

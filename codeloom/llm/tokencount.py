@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, passes, slices
+from .common import documents, slices
 from .merges import DEFAULT_VOCABULARY, LibraryMerger, Merger, merger
 
 
@@ -20,11 +20,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         m = merger(vocabulary_path, None, LibraryMerger if library else Merger)
         for b in slices(batches):
-            texts, out = b.column("text").to_pylist(), []
-            for lo, hi in passes(texts):
-                there = [t for t in texts[lo:hi] if t is not None]
-                n = iter(m.counts(there))
-                out += [None if t is None else next(n) for t in texts[lo:hi]]
+            texts = b.column("text").to_pylist()
+            n = iter(m.counts([t for t in texts if t is not None]))
+            out = [None if t is None else next(n) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint")
