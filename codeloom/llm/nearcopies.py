@@ -158,7 +158,7 @@ def similar(rows: list[np.ndarray], columns: list[np.ndarray], threshold: float)
 
 
 #: Members, and 64-bit grams, of a group that are compared in one task's memory; larger groups are cut into blocks that meet pairwise.
-BLOCK, BLOCK_GRAMS = 2048, 4_000_000
+BLOCK, BLOCK_GRAMS = 2048, 1_500_000
 
 
 def _in_blocks(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
