@@ -221,7 +221,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(pa.array([t if c is None else without_spans(t, [(s["start_word"], s["end_word"]) for s in c]) for t, c in rows], pa.string()))
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
-    new = joined.withColumn("__text", cut(text_, F.col("__cuts"))).where("__cut_id is null or __text <> ''")
+    # not deterministic as far as Spark knows: else the filter is pushed below the cut, texts are cut twice, and each task holds two Python workers
+    new = joined.withColumn("__text", cut.asNondeterministic()(text_, F.col("__cuts"))).where("__cut_id is null or __text <> ''")
     if chars_col and chars_col in docs.columns:
         new = new.withColumn(chars_col, F.when(cut_id.isNull(), F.col(f"`{chars_col}`")).otherwise(F.char_length("__text")).cast(docs.schema[chars_col].dataType))
     return new.withColumn(text_col, F.col("__text")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -465,6 +465,13 @@ def test_dropped_repeats(spark, docs, none):
     assert suffixes.drop_repeats(none).count() == 0
 
 
+def test_texts_are_cut_once(spark, docs):
+    """One Python node: with two in a stage each task holds two workers, which stay."""
+    for table in (docs, docs.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        plan = suffixes.drop_repeats(table)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan, plan
+
+
 # 6: languages
 
 
