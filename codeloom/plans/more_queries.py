@@ -85,8 +85,7 @@ def parsed_nodes(spark, d):
 @query(f"select * from (values ('greet.py', 2), ('age.py', 2), ('deep.py', 2), ('flow.py', 7), ('docs.py', 4), ('single.py', 4), ('make.py', 4), ('wrap.py', 4), ('big.py', 2), ('rules.txt', 1), ('empty.py', 1)) as v(file_path, entities) union all select doc_id::varchar, 1 from documents")
 def entity_counts(spark, d):
     """Entities of each source as the ingestion counts them: with imports, variables and class attributes."""
-    entities = parsing.parse(CQ.texts(spark, d), "file_path", "text")
-    return entities.groupBy("file_path").agg(parsing.entity_count().alias("entities"))
+    return parsing.entity_counts(CQ.texts(spark, d), "file_path")
 
 
 @query("select conv_id, turn, length(role) // 4 + length(text) // 4 + 12 as tokens from conversations")

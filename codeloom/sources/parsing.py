@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +51,12 @@ def _calls(node) -> list[str]:
     return list(dict.fromkeys(x[2] for x in found))
 
 
-def parse_source(path: str, source: str) -> list[dict]:
-    """All entities of the source in order; a source that can't be parsed gives its module alone, with the error."""
+def parse_source(path: str | None, source: str) -> list[dict]:
+    """All entities of the source in order; a source that can't be parsed gives its module alone, with the error. Without a path the module has no name."""
 
     def row(name, kind, node=None, parent=None, **more) -> dict:
         start = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) if node is not None else 1
-        out = dict.fromkeys(_COLUMNS) | {"file_path": path, "id": f"{path}:{name}:{node.lineno if node is not None else 1}", "name": name, "type": kind, "parent_id": parent, "ordinal": len(rows), "start_line": node.lineno if node is not None else 1, "end_line": node.end_lineno if node is not None else max(1, len(lines))}
+        out = dict.fromkeys(_COLUMNS) | {"file_path": path, "id": f"{path or ''}:{name or ''}:{node.lineno if node is not None else 1}", "name": name, "type": kind, "parent_id": parent, "ordinal": len(rows), "start_line": node.lineno if node is not None else 1, "end_line": node.end_lineno if node is not None else max(1, len(lines))}
         if node is not None:
             out["source_code"] = "\n".join(lines[start - 1 : node.end_lineno])
         rows.append(out | more)
@@ -63,7 +64,7 @@ def parse_source(path: str, source: str) -> list[dict]:
 
     rows: list[dict] = []
     lines = source.split("\n")
-    module = row(path.rsplit("/", 1)[-1].removesuffix(".py"), "module")
+    module = row(None if path is None else path.rsplit("/", 1)[-1].removesuffix(".py"), "module")
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -131,6 +132,15 @@ def measured(entities: DataFrame) -> DataFrame:
     return found.select("file_path", "id", "name", "type", "start_line", "end_line", F.coalesce("methods", F.lit(0)).alias("methods"), F.coalesce(F.array_size("parameters"), F.lit(0)).alias("parameters"), "source_code")
 
 
-def entity_count():
-    """Entities as the ingestion counts them: rows of the flattened table and each class's attributes."""
-    return F.count(F.lit(1)) + F.coalesce(F.sum(F.when(F.size("attributes") > 0, F.size("attributes")).otherwise(0)), F.lit(0))
+def entity_counts(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(file_path, entities) of each source as the ingestion counts them: rows of the flattened table and each class's attributes.
+
+    Sources that share a path are counted apart; no shuffle.
+    """
+
+    def run(batches):
+        for b in batches:
+            counts = [sum(1 + len(r["attributes"] or []) for r in parse_source(p.as_py(), t.as_py() or "")) for p, t in zip(b.column("file_path"), b.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("file_path"), pa.array(counts, pa.int64())], names=["file_path", "entities"])
+
+    return files.select(F.col(path).alias("file_path"), F.col(text).alias("text")).mapInArrow(run, "file_path string, entities bigint")

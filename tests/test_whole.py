@@ -102,3 +102,9 @@ def test_texts_are_corpus_and_documents(spark, tmp_path):
     found = QUERIES["parsed_entities"](spark, str(tmp_path)).where("file_path = '7' and type in ('function', 'method')")
     assert {r.name for r in found.collect()} == {"f", "m"}
     assert QUERIES["entity_metrics"](spark, str(tmp_path)).where("file_path = '7'").count() == 3
+
+
+def test_documents_without_or_with_the_same_id(spark, tmp_path):
+    spark.createDataFrame([(None, "plain prose"), (2, "more of it"), (2, "import os\n"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.file_path, r.entities) for r in QUERIES["entity_counts"](spark, str(tmp_path)).collect() if r.file_path not in CORPUS]
+    assert sorted(got, key=str) == sorted([(None, 1), ("2", 1), ("2", 2), ("3", 1)], key=str)
