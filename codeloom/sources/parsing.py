@@ -103,19 +103,19 @@ def parse_source(path: str | None, source: str) -> list[dict]:
 
 
 def parse(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Entities of files(path, text); a NULL text is an empty module."""
+    """Entities of files(path, text); a NULL text is an empty module, and a source without a path stays in."""
 
     def run(batches):
         for pdf in batches:
             rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in parse_source(p, t or "")]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).where("path is not null").mapInPandas(run, ENTITY)
+    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, ENTITY)
 
 
 def structure_edges(entities: DataFrame) -> DataFrame:
     """DEFINES from a file to its functions, classes and variables; HAS_METHOD from a class to its methods."""
-    defines = entities.where(F.col("type").isin("function", "class", "variable")).select(F.concat("file_path", F.lit(":file")).alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("type"))
+    defines = entities.where(F.col("type").isin("function", "class", "variable") & F.col("file_path").isNotNull()).select(F.concat("file_path", F.lit(":file")).alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("type"))
     return defines.unionByName(entities.where("type = 'method'").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("HAS_METHOD").alias("type")))
 
 

@@ -108,3 +108,4 @@ def test_documents_without_or_with_the_same_id(spark, tmp_path):
     spark.createDataFrame([(None, "plain prose"), (2, "more of it"), (2, "import os\n"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.file_path, r.entities) for r in QUERIES["entity_counts"](spark, str(tmp_path)).collect() if r.file_path not in CORPUS]
     assert sorted(got, key=str) == sorted([(None, 1), ("2", 1), ("2", 2), ("3", 1)], key=str)
+    assert {r.label: r.nodes for r in QUERIES["parsed_nodes"](spark, str(tmp_path)).collect()}["Module"] == len(CORPUS) + 4
