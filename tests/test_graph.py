@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from codeloom.operators import dataflow as X
 from codeloom.operators import graph as G
 from codeloom.operators import impact as I
 
@@ -60,3 +61,16 @@ def test_levels(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in rows.select(I.level(F.col("c"), F.col("d"))).collect()] == ["critical", "medium", "medium", "none"]
+
+
+def test_traversals_broadcast_nothing(spark, small, monkeypatch):
+    """Small tables are where Spark would broadcast: each level's plan, and the last one's."""
+    nodes, edges = small
+    plans, cut = [], G.cut
+    for module in (G, X):
+        monkeypatch.setattr(module, "cut", lambda df, name="step": plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    found = [X.trace(edges, _ids(spark, "a", "d"), origin) for origin in (True, False)]
+    found += [G.trails(edges, _ids(spark, "a"), "CALLS", 3), G.shortest_path(edges, spark.createDataFrame([("a", "d")], "src string, dst string"))]
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+    assert "Broadcast" not in found[0]._jdf.queryExecution().executedPlan().toString()
+    assert [(r.start, r.id) for r in found[1].orderBy("start").collect()] == [("a", "d"), ("d", "d")]
