@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 PARAMETER = "struct<name:string,type_annotation:string,default_value:string,is_variadic:boolean,is_keyword:boolean>"
 ATTRIBUTE = "struct<name:string,type_annotation:string,default_value:string,line:int>"
@@ -18,6 +19,9 @@ ENTITY = (
 )
 _COLUMNS = [c.split()[0] for c in ENTITY.replace(PARAMETER, "p").replace(ATTRIBUTE, "a").split(", ")]
 
+#: What a worker holds of the entities at once, whatever the size of a batch of sources.
+PASS_ROWS, PASS_CHARS = 500, 2_000_000
+
 
 def _text(node) -> str | None:
     return None if node is None else ast.unparse(node)
@@ -102,15 +106,24 @@ def parse_source(path: str | None, source: str) -> list[dict]:
     return rows
 
 
-def parse(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Entities of files(path, text); a NULL text is an empty module, and a source without a path stays in."""
+def entity_batches(batches, schema: pa.Schema, most_rows: int = PASS_ROWS, most_chars: int = PASS_CHARS):
+    """Batches of entities of batches(path, text). One text at a time becomes a Python object; a batch ends with that many rows or characters of source."""
+    rows, held = [], 0
+    for b in batches:
+        for p, t in zip(b.column("path"), b.column("text"), strict=True):
+            for r in parse_source(p.as_py(), t.as_py() or ""):
+                rows.append(r)
+                held += len(r["source_code"] or "")
+                if len(rows) >= most_rows or held >= most_chars:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in parse_source(p, t or "")]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, ENTITY)
+def parse(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Entities of files(path, text); a NULL text is an empty module, and a source without a path stays in."""
+    schema = to_arrow_schema(StructType.fromDDL(ENTITY))
+    return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(lambda batches: entity_batches(batches, schema), ENTITY)
 
 
 def structure_edges(entities: DataFrame) -> DataFrame:

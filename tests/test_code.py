@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codeloom.functions import code as C
@@ -163,3 +164,15 @@ def test_stream(spark, tmp_path):
 def test_signature(spark):
     df = spark.createDataFrame([("b", None), (None, "x")], "b string, s string")
     assert [r[0] for r in df.select(webhooks.valid_signature(F.col("b"), F.col("s"), "k")).collect()] == [False, False]
+
+
+def test_entities_leave_in_small_batches():
+    """Whatever the size of a batch of sources; all rows, in order."""
+    fields = ("file_path", "id", "name", "type", "source_code")
+    schema = pa.schema([(f, pa.string()) for f in fields])
+    sources = [(f"{i}.py", f"def f{i}():\n    return {i}\n" if i % 3 else None) for i in range(2000)]
+    want = [tuple(r[f] for f in fields) for p, t in sources for r in parsing.parse_source(p, t or "")]
+    for more, most in (({}, parsing.PASS_ROWS), ({"most_chars": 100}, 20)):
+        found = list(parsing.entity_batches([pa.RecordBatch.from_pydict(dict(zip(("path", "text"), map(list, zip(*sources)))))], schema, **more))
+        assert max(b.num_rows for b in found) <= most
+        assert [tuple(r.values()) for b in found for r in b.to_pylist()] == want
