@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def _rules():
@@ -28,24 +32,49 @@ RULES = list(_rules())
 _ENDINGS = "py=python js=javascript jsx=javascript ts=typescript tsx=typescript java=java go=go rs=rust rb=ruby php=php cpp=cpp c=c cs=csharp"
 _LANGUAGES = [("." + x.split("=")[0], x.split("=")[1]) for x in _ENDINGS.split()]
 _HEADER = r"^@@ -(\d++)(?:[,](\d++))?+ [+](\d++)(?:[,](\d++))?+ @@"
+_PLACED = ["position", "raw", "hunk", "kind", "new_line"]
+
+
+#: Lines that a worker holds at once, whatever the size of a batch of patches.
+PASS_LINES = 10_000
+
+
+def placed_lines(batches, most: int = PASS_LINES):
+    """Batches of at most so many lines of batches(keys, patch): see diff_lines()."""
+    types = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32())
+    for b in batches:
+        keys = b.schema.names[:-1]
+
+        def batch(of, rows):
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([b.column(k).take(pa.array(of, pa.int64())) for k in keys] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*keys, *_PLACED])  # noqa: B023
+
+        of, rows = [], []
+        for i, patch in enumerate(b.column(len(keys))):
+            hunk = line = 0
+            for position, raw in enumerate((patch.as_py() or "").split("\n")):
+                if header := re.match(_HEADER, raw, re.ASCII):
+                    hunk, line = hunk + 1, int(header[3])
+                elif hunk:
+                    removed = raw.startswith("-")
+                    of.append(i)
+                    rows.append((position, raw, hunk, "remove" if removed else "add" if raw.startswith("+") else "context", None if removed else line))
+                    line += not removed
+                    if len(rows) >= most:
+                        yield batch(of, rows)
+                        of, rows = [], []
+        yield batch(of, rows)
 
 
 def diff_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
-    """(keys, hunk, position, raw, kind, new_line): lines after a header, by hunk; those before the first one go.
+    """(keys, position, raw, hunk, kind, new_line): lines after a header, by hunk; those before the first one go.
 
-    new_line counts from the hunk's new start over lines that aren't removed; removed lines have none.
+    new_line counts from the hunk's new start over lines that aren't removed; removed lines have none. One pass over each patch by itself, no
+    shuffle: a task holds some lines, however many patches there are.
     """
-    rows = patches.select(*keys, F.posexplode(F.split(patch, "\n")).alias("position", "raw"))
-    header = F.col("raw").rlike(_HEADER)
-    run = Window.partitionBy(*keys).orderBy("position")
-    placed = rows.withColumn("hunk", F.sum(header.cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0))).where("hunk > 0")
-    start = F.regexp_extract("raw", _HEADER, 3)
-    inside = Window.partitionBy(*keys, "hunk").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.when(header, "header").when(F.col("raw").startswith("+"), "add").when(F.col("raw").startswith("-"), "remove").otherwise("context")
-    placed = placed.withColumn("kind", kind)
-    first = F.first(F.when(F.col("kind") == "header", start.cast("int")), ignorenulls=True).over(inside)
-    counted = F.coalesce(F.sum(F.col("kind").isin("add", "context").cast("int")).over(inside), F.lit(0))
-    return placed.withColumn("new_line", F.when(F.col("kind").isin("add", "context"), first + counted).cast("int")).where("kind <> 'header'")
+    plain = patches.select(*keys, F.col(patch).cast("string").alias("__patch"))
+    schema = StructType([*[StructField(f.name, f.dataType) for f in plain.schema.fields[:-1]], *StructType.fromDDL("position int, raw string, hunk bigint, kind string, new_line int").fields])
+    return plain.mapInArrow(placed_lines, schema)
 
 
 def hunks(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:

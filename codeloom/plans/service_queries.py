@@ -323,7 +323,8 @@ def _patches(spark, d):
     k = F.col("p_partkey")
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.element_at(F.array(*[F.lit(x) for x in _CHANGED]), ((k + i * 3) % len(_CHANGED) + 1).cast("int")))), "\n")
     head = F.concat(F.lit("@@ -"), k.cast("string"), F.lit(",3 +"), (k + 1).cast("string"), F.lit(" @@ head\n"))
-    return load(spark, d, "part").select((k % 50).alias("pr"), k.alias("file"), F.concat(F.lit("diff\n"), head, body, F.lit("\n"), head, F.lit(" end")).alias("patch"))
+    parts = load(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # patches are much larger than the rows they are made of
+    return parts.select((k % 50).alias("pr"), k.alias("file"), F.concat(F.lit("diff\n"), head, body, F.lit("\n"), head, F.lit(" end")).alias("patch"))
 
 
 _DIFF = r"""pt as (select p_partkey % 50 as pr, p_partkey as file, 'diff' || chr(10) || '@@ -' || p_partkey || ',3 +' || (p_partkey + 1) || ' @@ head' || chr(10) ||

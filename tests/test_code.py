@@ -176,3 +176,14 @@ def test_entities_leave_in_small_batches():
         found = list(parsing.entity_batches([pa.RecordBatch.from_pydict(dict(zip(("path", "text"), map(list, zip(*sources)))))], schema, **more))
         assert max(b.num_rows for b in found) <= most
         assert [tuple(r.values()) for b in found for r in b.to_pylist()] == want
+
+
+def test_lines_of_patches_without_a_shuffle(spark):
+    """Patches are read one by one, also those with the same keys; long ones leave in several batches."""
+    patch = "a\n@@ -1 +5,2 @@ x\n-a\n+b\n c\n@@ -9,1 +20 @@\n\n+d\n@@ no header"
+    want = [(2, "-a", 1, "remove", None), (3, "+b", 1, "add", 5), (4, " c", 1, "context", 6), (6, "", 2, "context", 20), (7, "+d", 2, "add", 21), (8, "@@ no header", 2, "context", 22)]
+    found = R.diff_lines(spark.createDataFrame([(1, patch), (1, patch), (2, None), (3, "no hunk")], "pr int, patch string"), ["pr"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, *w) for w in want * 2], key=str)
+    out = list(R.placed_lines([pa.RecordBatch.from_pydict({"pr": [7, 8], "patch": [patch, patch]})], 4))
+    assert [b.num_rows for b in out] == [4, 4, 4, 0] and [tuple(r.values()) for b in out for r in b.to_pylist()] == [(k, *w) for k in (7, 8) for w in want]
