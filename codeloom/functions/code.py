@@ -103,11 +103,13 @@ def coupling(dependencies: DataFrame, abstract: DataFrame | None = None) -> Data
 def cohesion(uses: DataFrame) -> DataFrame:
     """(class_id, methods, cohesion) over uses(class_id, method_id, attribute): pairs of methods that share an attribute, of all pairs; 1 with one method.
 
-    Pairs are found by a join on the attribute, so that only pairs that share one are ever built.
+    Only pairs that share an attribute are ever built: each use is joined with the methods of its attribute, packed as one array. A method's arrays
+    meet in one row of its own and become a set there, so no table of pairs is shuffled or held.
     """
     u = uses.select("class_id", "method_id", "attribute").distinct()
-    a, b = u.alias("a"), u.alias("b")
-    shared = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.attribute") == F.col("b.attribute")) & (F.col("a.method_id") < F.col("b.method_id"))).select(F.col("a.class_id").alias("class_id"), F.col("a.method_id").alias("m1"), F.col("b.method_id").alias("m2")).distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("sharing"))
+    users = u.where("attribute is not null").groupBy("class_id", "attribute").agg(F.sort_array(F.collect_list("method_id")).alias("users")).where("size(users) > 1")
+    later = users.select("class_id", F.posexplode("users").alias("at", "method_id"), "users").select("class_id", "method_id", F.slice("users", F.col("at") + 2, F.size("users")).alias("later")).where("size(later) > 0")
+    shared = later.groupBy("class_id", "method_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("later")))).cast("bigint").alias("n")).groupBy("class_id").agg(F.sum("n").alias("sharing"))
     sizes = u.groupBy("class_id").agg(F.count_distinct("method_id").alias("methods"))
     pairs = F.col("methods") * (F.col("methods") - 1) / 2
     return sizes.join(shared, "class_id", "left").select("class_id", "methods", F.when(F.col("methods") <= 1, 1.0).otherwise(F.coalesce("sharing", F.lit(0)) / pairs).alias("cohesion"))

@@ -187,3 +187,11 @@ def test_lines_of_patches_without_a_shuffle(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, *w) for w in want * 2], key=str)
     out = list(R.placed_lines([pa.RecordBatch.from_pydict({"pr": [7, 8], "patch": [patch, patch]})], 4))
     assert [b.num_rows for b in out] == [4, 4, 4, 0] and [tuple(r.values()) for b in out for r in b.to_pylist()] == [(k, *w) for k in (7, 8) for w in want]
+
+
+def test_cohesion_builds_no_pairs(spark):
+    """No method is joined with another; what two share twice counts once, a missing attribute is none."""
+    uses = [("A", 1, "x"), ("A", 2, "x"), ("A", 2, "y"), ("A", 1, "y"), ("A", 3, "y"), ("A", 4, None), ("A", 5, None), ("B", 1, "x"), ("B", 1, "x")]
+    found = C.cohesion(spark.createDataFrame(uses, "class_id string, method_id int, attribute string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {tuple(r) for r in found.collect()} == {("A", 5, 3 / 10), ("B", 1, 1.0)}
